@@ -1,0 +1,55 @@
+"""Joins that look at sizes before choosing a strategy."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows a side may have to be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_bounded(
+    left: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a large table with one expected to be small, without moving the large one.
+
+    At most ``max_rows + 1`` rows of ``small`` are fetched. If it fits, those rows are broadcast (and its plan is
+    not run again); if not, the join is a shuffled one, where adaptive execution splits skewed partitions.
+    """
+    head = small.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        if head.num_rows == 0:
+            fitted = small.sparkSession.createDataFrame([], small.schema)
+        else:
+            fitted = small.sparkSession.createDataFrame(head, small.schema)
+        return left.join(F.broadcast(fitted), list(on), how)
+    return left.join(small, list(on), how)
+
+
+def lookup_salted(
+    left: DataFrame, table: DataFrame, on: Sequence[str], uses: str, spread: Column, rows_per_salt: int = 1_000_000
+) -> DataFrame:
+    """Inner join of a large skewed table with a lookup table that has one row per key.
+
+    ``table`` carries in ``uses`` how many rows of ``left`` ask for its key. A key asked for more than the limit
+    (``rows_per_salt``, or a thousandth of all uses if that is more) gets several salts: its lookup row is repeated
+    once per salt and its rows in ``left`` spread over the salts by ``spread``. No more than a thousand keys can
+    pass a thousandth of the total, so the list of hot keys that is broadcast has that bound.
+    """
+    keys = list(on)
+    total = table.agg(F.sum(uses).alias("total")).first()["total"] or 0
+    limit = max(rows_per_salt, -(-total // 1000))
+    salts = F.ceil(F.col(uses) / F.lit(limit)).cast("int")
+    if total <= limit:
+        return left.join(table.drop(uses), keys)
+    hot = table.where(F.col(uses) > limit).select(*keys, salts.alias("__salts"))
+    salted_left = (
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int"))
+        .drop("__salts")
+    )
+    salted_table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(uses)
+    return salted_left.join(salted_table, [*keys, "__salt"]).drop("__salt")
