@@ -1,8 +1,9 @@
 """Evaluation of experts and of their ensembles.
 
-``scores`` is ``(*by, seq_id, pos, expert, log_prob)`` with every expert scoring every position. The ensemble
-operators turn it once into one row per position with a column per expert, hash-partitioned by sequence: running
-likelihoods, posteriors and all three ways of combining experts then need no further exchange of rows.
+``scores`` is either long, ``(*by, seq_id, pos, expert, log_prob)``, or one row per position with ``log_probs``, an
+array in the order of ``experts``; the second saves a regrouping. Every expert scores every position. The ensemble
+operators work on one row per position with a column per expert. Where positions before matter they exchange those
+rows once, by sequence: running likelihoods, posteriors and all three ways of combining experts share that exchange.
 """
 
 from __future__ import annotations
@@ -45,12 +46,20 @@ def _slots(prefix: str, experts: Sequence[str]) -> list[Column]:
     return [F.col(f"{prefix}_{i}") for i in range(len(experts))]
 
 
-def _per_position(scores: DataFrame, experts: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per position with ``lp_i``, partitioned by sequence, and ``ll_i``, the sum over earlier positions."""
+def _wide(scores: DataFrame, experts: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per position with ``lp_i`` for expert i; NULL where an expert does not take part."""
+    if "log_probs" in scores.columns:
+        return scores.select(
+            *by, "seq_id", "pos", *[F.get("log_probs", i).alias(f"lp_{i}") for i in range(len(experts))]
+        )
     log_probs = [F.max(F.when(F.col("expert") == e, F.col("log_prob"))).alias(f"lp_{i}") for i, e in enumerate(experts)]
-    wide = scores.repartition(*by, "seq_id").groupBy(*by, "seq_id", "pos").agg(*log_probs)
+    return scores.groupBy(*by, "seq_id", "pos").agg(*log_probs)
+
+
+def _with_history(scores: DataFrame, experts: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``_wide`` partitioned by sequence, with ``ll_i``, the sum of ``lp_i`` over earlier positions."""
     earlier = Window.partitionBy(*by, "seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return wide.withColumns(
+    return _wide(scores.repartition(*by, "seq_id"), experts, by).withColumns(
         {
             f"ll_{i}": F.when(lp.isNotNull(), F.coalesce(F.sum(lp).over(earlier), F.lit(0.0)))
             for i, lp in enumerate(_slots("lp", experts))
@@ -83,10 +92,9 @@ def _weights(experts: Sequence[str], prior: str = "prior") -> list[Column]:
     return [p + ll for p, ll in zip(_slots(prior, experts), _slots("ll", experts), strict=True)]
 
 
-def ensemble_simple_avg(scores: DataFrame, by: Sequence[str] = DOMAIN) -> DataFrame:
+def ensemble_simple_avg(scores: DataFrame, experts: Sequence[str], by: Sequence[str] = DOMAIN) -> DataFrame:
     """Perplexity of the averaged log-probabilities; the average needs only the label's entry."""
-    averaged = scores.groupBy(*by, "seq_id", "pos").agg(F.avg("log_prob").alias("log_prob"))
-    return perplexity(averaged, by)
+    return perplexity(_wide(scores, experts, by).select(*by, _average(experts).alias("log_prob")), by)
 
 
 def expert_posterior(
@@ -96,7 +104,7 @@ def expert_posterior(
 
     Gives ``(*by, seq_id, pos, expert, log_prob, log_post)``; at position 0 the prior alone decides.
     """
-    wide = _with_prior(_per_position(scores, experts, by), prior, experts, by)
+    wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
     weights = _weights(experts)
     weighed = wide.withColumn("__norm", log_sum_exp_columns(weights))
     entries = [
@@ -110,7 +118,7 @@ def ensemble_mixture(
     scores: DataFrame, experts: Sequence[str], prior: DataFrame | None = None, by: Sequence[str] = DOMAIN
 ) -> DataFrame:
     """Perplexity of the posterior-weighted mixture, with a prior or with the uniform one."""
-    wide = _with_prior(_per_position(scores, experts, by), prior, experts, by)
+    wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
     return perplexity(wide.select(*by, _mixture(experts, _weights(experts)).alias("log_prob")), by)
 
 
@@ -119,21 +127,31 @@ def ensemble_uniform_prior(scores: DataFrame, experts: Sequence[str], by: Sequen
     return ensemble_mixture(scores, experts, None, by)
 
 
+def _sequence_totals(scores: DataFrame, experts: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``ll``: each expert's log-likelihood of a whole sequence, as an array."""
+    if "log_probs" in scores.columns:
+        sums = [F.sum(F.get("log_probs", i)) for i in range(len(experts))]
+    else:
+        sums = [F.sum(F.when(F.col("expert") == e, F.col("log_prob"))) for e in experts]
+    return scores.groupBy(*by, "seq_id").agg(F.array(*sums).alias("ll"))
+
+
+def _add(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: a + b)
+
+
+def _names(experts: Sequence[str]) -> Column:
+    return F.array(*[F.lit(e) for e in experts]).alias("expert")
+
+
 def sequence_posterior(
-    scores: DataFrame, prior: DataFrame | None = None, by: Sequence[str] = DOMAIN
+    scores: DataFrame, experts: Sequence[str], prior: DataFrame | None = None, by: Sequence[str] = DOMAIN
 ) -> DataFrame:
     """``log_post`` of each expert after a whole sequence: log-softmax of total log-likelihood plus prior."""
-    totals = scores.groupBy(*by, "seq_id", "expert").agg(F.sum("log_prob").alias("log_likelihood"))
-    if prior is None:
-        weighed = totals.withColumn("__weight", F.col("log_likelihood"))
-    else:
-        weighed = join_bounded(totals, prior.select(*by, "expert", "log_prior"), [*by, "expert"]).withColumn(
-            "__weight", F.col("log_likelihood") + F.col("log_prior")
-        )
-    sequence = Window.partitionBy(*by, "seq_id")
-    shifted = weighed.withColumn("__top", F.max("__weight").over(sequence))
-    norm = F.col("__top") + F.log(F.sum(F.exp(F.col("__weight") - F.col("__top"))).over(sequence))
-    return shifted.withColumn("log_post", F.col("__weight") - norm).drop("__weight", "__top", "log_prior")
+    totals = _with_prior(_sequence_totals(scores, experts, by), prior, experts, by)
+    posterior = log_softmax(_add(F.col("ll"), F.array(*_slots("prior", experts))))
+    entries = F.arrays_zip(_names(experts), F.col("ll").alias("log_likelihood"), posterior.alias("log_post"))
+    return totals.select(*by, "seq_id", F.inline(entries))
 
 
 def cached_prior(
@@ -144,28 +162,22 @@ def cached_prior(
     A fold in sequence order. Sequence n replaces the prior by its posterior plus the old prior times ``decay ** n``,
     so what came before fades ever faster. What is gathered per domain is k rows of one number per expert.
     """
-    totals = [F.sum(F.when(F.col("expert") == e, F.col("log_prob"))) for e in experts]
     gathered = (
-        first_sequences(scores, k)
-        .groupBy(*by, "seq_id")
-        .agg(F.array(*totals).alias("ll"))
+        _sequence_totals(first_sequences(scores, k), experts, by)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(F.struct("seq_id", "ll")))["ll"].alias("steps"))
     )
-    start = F.struct(
-        F.lit(0).alias("n"), F.array(*[F.lit(0.0) for _ in experts]).cast("array<double>").alias("prior")
-    )
+    start = F.struct(F.lit(0).alias("n"), F.array(*[F.lit(0.0) for _ in experts]).alias("prior"))
 
     def update(state: Column, log_likelihood: Column) -> Column:
         n = state["n"] + 1
-        posterior = log_softmax(F.zip_with(log_likelihood, state["prior"], lambda a, b: a + b))
+        posterior = log_softmax(_add(log_likelihood, state["prior"]))
         faded = F.transform(state["prior"], lambda x: x + n * F.log(F.lit(decay)))
         return F.struct(n.alias("n"), F.zip_with(faded, posterior, log_add_exp).alias("prior"))
 
     folded = gathered.select(*by, F.aggregate("steps", start, update, lambda state: state["prior"]).alias("__prior"))
-    names = F.array(*[F.lit(e) for e in experts])
-    entries = F.arrays_zip(names.alias("expert"), log_softmax(F.col("__prior")).alias("log_prior"))
-    return folded.select(*by, F.inline(entries))
+    entries = F.arrays_zip(_names(experts), log_softmax(F.col("__prior")).alias("log_prior"))
+    return folded.select(*by, F.inline(entries)).where(F.col("log_prior").isNotNull())
 
 
 def ensemble_cached_prior(
@@ -186,7 +198,7 @@ def ensemble_losses(
 ) -> DataFrame:
     """``(*by, method, n_tokens, perplexity)`` for all three methods from one pass over the scores."""
     prior = cached_prior(scores, experts, k, decay, by)
-    wide = _with_prior(_per_position(scores, experts, by), prior, experts, by)
+    wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
     log_probs = {
         "simple_avg": _average(experts),
         "uniform_prior": _mixture(experts, _slots("ll", experts)),
@@ -224,6 +236,7 @@ def ensemble_report(
 
 def compare_ensembles(
     scores: DataFrame,
+    experts: Sequence[str],
     ensembles: dict[str, Sequence[str]],
     k: int = 100,
     decay: float = 0.3,
@@ -231,12 +244,17 @@ def compare_ensembles(
 ) -> DataFrame:
     """Several ensembles on the same evaluation data in one job: ``(ensemble, *by, method, n_tokens, perplexity)``.
 
-    Members take numbered places, so the plan is as wide as the largest ensemble.
+    Every position is repeated once per ensemble with its members in numbered places; an ensemble smaller than the
+    largest leaves places empty.
     """
-    members = [(name, expert, str(i)) for name, experts in ensembles.items() for i, expert in enumerate(experts)]
-    places = [str(i) for i in range(max(len(experts) for experts in ensembles.values()))]
-    membership = scores.sparkSession.createDataFrame(members, "ensemble string, expert string, place string")
-    placed = (
-        scores.join(F.broadcast(membership), "expert").drop("expert").withColumnRenamed("place", "expert")
-    )
+    places = [str(i) for i in range(max(len(members) for members in ensembles.values()))]
+    at = {e: i for i, e in enumerate(experts)}
+    empty = F.lit(None).cast("double")
+
+    def row(name: str, members: Sequence[str]) -> Column:
+        taken = [F.col(f"lp_{at[e]}") for e in members] + [empty] * (len(places) - len(members))
+        return F.struct(F.lit(name).alias("ensemble"), F.array(*taken).alias("log_probs"))
+
+    rows = F.array(*[row(name, members) for name, members in ensembles.items()])
+    placed = _wide(scores, experts, by).select(*by, "seq_id", "pos", F.inline(rows))
     return ensemble_losses(placed, places, k, decay, ("ensemble", *by))

@@ -121,7 +121,7 @@ def gram_log_probs(
     )
 
 
-def score(
+def score_positions(
     pairs: DataFrame,
     counts: DataFrame,
     experts: Sequence[str],
@@ -130,7 +130,7 @@ def score(
     beta: float = 1.0,
     rows_per_salt: int = 1_000_000,
 ) -> DataFrame:
-    """``(domain, split, seq_id, pos, expert, log_prob)`` of every label under every expert.
+    """``(domain, split, seq_id, pos, log_probs)``: the label's log-probability, one array entry per expert.
 
     Probabilities are worked out once per distinct n-gram; positions then look theirs up, hot n-grams salted.
     """
@@ -139,9 +139,19 @@ def score(
     grams = located.groupBy(*keys).agg(F.count("*").alias("uses"))
     table = stage(gram_log_probs(grams, counts, experts, vocab_size, alpha, beta), "gram-log-probs")
     found = lookup_salted(located, table, keys, "uses", F.struct(*POSITION), rows_per_salt)
+    return found.select(*POSITION, "log_probs")
+
+
+def by_expert(positions: DataFrame, experts: Sequence[str]) -> DataFrame:
+    """Long form of ``log_probs`` arrays: a row per position and expert."""
     names = F.array(*[F.lit(e) for e in experts])
-    by_expert = F.arrays_zip(names.alias("expert"), F.col("log_probs").alias("log_prob"))
-    return found.select(*POSITION, F.inline(by_expert))
+    entries = F.arrays_zip(names.alias("expert"), F.col("log_probs").alias("log_prob"))
+    return positions.select(*POSITION, F.inline(entries))
+
+
+def score(pairs: DataFrame, counts: DataFrame, experts: Sequence[str], vocab_size: int, **options: float) -> DataFrame:
+    """``(domain, split, seq_id, pos, expert, log_prob)`` of every label under every expert."""
+    return by_expert(score_positions(pairs, counts, experts, vocab_size, **options), experts)
 
 
 def score_with(packed: DataFrame, make_model: Callable[[], Callable]) -> DataFrame:

@@ -11,12 +11,12 @@ from packloom.operators.rows import shard, with_index
 from packloom.operators.tokens import RANK, encode, label_shift, number_sequences, pack, token_offsets
 
 
-def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str, bos_id: int | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str, bos_id: int | None = None, slots: int = 8192) -> DataFrame:
     """Encode ``(key, domain, split, text)`` and store the result, which the layout and the packing both read.
 
     Documents without text stay, as empty arrays: they count in the index that decides the shards.
     """
-    encoded = encode(docs, vocab, bos_id=bos_id).select(key, "domain", "split", "ids")
+    encoded = encode(docs, vocab, bos_id=bos_id, slots=slots).select(key, "domain", "split", "ids")
     return stage(encoded.withColumn("n_tokens", F.size("ids")), "encoded")
 
 

@@ -20,6 +20,7 @@ SEQ_LEN = 64
 WORLD = 2
 VOCAB_WORDS = 2000
 VOCAB_SIZE = VOCAB_WORDS + 1
+VOCAB_SLOTS = 1024
 BATCH = 42
 ACCUM = 2
 EVAL_BATCH = 10
@@ -69,7 +70,8 @@ def _big(*names: str) -> list[Column]:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = corpus.read_corpus(spark, f"{sf_dir}/documents.parquet")
     named = table.withColumn("domain", F.coalesce("lang", F.lit("")))
-    return rows.split_corpus(corpus.select_text(named, "text", "doc_id", "domain"), "doc_id")
+    texts = corpus.spread(corpus.select_text(named, "text", "doc_id", "domain"), "doc_id")
+    return rows.split_corpus(texts, "doc_id")
 
 
 def _vocab(docs: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def _vocab(docs: DataFrame) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return encode_corpus(docs, _vocab(docs), "doc_id")
+    return encode_corpus(docs, _vocab(docs), "doc_id", slots=VOCAB_SLOTS)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +99,20 @@ def _train(sequences: DataFrame) -> DataFrame:
     return sequences.where(F.col("split") == "train")
 
 
-def _scores(sequences: DataFrame, plan: tuple = PLAN) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, plan: tuple = PLAN) -> DataFrame:
+    """A row per position with an array entry per expert of the plan."""
+    sequences = _stored(spark, sf_dir)
     counts = stage(experts.fit_experts(_train(sequences), plan, ACCUM, BATCH), "experts")
-    return experts.score(_pairs(sequences), counts, [p[0] for p in plan], VOCAB_SIZE)
+    return experts.score_positions(_pairs(sequences), counts, [p[0] for p in plan], VOCAB_SIZE)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per position and expert."""
+    return experts.by_expert(_scored(spark, sf_dir), EXPERTS)
 
 
 def _stored_scores(spark: SparkSession, sf_dir: str, plan: tuple = PLAN) -> DataFrame:
-    return stage(_scores(_stored(spark, sf_dir), plan), "scores")
+    return stage(_scored(spark, sf_dir, plan), "scores")
 
 
 def _count_rows(counts: DataFrame) -> DataFrame:
@@ -300,7 +309,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    encoded = tokens.encode(docs, _vocab(docs))
+    encoded = tokens.encode(docs, _vocab(docs), slots=VOCAB_SLOTS)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _joined("ids"))
 
 
@@ -378,7 +387,7 @@ def _per_sequence(scores: DataFrame) -> DataFrame:
 
 
 def expert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_sequence(_scores(_stored(spark, sf_dir)))
+    return _per_sequence(_scores(spark, sf_dir))
 
 
 def scores_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,16 +433,16 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(_stored(spark, sf_dir))
+    scores = _scores(spark, sf_dir)
     return _rounded(ensemble.perplexity(scores, ("domain", "split", "expert")), 4, "perplexity")
 
 
 def ens_simple_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ensemble.ensemble_simple_avg(_scores(_stored(spark, sf_dir))), 4, "perplexity")
+    return _rounded(ensemble.ensemble_simple_avg(_scored(spark, sf_dir), EXPERTS), 4, "perplexity")
 
 
 def expert_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posterior = ensemble.expert_posterior(_scores(_stored(spark, sf_dir)), EXPERTS)
+    posterior = ensemble.expert_posterior(_scored(spark, sf_dir), EXPERTS)
     summed = posterior.groupBy("domain", "split", *_big("seq_id"), "expert").agg(
         F.count("*").alias("n_tokens"),
         F.avg(F.exp("log_post")).alias("mean_weight"),
@@ -443,17 +452,17 @@ def expert_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ens_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ensemble.ensemble_uniform_prior(_scores(_stored(spark, sf_dir)), EXPERTS), 4, "perplexity")
+    return _rounded(ensemble.ensemble_uniform_prior(_scored(spark, sf_dir), EXPERTS), 4, "perplexity")
 
 
 def seq_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posterior = ensemble.sequence_posterior(_scores(_stored(spark, sf_dir)))
+    posterior = ensemble.sequence_posterior(_scored(spark, sf_dir), EXPERTS)
     wanted = posterior.select("domain", "split", *_big("seq_id"), "expert", "log_likelihood", "log_post")
     return _rounded(wanted, 5, "log_likelihood", "log_post")
 
 
 def cached_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior = ensemble.cached_prior(_scores(_stored(spark, sf_dir)), EXPERTS, PRIOR_SEQUENCES, DECAY)
+    prior = ensemble.cached_prior(_scored(spark, sf_dir), EXPERTS, PRIOR_SEQUENCES, DECAY)
     return _rounded(prior, 5, "log_prior")
 
 
@@ -471,7 +480,7 @@ def ens_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ens_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _stored_scores(spark, sf_dir, SETUP_PLAN)
-    compared = ensemble.compare_ensembles(scores, ENSEMBLES, PRIOR_SEQUENCES, DECAY)
+    compared = ensemble.compare_ensembles(scores, [p[0] for p in SETUP_PLAN], ENSEMBLES, PRIOR_SEQUENCES, DECAY)
     return _rounded(compared, 4, "perplexity")
 
 
