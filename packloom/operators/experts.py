@@ -41,9 +41,10 @@ def fit_expert(pairs: DataFrame, order: int | Column, weight: Column | None = No
     grams = F.array(
         gram(0, nothing, nothing), gram(1, nothing, F.col("ctx1")), gram(2, F.col("ctx2"), F.col("ctx1"))
     )
-    known = F.filter(grams, lambda g: (g["order"] <= capacity) & ((g["order"] < 2) | g["ctx2"].isNotNull()))
+    uses = F.lit(1) if weight is None else weight
     return (
-        pairs.select("expert", (F.lit(1) if weight is None else weight).alias("uses"), F.inline(known))
+        pairs.select("expert", capacity.alias("capacity"), uses.alias("uses"), F.inline(grams))
+        .where((F.col("order") <= F.col("capacity")) & ((F.col("order") < 2) | F.col("ctx2").isNotNull()))
         .groupBy(*COUNT_KEYS)
         .agg(F.sum("uses").alias("n"))
     )

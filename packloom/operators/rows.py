@@ -46,13 +46,22 @@ def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def shuffle_shard(draw: Column, shards: int) -> Column:
+    """Which of ``shards`` equal stretches of the random order a key drawn by ``shuffle_key`` falls into."""
+    place = F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint")
+    return F.shiftright(place * F.lit(shards), 32).cast("int")
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int, shards: int) -> DataFrame:
-    """Random order over the whole table in ``shards`` consecutive pieces, with a single range exchange."""
+    """Random order over the whole table, in ``shards`` partitions that follow each other in it.
+
+    The draw is uniform, so the stretches are known beforehand: one exchange and no sampling pass. ``key`` is unique.
+    """
+    drawn = df.withColumn("__draw", shuffle_key(key, seed))
     return (
-        df.withColumn("__order", shuffle_key(key, seed))
-        .repartitionByRange(shards, "__order", key)
-        .sortWithinPartitions("__order", key)
-        .drop("__order")
+        drawn.repartitionById(shards, shuffle_shard(F.col("__draw"), shards))
+        .sortWithinPartitions("__draw", key)
+        .drop("__draw")
     )
 
 

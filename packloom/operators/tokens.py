@@ -20,11 +20,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\t\\n\\r]+"), "")
 
 
-def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",)) -> DataFrame:
+def build_vocab(
+    df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",), groups: int = 64
+) -> DataFrame:
     """``(token, id, n)``: the specials, then the ``size`` most frequent words; ties in token order.
 
-    Counting combines on the map side, so a word that fills a third of the corpus costs one row per task. The rank
-    is taken over the ``size`` rows that are left, never over the counted table.
+    Counting combines on the map side, so a word that fills a third of the corpus costs one row per task. Each of
+    ``groups`` hash groups of words first keeps its own ``size`` best, so the last sort sees ``groups * size`` rows
+    at most, however many distinct words there are.
     """
     counted = (
         df.select(F.explode(words(F.col("text"))).alias("token"))
@@ -33,7 +36,9 @@ def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",))
         .agg(F.count("*").alias("n"))
     )
     by_rank = [F.desc("n"), F.asc("token")]
-    top = counted.orderBy(*by_rank).limit(size)
+    in_group = Window.partitionBy(F.pmod(F.hash("token"), F.lit(groups))).orderBy(*by_rank)
+    best = counted.withColumn("__place", F.row_number().over(in_group)).where(F.col("__place") <= size)
+    top = best.drop("__place").orderBy(*by_rank).limit(size)
     place = F.row_number().over(Window.orderBy(*by_rank)) + F.lit(len(specials) - 1)
     ranked = top.select("token", place.cast("int").alias("id"), "n")
     reserved = df.sparkSession.createDataFrame(

@@ -238,7 +238,9 @@ def shuffled_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.read_corpus(spark, f"{sf_dir}/documents.parquet")
     shuffled = rows.shuffle_rows(docs, "doc_id", SEED, RESHARDS)
-    return shuffled.select("doc_id", F.md5("text").alias("text_md5"))
+    return shuffled.select(
+        "doc_id", F.spark_partition_id().cast("bigint").alias("shard"), F.md5("text").alias("text_md5")
+    )
 
 
 def reshard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,7 +499,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = _metrics(spark, sf_dir)
-    return _rounded(rolled.select(*_big("step"), "train_loss", "time_per_step"), 4, "train_loss", "time_per_step")
+    return _rounded(rolled.select(*_big("step"), "train_loss", "time_per_step"), 8, "train_loss", "time_per_step")
 
 
 def lr_column(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,7 +307,10 @@ ORACLES: dict[str, str] = {
     "shuffled_rank": f"""
         SELECT doc_id, row_number() OVER (ORDER BY md5('{R.SEED}:' || doc_id), doc_id) - 1 AS position
         FROM documents""",
-    "shuffled_rows": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "shuffled_rows": f"""
+        SELECT doc_id, md5(text) AS text_md5,
+               ('0x' || substr(md5('{R.SEED}:' || doc_id), 1, 8))::BIGINT * {R.RESHARDS} // 4294967296 AS shard
+        FROM documents""",
     "reshard_sizes": f"""
         SELECT idx % {R.RESHARDS} AS shard, count(*) AS n_docs, sum(doc_id)::BIGINT AS sum_doc_id
         FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents) GROUP BY 1""",
@@ -397,7 +400,7 @@ ORACLES: dict[str, str] = {
         SELECT ensemble, domain, split, method, n_tokens, {_r("perplexity", 4)} AS perplexity FROM losses""",
     # training metrics
     "metrics_rollup": f"""WITH {ROLLUP}
-        SELECT step, {_r("train_loss", 4)} AS train_loss, {_r("time_per_step", 4)} AS time_per_step FROM rolled""",
+        SELECT step, {_r("train_loss", 8)} AS train_loss, {_r("time_per_step", 8)} AS time_per_step FROM rolled""",
     "lr_column": f"""WITH {ROLLUP}
         SELECT step, {_r("CASE WHEN step < 200 THEN 0.5 * (step + 1) / 200 ELSE 0.5 END", 8)} AS warmup,
                {_r('''CASE WHEN step < 200 THEN 0.5 * (step + 1) / 200 WHEN step >= 1000 THEN 0.05
