@@ -46,11 +46,12 @@ def range_of(df: DataFrame, order: Sequence[str], bounds: Bounds) -> Column:
     table = F.array(*[literal(b) for b in bounds])
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     strides = [1 << p for p in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(
+    below = F.aggregate(
         F.array(*[F.lit(s) for s in strides]),
         F.lit(0),
         lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) < key), at + s).otherwise(at),
     )
+    return F.coalesce(below, F.lit(0))
 
 
 def running_total(
