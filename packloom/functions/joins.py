@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Most rows a side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+#: Most rows of a lookup table that one task may hold in a hash table.
+HASHED_ROWS = 500_000
 
 
 def join_bounded(
@@ -38,13 +40,19 @@ def lookup_salted(
     (``rows_per_salt``, or a thousandth of all uses if that is more) gets several salts: its lookup row is repeated
     once per salt and its rows in ``left`` spread over the salts by ``spread``. No more than a thousand keys can
     pass a thousandth of the total, so the list of hot keys that is broadcast has that bound.
+
+    The strategy is stated, since file sizes say little about exploded rows: keys of ``table`` are unique and spread
+    evenly, so it is hashed per partition if that leaves few enough rows in each, else sorted and merged.
     """
     keys = list(on)
-    total = table.agg(F.sum(uses).alias("total")).first()["total"] or 0
+    known = table.agg(F.sum(uses).alias("total"), F.count("*").alias("n")).first()
+    total = known["total"] or 0
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strategy = "shuffle_hash" if known["n"] <= HASHED_ROWS * partitions else "merge"
     limit = max(rows_per_salt, -(-total // 1000))
     salts = F.ceil(F.col(uses) / F.lit(limit)).cast("int")
     if total <= limit:
-        return left.join(table.drop(uses), keys)
+        return left.join(table.drop(uses).hint(strategy), keys)
     hot = table.where(F.col(uses) > limit).select(*keys, salts.alias("__salts"))
     salted_left = (
         left.join(F.broadcast(hot), keys, "left")
@@ -52,4 +60,4 @@ def lookup_salted(
         .drop("__salts")
     )
     salted_table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(uses)
-    return salted_left.join(salted_table, [*keys, "__salt"]).drop("__salt")
+    return salted_left.join(salted_table.hint(strategy), [*keys, "__salt"]).drop("__salt")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.joins import join_bounded, lookup_salted
@@ -78,48 +78,58 @@ def expert_names(counts: DataFrame) -> list[str]:
     return sorted(row["expert"] for row in counts.select("expert").distinct().collect())
 
 
-def gram_log_probs(
-    grams: DataFrame, counts: DataFrame, experts: Sequence[str], vocab_size: int, alpha: float = 0.1, beta: float = 1.0
+def _with_counts(
+    asked: DataFrame, counts: DataFrame, order: int, context: Sequence[str], experts: Sequence[str]
 ) -> DataFrame:
-    """Adds ``log_probs``, one entry per expert, to distinct ``(ctx2, ctx1, tok)`` rows.
+    """Distinct ``(*context, tok, uses)`` rows with ``c_i`` and ``s_i``: counts of the n-gram and of its context.
 
-    A context or word can be shared by at most as many n-grams as there are words, which bounds every join here.
+    N-grams asked for and n-grams counted meet in one exchange by context instead of in joins. Both are distinct, so
+    a context, however frequent, has no more rows than there are words.
     """
+    columns = [f"c_{i}" for i in range(len(experts))]
+    known = counts.where(F.col("order") == order).select(
+        *context,
+        "tok",
+        F.lit(0).cast("bigint").alias("uses"),
+        *[F.when(F.col("expert") == e, F.col("n")).otherwise(0).alias(c) for c, e in zip(columns, experts, strict=True)],
+    )
+    wanted = asked.select(*context, "tok", "uses", *[F.lit(0).cast("bigint").alias(c) for c in columns])
+    in_context = Window.partitionBy(*context)
+    return (
+        wanted.unionByName(known)
+        .repartition(*context)
+        .groupBy(*context, "tok")
+        .agg(F.sum("uses").alias("uses"), *[F.sum(c).alias(c) for c in columns])
+        .select("*", *[F.sum(c).over(in_context).alias(f"s_{i}") for i, c in enumerate(columns)])
+        .where(F.col("uses") > 0)
+    )
 
-    def by_expert(order: int, keys: list[str], name: str) -> DataFrame:
-        sums = [F.sum(F.when(F.col("expert") == e, F.col("n")).otherwise(0)) for e in experts]
-        return counts.where(F.col("order") == order).groupBy(*keys).agg(F.array(*sums).alias(name))
-
-    totals = {
-        row["expert"]: row["n"]
-        for row in counts.where(F.col("order") == 0).groupBy("expert").agg(F.sum("n").alias("n")).collect()
-    }
-
-    def count(name: str, i: int) -> Column:
-        return F.coalesce(F.get(F.col(name), i), F.lit(0))
 
-    def p0(i: int, expert: str) -> Column:
-        return (count("c_y", i) + F.lit(alpha)) / F.lit(totals.get(expert, 0) + alpha * vocab_size)
+def gram_log_probs(
+    grams: DataFrame, counts: DataFrame, experts: Sequence[str], vocab_size: int, alpha: float = 0.1, beta: float = 1.0
+) -> DataFrame:
+    """``(ctx2, ctx1, tok, uses, log_probs)`` for distinct ``(ctx2, ctx1, tok, uses)`` rows, an entry per expert."""
+    places = range(len(experts))
+    unigrams = counts.where(F.col("order") == 0)
+    totals = {r["expert"]: r["n"] for r in unigrams.groupBy("expert").agg(F.sum("n").alias("n")).collect()}
+    by_word = unigrams.groupBy("tok").agg(
+        *[F.sum(F.when(F.col("expert") == e, F.col("n")).otherwise(0)).alias(f"u_{i}") for i, e in enumerate(experts)]
+    )
 
-    def p1(i: int, expert: str) -> Column:
-        return (count("c_xy", i) + F.lit(beta) * p0(i, expert)) / (count("c_x", i) + F.lit(beta))
+    def backed_off(i: int, lower: Column) -> Column:
+        return (F.col(f"c_{i}") + F.lit(beta) * lower) / (F.col(f"s_{i}") + F.lit(beta))
 
-    def p2(i: int) -> Column:
-        return (count("c_wxy", i) + F.lit(beta) * F.get("p1", i)) / (count("c_wx", i) + F.lit(beta))
+    def p0(i: int) -> Column:
+        seen = F.coalesce(f"u_{i}", F.lit(0)) + F.lit(alpha)
+        return seen / F.lit(totals.get(experts[i], 0) + alpha * vocab_size)
 
-    pairs = grams.select("ctx1", "tok").distinct()
-    pairs = join_bounded(pairs, by_expert(0, ["tok"], "c_y"), ["tok"])
-    pairs = join_bounded(pairs, by_expert(1, ["ctx1"], "c_x"), ["ctx1"])
-    pairs = pairs.join(by_expert(1, ["ctx1", "tok"], "c_xy"), ["ctx1", "tok"], "left").select(
-        "ctx1", "tok", F.array(*[p1(i, e) for i, e in enumerate(experts)]).alias("p1")
-    )
-    return (
-        grams.join(pairs, ["ctx1", "tok"])
-        .join(by_expert(2, ["ctx2", "ctx1", "tok"], "c_wxy"), ["ctx2", "ctx1", "tok"], "left")
-        .join(by_expert(2, ["ctx2", "ctx1"], "c_wx"), ["ctx2", "ctx1"], "left")
-        .withColumn("log_probs", F.array(*[F.log(p2(i)) for i in range(len(experts))]))
-        .drop("p1", "c_wxy", "c_wx")
+    asked = grams.groupBy("ctx1", "tok").agg(F.sum("uses").alias("uses"))
+    pairs = join_bounded(_with_counts(asked, counts, 1, ["ctx1"], experts), by_word, ["tok"]).select(
+        "ctx1", "tok", *[backed_off(i, p0(i)).alias(f"p1_{i}") for i in places]
     )
+    triples = _with_counts(grams, counts, 2, ["ctx2", "ctx1"], experts).join(pairs, ["ctx1", "tok"])
+    log_probs = F.array(*[F.log(backed_off(i, F.col(f"p1_{i}"))) for i in places])
+    return triples.select("ctx2", "ctx1", "tok", "uses", log_probs.alias("log_probs"))
 
 
 def score_positions(

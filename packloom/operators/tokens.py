@@ -110,17 +110,17 @@ def pack(encoded: DataFrame, offsets: DataFrame, key: str, seq_len: int, by: Seq
     first = F.greatest(F.lit(0), F.floor((start - 1) / length))
     last = F.floor((start + size - 1) / length)
 
-    def piece(chunk: Column) -> Column:
-        low = F.greatest(start, chunk * length)
-        high = F.least(start + size, chunk * length + length + 1)
-        cut = F.slice("ids", (low - start + 1).cast("int"), (high - low).cast("int"))
-        return F.struct(chunk.alias("chunk"), low.alias("low"), cut.alias("cut"))
-
+    chunk = F.col("chunk")
+    low = F.greatest(start, chunk * length)
+    high = F.least(start + size, chunk * length + length + 1)
+    cut = F.slice("ids", (low - start + 1).cast("int"), (high - low).cast("int"))
+    # cutting outside a lambda keeps it in generated code, which copies just the piece and not the document
     pieces = (
         encoded.select(key, "ids")
         .where(F.size("ids") > 0)
         .join(offsets.select(key, *by, "offset"), key)
-        .select(*by, F.inline(F.transform(F.sequence(first, last), piece)))
+        .select("ids", *by, "offset", F.explode(F.sequence(first, last)).alias("chunk"))
+        .select(*by, "chunk", low.alias("low"), cut.alias("cut"))
     )
     ordered = F.sort_array(F.collect_list(F.struct("low", "cut")))
     return (

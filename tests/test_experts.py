@@ -120,6 +120,7 @@ def test_probabilities_sum_to_one(spark, sequences):
         F.floor(F.col("id") / (V * V)).cast("int").alias("ctx2"),
         F.floor(F.col("id") / V % V).cast("int").alias("ctx1"),
         (F.col("id") % V).cast("int").alias("tok"),
+        F.lit(1).cast("bigint").alias("uses"),
     )
     names = [p[0] for p in PLAN]
     scored = X.gram_log_probs(grid, fitted(spark, sequences, PLAN), names, V)
