@@ -37,9 +37,9 @@ def lookup_salted(
     """Inner join of a large skewed table with a lookup table that has one row per key.
 
     ``table`` carries in ``uses`` how many rows of ``left`` ask for its key. A key asked for more than the limit
-    (``rows_per_salt``, or a thousandth of all uses if that is more) gets several salts: its lookup row is repeated
-    once per salt and its rows in ``left`` spread over the salts by ``spread``. No more than a thousand keys can
-    pass a thousandth of the total, so the list of hot keys that is broadcast has that bound.
+    (``rows_per_salt``, or an even task's share of all uses if that is more) gets several salts: its lookup row is
+    repeated once per salt and its rows in ``left`` spread over the salts by ``spread``. No more keys can pass an even
+    share than there are shares, so the list of hot keys that is broadcast has that bound.
 
     The strategy is stated, since file sizes say little about exploded rows: keys of ``table`` are unique and spread
     evenly, so it is hashed per partition if that leaves few enough rows in each, else sorted and merged.
@@ -49,7 +49,7 @@ def lookup_salted(
     total = known["total"] or 0
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     strategy = "shuffle_hash" if known["n"] <= HASHED_ROWS * partitions else "merge"
-    limit = max(rows_per_salt, -(-total // 1000))
+    limit = max(rows_per_salt, -(-total // max(1000, partitions)))
     salts = F.ceil(F.col(uses) / F.lit(limit)).cast("int")
     if total <= limit:
         return left.join(table.drop(uses).hint(strategy), keys)
