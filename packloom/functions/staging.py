@@ -1,7 +1,8 @@
 """Intermediate tables that several branches of one plan read.
 
 A staged table is parquet in the shared folder named by ``spark.checkpoint.dir``: it survives the loss of any
-executor, cuts the lineage, keeps column pruning, and gives the planner true sizes.
+executor, cuts the lineage, keeps column pruning, and gives the planner true sizes. The tables of one application lie
+in one folder, ``packloom-<application id>``, which can be deleted when it has ended.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/packloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -129,11 +129,8 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "corpus")
     _documents(spark, sf_dir).write.partitionBy("domain", "split").parquet(path)
-    parts = [corpus.read_corpus(spark, path, d, s) for d in DOMAINS for s in ("train", "validation", "test")]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("doc_id", "domain", "split", F.length("text").cast("bigint").alias("n_chars"))
+    train, validation, test = (corpus.read_corpus(spark, path, split=s) for s in ("train", "validation", "test"))
+    return train.unionByName(validation).unionByName(test).select("doc_id", "domain", "split", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
