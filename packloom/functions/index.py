@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
+ROWS_PER_RANGE = 10_000
 SAMPLE_PER_RANGE = 50
 RANGE = "__range"
 
@@ -20,12 +21,16 @@ Bounds = list[tuple]
 
 
 def key_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> Bounds:
-    """Upper bounds of about equally filled key ranges; at most ``50 * ranges`` sampled keys are fetched."""
-    if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(ranges, MAX_RANGES)
+    """Upper bounds of about equally filled key ranges; at most ``50 * ranges`` sampled keys are fetched.
+
+    Unless given, ``ranges`` follows the number of rows, up to the number of shuffle partitions.
+    """
     keys = df.select(*order).dropna()
     total = keys.count()
+    if ranges is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(partitions, max(2, -(-total // ROWS_PER_RANGE)))
+    ranges = min(ranges, MAX_RANGES)
     if ranges < 2 or total < 2:
         return []
     fraction = min(1.0, SAMPLE_PER_RANGE * ranges / total)
