@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from packloom.plans import registry, registry_sql
 
 TABLES = "/root/testdata/sf0.001"
 NAMES = ("pack_sequences", "token_offsets", "shuffled_rows", "ens_report", "logit_log_prob", "metrics_rollup")
@@ -14,7 +15,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(registry.QUERIES) == set(registry_sql.ORACLES)
+    assert set(registry.QUERIES) <= set(entry_point.queries())
+    assert set(registry_sql.ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
