@@ -1,10 +1,64 @@
-"""A training-data pipeline: each stage works on all that its predecessor kept."""
+"""A training-data pipeline: every stage works on all that its predecessor kept, written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packloom.functions.staging import stage
+from packloom.llm import decontam, exact_dedup, near_dedup, packing, quality
+from packloom.llm.queries import END_ID, TOKENIZER, WINDOW_TOKENS
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among ``docs``."""
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.with_quality(docs, net)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    judged = near_dedup.near_dedup(docs)
+    dropped = stage(judged.where("not kept").select(F.col("id").alias("__id")), "near-dropped")
+    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = decontam.judged(decontam.find_benchmark(docs, benchmark))
+    return judged.where("not contaminated").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of bounded length."""
+    pieces = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), WINDOW_TOKENS, END_ID)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("exact dedup", first_copies),
+    ("near dedup", one_of_each_kind),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: The first stage is a trained network, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

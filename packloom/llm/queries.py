@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import exact_dedup, secrets, sharding
+from packloom.functions.staging import fresh_path
+from packloom.llm import (
+    decontam,
+    exact_dedup,
+    html_text,
+    licenses,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    token_store,
+)
 
 SHARDS = 16
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+WINDOW_TOKENS = 2048
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +43,54 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.judged(decontam.find_benchmark(_documents(spark, sf_dir), benchmark))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_quality(docs, net).select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(_documents(spark, sf_dir))
+    told = F.transform(
+        "licenses", lambda x: F.concat_ws(":", x["license"], F.round(x["coverage"], 4).cast("string"), x["start"], x["end"])
+    )
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_notices"), F.array_join(told, ",").alias("notices"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_store.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER), END_ID)
+    stored = token_store.read_tokens(spark, path)
+    return stored.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.with_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), WINDOW_TOKENS, END_ID)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.with_shards(_documents(spark, sf_dir), sharding.even_tree(SHARDS))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -41,5 +105,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op9_sharding, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_near_dedup,
+        op3_decontamination,
+        op4_quality,
+        op5_license_scan,
+        op6_token_ids,
+        op7_html_text,
+        op8_packing,
+        op9_sharding,
+        op10_exact_dedup,
+    )
 }
