@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
+from packloom.llm.hot import lookup_groups
 
 #: bits of one bitmap value in Spark's bitmap functions
 BITMAP_BITS = 32768
@@ -74,7 +75,8 @@ def exact_dedup(
     Texts are equal when identical; null counts as empty, so null and empty texts form one group. The row with the
     largest id stays; a null id is smaller than any other; of rows that share text and id one stays. An empty table
     gives an empty table. Rows that may be repeated are staged once in the shared folder with their other columns, so
-    that the numbers that tell equal ids apart are drawn once. Columns of ``docs`` named like a result are replaced.
+    that the numbers that tell equal ids apart are drawn once; groups with many rows meet their result without an
+    exchange. Columns of ``docs`` named like a result are replaced.
     """
     results = ["keep_id", "group_size", "kept", "text_sha256"]
     docs = docs.drop(*results)
@@ -96,7 +98,7 @@ def exact_dedup(
     )
     row = F.coalesce(F.col("__first.row"), F.col("__row"))
     return alone.unionByName(
-        maybe.join(groups, "text_sha256", "left").select(
+        lookup_groups(maybe, groups, "text_sha256", "__n", maybe.count()).select(
             *own,
             F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__first.id")).alias("keep_id"),
             F.coalesce(F.col("__n"), F.lit(1).cast("bigint")).alias("group_size"),
