@@ -5,10 +5,11 @@ Level j of all elements is worked out before level j + 1: a place that some elem
 no longer change, so the work stops as soon as every place has been reached, after one or two levels for long texts.
 
 Documents with the same set form one node. Nodes that share a band form a bucket. All nodes of a bucket are compared
-with one of them, its pivot, so the work is linear in a bucket's size. What the pivot leaves open is compared further,
-in rounds with other pivots and finally pair by pair, but only between nodes that no links connect yet, and only where
-the distances to the pivot allow a link: 1 - similarity is a metric, so two nodes whose distances to the pivot differ
-by more than the permitted distance cannot be linked.
+with one of them, its pivot, the node with most company in all its buckets, so the work is linear in a bucket's size.
+What the pivots leave open is only compared between nodes that no links connect yet. In small buckets that is done pair
+by pair, where the distances to the pivot allow a link: 1 - similarity is a metric, so two nodes whose distances to
+the pivot differ by more than the permitted distance cannot be linked. For nodes of large buckets an exact prefix
+filter finds the pairs: two linked sets must share one of their rarest shingles, at places that leave enough behind.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
@@ -30,8 +31,8 @@ BANDS = 25
 ROWS = 5
 #: words whose digests a worker remembers
 WORDS_KEPT = 1_000_000
-#: rounds with further pivots before what is left is compared pair by pair
-PIVOT_ROUNDS = 3
+#: size of a bucket up to which its open nodes are compared pair by pair
+FEW = 40
 
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -143,55 +144,72 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
 
 
-def _rank(node: str, turn: int) -> Column:
-    return F.struct(F.xxhash64(F.col(node), F.lit(turn)).alias("rank"), F.col(node).alias("node"))
+def _least_overlap(x: Column, y: Column, percent: int) -> Column:
+    """Shingles that linked sets of sizes ``x`` and ``y`` share at least."""
+    return F.ceil(percent * (x + y) / (100 + percent) - 1e-9)
 
 
-def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links that connect exactly what all links between nodes of one bucket connect.
-
-    ``members (bucket, node, n)`` are nodes in buckets of two or more. The first comparison keeps each node's distance
-    to its bucket's pivot; later ones use it to leave out what cannot be linked.
-    """
-    spark = members.sparkSession
-    linked = 100 * F.col("both") >= percent * F.col("either")
+def _pairs_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open nodes of one small bucket that sizes and distances to the pivot allow."""
     reach = 1 - percent / 100 + 1e-9
+    others = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("comp").alias("bc"))
+    fit = 100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")
+    apart = (F.col("comp") != F.col("bc")) & (F.col("node") < F.col("b")) & (F.abs(F.col("d") - F.col("bd")) <= reach)
+    return rows.join(others, "bucket").where(apart & fit).select(F.col("node").alias("a"), "b")
+
 
-    def sizes(x: str, y: str) -> Column:
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of ``nodes (node, comp, n)`` of different components that may be linked, by rare shingles.
 
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(_rank("node", 0).alias("r"), F.col("n"))).alias("p"))
-    pivots = pivots.select("bucket", F.col("p.r.node").alias("pivot"), F.col("p.n").alias("pn"))
+    Shingles are ordered by frequency, then value. A shingle at place i of a set is of use only if the set's rest
+    could still reach the overlap that a link with the smallest holder of that shingle needs, and if holders of
+    another component are left.
+    """
+    held = nodes.join(sets, "node").select("node", "comp", "n", F.explode("shingles").alias("t"))
+    counts = held.groupBy("t").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("node").orderBy("f", "t")
+    placed = held.join(counts, "t").withColumn("i", F.row_number().over(order) - 1)
+    prefix = stage(placed.where(F.col("n") - F.col("i") >= F.ceil(percent * F.col("n") / 100 - 1e-9)), "prefixes")
+    least = prefix.groupBy("t").agg(F.min("n").alias("least"))
+    useful = prefix.join(least, "t").where(F.col("n") - F.col("i") >= _least_overlap(F.col("n"), F.col("least"), percent))
+    mixed = useful.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
+    rows = stage(useful.drop("least").join(mixed, "t", "left_semi"), "useful-prefixes")
+    others = rows.select("t", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("comp").alias("bc"))
+    behind = F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi"))
+    may = (F.col("comp") != F.col("bc")) & (F.col("node") < F.col("b")) & (behind >= _least_overlap(F.col("n"), F.col("bn"), percent))
+    return rows.join(others, "t").where(may).select(F.col("node").alias("a"), "b")
+
+
+def near_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, comp)``: components of the links between nodes that share a bucket, for nodes that have a link.
+
+    ``members (bucket, node, n, size)`` are nodes in buckets of two or more, with the bucket's size.
+    """
+    linked = 100 * F.col("both") >= percent * F.col("either")
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = members.join(company, "node")
+    first_of = F.min(F.struct((-F.col("company")).alias("r"), F.col("node"))).alias("p")
+    pivots = ranked.groupBy("bucket").agg(first_of).select("bucket", F.col("p.node").alias("pivot"))
     pivoted = stage(members.join(pivots, "bucket"), "pivoted")
     first = pivoted.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     met = stage(_compared(first, sets), "pivot-distances")
-    found = [met.where(linked).select("a", "b")]
+    links = met.where(linked).select("a", "b")
+    comps = connected(links)
     distance = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("either")).alias("d"))
-    spread = stage(
-        pivoted.join(distance, ["node", "pivot"], "left").select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d")),
-        "pivot-spread",
-    )
-    for turn in range(1, PIVOT_ROUNDS + 2):
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        comps = connected(links)
-        labelled = spread.join(comps, "node", "left").select("bucket", "node", "n", "d", F.coalesce("comp", "node").alias("comp"))
-        several = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(_rank("node", turn)).alias("r"))
-        several = several.where("lo <> hi").select("bucket", F.col("r.node").alias("centre"))
-        open_rows = stage(labelled.join(several, "bucket"), "open-buckets")
-        centres = open_rows.where("node = centre") if turn <= PIVOT_ROUNDS else open_rows
-        centres = centres.select("bucket", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("d").alias("cd"), F.col("comp").alias("cc"))
-        apart = (F.col("comp") != F.col("cc")) & (F.abs(F.col("d") - F.col("cd")) <= reach) & sizes("n", "cn")
-        if turn > PIVOT_ROUNDS:
-            apart = apart & (F.col("node") < F.col("c"))
-        pairs = open_rows.join(centres, "bucket").where(apart).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-        met = stage(_compared(stage(pairs.distinct(), "open-pairs"), sets), "met")
-        found.append(met.where(linked).select("a", "b"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return links
+    known = pivoted.join(distance, ["node", "pivot"], "left").join(comps, "node", "left")
+    labelled = known.select("bucket", "node", "n", "size", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("comp", "node").alias("comp"))
+    labelled = stage(labelled, "labelled")
+    several = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = stage(labelled.join(several, "bucket", "left_semi"), "open-buckets")
+    pairs = _pairs_in_buckets(rows.where(F.col("size") <= FEW), percent)
+    large = rows.where(F.col("size") > FEW)
+    if not large.isEmpty():
+        pairs = pairs.union(_pairs_by_prefix(large.select("node", "comp", "n").distinct(), sets, percent))
+    pairs = stage(pairs.distinct(), "open-pairs")
+    if pairs.isEmpty():
+        return comps
+    found = stage(_compared(pairs, sets).where(linked).select("a", "b"), "open-links")
+    return comps if found.isEmpty() else connected(links.union(found))
 
 
 def near_dedup(
@@ -207,19 +225,20 @@ def near_dedup(
 
     Two rows are linked when their sets share ``percent`` of their union or more; components follow links. Rows
     without words are linked with nothing and stay. ``component_id`` is the smallest id of a component and ``kept``
-    marks the rows that have it; a null id is larger than any other and, where it has a component of its own, stays.
+    marks the rows that have it. Rows without an id are linked by equal sets only: a row with an id has the smaller one,
+    and where none has, all stay.
     Rows that repeat the id of the kept row stay with it. An empty table gives an empty table. Other columns are not
     read. A link is found with probability ``1 - (1 - s ** rows) ** bands``: at 0.85, all but 5 in 10 million.
     """
     seen = stage(features(docs, id_col, text_col, bands, rows, width), "features")
     nodes = seen.where("n > 0")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = stage(banded.join(shared, "bucket", "left_semi"), "members")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = stage(banded.join(shared.select("bucket", F.col("c").alias("size")), "bucket"), "members")
     wanted = members.select("node").distinct()
     first = stage(nodes.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("docs")), "nodes")
     sets = stage(node_sets(docs, stage(first.join(wanted, "node", "left_semi").select("node", "id"), "wanted"), id_col, text_col, width), "sets")
-    comps = connected(near_links(members, sets, percent))
+    comps = near_components(members, sets, percent)
     named = first.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "id", "docs")
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_node = named.join(least, "comp").select("node", "component_id", "docs")

@@ -1,0 +1,44 @@
+import zlib
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from packloom.llm.sharding import even_tree, shard_of, with_shards
+
+
+def _placed(spark, tree, n=4000):
+    return {r.id: r.s for r in spark.range(n).select("id", shard_of(F.col("id").cast("string"), tree).alias("s")).collect()}
+
+
+def test_new_region_takes_rows_only_into_itself(spark):
+    before, after = _placed(spark, even_tree(16)), _placed(spark, even_tree(17))
+    moved = {k for k in before if before[k] != after[k]}
+    assert {after[k] for k in moved} == {16} and 100 < len(moved) < 400
+    assert set(Counter(before.values())) == set(range(16))
+
+
+def test_weights_move_rows_only_inside_their_subtree(spark):
+    tree = [("a", "r", 0, 1.0), ("a", "r", 1, 1.0), ("b", "q", 2, 2.0), ("b", "q", 3, 0.0)]
+    light = [("a", "r", 0, 0.5), ("a", "r", 1, 1.5), *tree[2:]]
+    before, after = _placed(spark, tree), _placed(spark, light)
+    assert all(before[k] == after[k] for k in before if before[k] >= 2)
+    assert 3 not in before.values()
+    moved = Counter((before[k], after[k]) for k in before if before[k] != after[k])
+    assert set(moved) == {(0, 1)} and 300 < moved[(0, 1)] < 700
+    shares = Counter(before.values())
+    assert abs(shares[2] - 2000) < 200
+
+
+def test_slots_are_dense_and_edges_hold(spark, edge, nothing):
+    rows = with_shards(edge, even_tree(16), slot_parts=4).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r.slot)
+        assert r["size"] == len((r.text or "").encode()) + 1
+        assert r.text_crc32 == zlib.crc32((r.text or "").encode())
+    assert len(rows) == edge.count()
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert with_shards(nothing, even_tree(3)).count() == 0
+    many = with_shards(spark.range(3000).selectExpr("id doc_id", "'t' text"), even_tree(5), slot_parts=16)
+    per = many.groupBy("shard").agg(F.countDistinct("slot").alias("d"), F.count("*").alias("n"), F.max("slot").alias("m"))
+    assert all(r.d == r.n == r.m + 1 for r in per.collect())
