@@ -8,33 +8,32 @@ same result. They are fetched once and enter the plan as literals, so a lost tas
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
-ROWS_PER_RANGE = 10_000
-SAMPLE_PER_RANGE = 50
+#: keys fetched for one range
+KEYS_PER_RANGE = 20
 RANGE = "__range"
 
 Bounds = list[tuple]
 
 
 def key_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> Bounds:
-    """Upper bounds of about equally filled key ranges; at most ``50 * ranges`` sampled keys are fetched.
+    """Upper bounds of about equally filled key ranges, as many as shuffle partitions unless ``ranges`` is given.
 
-    Unless given, ``ranges`` follows the number of rows, up to the number of shuffle partitions.
+    One pass over the keys: they fall into ``20 * ranges`` slots by one digest, and each slot gives the key with the
+    least second digest, which is a uniform draw. No more keys than slots are fetched.
     """
-    keys = df.select(*order).dropna()
-    total = keys.count()
     if ranges is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(partitions, max(2, -(-total // ROWS_PER_RANGE)))
-    ranges = min(ranges, MAX_RANGES)
-    if ranges < 2 or total < 2:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges < 2:
         return []
-    fraction = min(1.0, SAMPLE_PER_RANGE * ranges / total)
-    sampled = sorted({tuple(row) for row in keys.sample(fraction=fraction, seed=17).collect()})
+    key = F.struct(*order)
+    slot = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(KEYS_PER_RANGE * ranges))
+    drawn = df.select(*order).dropna().groupBy(slot).agg(F.min_by(key, F.xxhash64(key, F.lit(2))).alias("key"))
+    sampled = sorted({tuple(row["key"]) for row in drawn.collect()})
     return sorted({sampled[i * len(sampled) // ranges] for i in range(1, ranges)}) if sampled else []
 
 
@@ -65,7 +64,7 @@ def running_total(
     """Sum of ``value`` over all earlier rows of the same ``by`` group, in the order of the unique key ``order``.
 
     The whole row takes part in the exchange, so give this a narrow table and join the rest by key. A group of any
-    size is spread over all key ranges. Columns in ``by`` must not be NULL.
+    size is spread over all key ranges. NULL in ``by`` is a group of its own.
     """
     if bounds is None:
         bounds = key_bounds(df, order)
@@ -82,8 +81,15 @@ def running_total(
     earlier_rows = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("__inside", F.coalesce(F.sum("__value").over(earlier_rows), zero))
     return (
-        inside.join(starts, group)
+        join_null_safe(inside, starts, group, "inner")
         .withColumn(name, F.col("__start") + F.col("__inside"))
-        .drop("__start", "__inside", "__value", RANGE)
         .select(*df.columns, name)
     )
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which NULL meets NULL; the keys come from ``left``."""
+    keys = {c: f"__key_{n}" for n, c in enumerate(on)}
+    renamed = right.withColumnsRenamed(keys)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return left.join(renamed, reduce(Column.__and__, same, F.lit(True)), how).drop(*keys.values())

@@ -37,3 +37,8 @@ def log_softmax(values: Column) -> Column:
 def log_add_exp(left: Column, right: Column) -> Column:
     """``ln(exp(a) + exp(b))``."""
     return F.greatest(left, right) + F.log1p(F.exp(-F.abs(left - right)))
+
+
+def whole_div(left: Column, right: Column) -> Column:
+    """Whole-number division of two BIGINT columns, without a detour over DOUBLE."""
+    return F.call_function("div", left.cast("bigint"), right.cast("bigint"))

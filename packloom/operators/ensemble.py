@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.joins import join_bounded
+from packloom.functions.index import join_null_safe
 from packloom.functions.numeric import log_add_exp, log_softmax, log_sum_exp, log_sum_exp_columns
 from packloom.operators.rows import first_sequences
 
@@ -72,19 +72,18 @@ def _with_prior(wide: DataFrame, prior: DataFrame | None, experts: Sequence[str]
     if prior is None:
         return wide.withColumns({f"prior_{i}": F.lit(0.0) for i in range(len(experts))})
     priors = [F.max(F.when(F.col("expert") == e, F.col("log_prior"))).alias(f"prior_{i}") for i, e in enumerate(experts)]
-    return join_bounded(wide, prior.groupBy(*by).agg(*priors), by, "left")
+    return join_null_safe(wide, prior.groupBy(*by).agg(*priors), by)
 
 
-def _average(experts: Sequence[str]) -> Column:
+def _average(log_probs: Sequence[Column]) -> Column:
     """Mean of the experts' log-probabilities: a geometric mean, not renormalised."""
-    log_probs = _slots("lp", experts)
     present = sum((lp.isNotNull().cast("int") for lp in log_probs), F.lit(0))
     return sum((F.coalesce(lp, F.lit(0.0)) for lp in log_probs), F.lit(0.0)) / present
 
 
-def _mixture(experts: Sequence[str], weights: Sequence[Column]) -> Column:
+def _mixture(log_probs: Sequence[Column], weights: Sequence[Column]) -> Column:
     """Log of the posterior-weighted mean probability; ``weights`` are unnormalised log weights."""
-    joint = [w + lp for w, lp in zip(weights, _slots("lp", experts), strict=True)]
+    joint = [w + lp for w, lp in zip(weights, log_probs, strict=True)]
     return log_sum_exp_columns(joint) - log_sum_exp_columns(weights)
 
 
@@ -94,7 +93,7 @@ def _weights(experts: Sequence[str], prior: str = "prior") -> list[Column]:
 
 def ensemble_simple_avg(scores: DataFrame, experts: Sequence[str], by: Sequence[str] = DOMAIN) -> DataFrame:
     """Perplexity of the averaged log-probabilities; the average needs only the label's entry."""
-    return perplexity(_wide(scores, experts, by).select(*by, _average(experts).alias("log_prob")), by)
+    return perplexity(_wide(scores, experts, by).select(*by, _average(_slots("lp", experts)).alias("log_prob")), by)
 
 
 def expert_posterior(
@@ -119,7 +118,7 @@ def ensemble_mixture(
 ) -> DataFrame:
     """Perplexity of the posterior-weighted mixture, with a prior or with the uniform one."""
     wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
-    return perplexity(wide.select(*by, _mixture(experts, _weights(experts)).alias("log_prob")), by)
+    return perplexity(wide.select(*by, _mixture(_slots("lp", experts), _weights(experts)).alias("log_prob")), by)
 
 
 def ensemble_uniform_prior(scores: DataFrame, experts: Sequence[str], by: Sequence[str] = DOMAIN) -> DataFrame:
@@ -154,20 +153,15 @@ def sequence_posterior(
     return totals.select(*by, "seq_id", F.inline(entries))
 
 
-def cached_prior(
-    scores: DataFrame, experts: Sequence[str], k: int = 100, decay: float = 0.3, by: Sequence[str] = DOMAIN
-) -> DataFrame:
-    """Prior of each domain from its first ``k`` sequences: ``(*by, expert, log_prior)``.
+def _prior_steps(scores: DataFrame, experts: Sequence[str], k: int, by: Sequence[str]) -> DataFrame:
+    """``steps``: the first ``k`` sequences' log-likelihoods of each group in order, one number per expert."""
+    totals = _sequence_totals(first_sequences(scores, k), experts, by)
+    return totals.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq_id", "ll")))["ll"].alias("steps"))
 
-    A fold in sequence order. Sequence n replaces the prior by its posterior plus the old prior times ``decay ** n``,
-    so what came before fades ever faster. What is gathered per domain is k rows of one number per expert.
-    """
-    gathered = (
-        _sequence_totals(first_sequences(scores, k), experts, by)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(F.struct("seq_id", "ll")))["ll"].alias("steps"))
-    )
-    start = F.struct(F.lit(0).alias("n"), F.array(*[F.lit(0.0) for _ in experts]).alias("prior"))
+
+def _folded_prior(steps: Column, size: int, decay: float) -> Column:
+    """Log-softmax of the fold over ``steps``, arrays of ``size`` log-likelihoods."""
+    start = F.struct(F.lit(0).alias("n"), F.array(*[F.lit(0.0)] * size).alias("prior"))
 
     def update(state: Column, log_likelihood: Column) -> Column:
         n = state["n"] + 1
@@ -175,16 +169,33 @@ def cached_prior(
         faded = F.transform(state["prior"], lambda x: x + n * F.log(F.lit(decay)))
         return F.struct(n.alias("n"), F.zip_with(faded, posterior, log_add_exp).alias("prior"))
 
-    folded = gathered.select(*by, F.aggregate("steps", start, update, lambda state: state["prior"]).alias("__prior"))
-    entries = F.arrays_zip(_names(experts), log_softmax(F.col("__prior")).alias("log_prior"))
-    return folded.select(*by, F.inline(entries)).where(F.col("log_prior").isNotNull())
+    return log_softmax(F.aggregate(steps, start, update, lambda state: state["prior"]))
+
+
+def _members_of(steps: Column, taken: Sequence[int]) -> Column:
+    """The chosen entries of every step."""
+    return F.transform(steps, lambda ll: F.array(*[ll[i] for i in taken]))
+
+
+def cached_prior(
+    scores: DataFrame, experts: Sequence[str], k: int, decay: float = 0.3, by: Sequence[str] = DOMAIN
+) -> DataFrame:
+    """Prior of each domain from its first ``k`` sequences: ``(*by, expert, log_prior)``.
+
+    A fold in sequence order. Sequence n replaces the prior by its posterior plus the old prior times ``decay ** n``,
+    so what came before fades ever faster. What is gathered per domain is k rows of one number per expert.
+    """
+    gathered = _prior_steps(scores, experts, k, by)
+    prior = _folded_prior(F.col("steps"), len(experts), decay)
+    entries = F.arrays_zip(_names(experts), prior.alias("log_prior"))
+    return gathered.select(*by, F.inline(entries)).where(F.col("log_prior").isNotNull())
 
 
 def ensemble_cached_prior(
     scores: DataFrame,
     experts: Sequence[str],
+    k: int,
     prior_scores: DataFrame | None = None,
-    k: int = 100,
     decay: float = 0.3,
     by: Sequence[str] = DOMAIN,
 ) -> DataFrame:
@@ -194,33 +205,35 @@ def ensemble_cached_prior(
 
 
 def ensemble_losses(
-    scores: DataFrame, experts: Sequence[str], k: int = 100, decay: float = 0.3, by: Sequence[str] = DOMAIN
+    scores: DataFrame, experts: Sequence[str], k: int, decay: float = 0.3, by: Sequence[str] = DOMAIN
 ) -> DataFrame:
     """``(*by, method, n_tokens, perplexity)`` for all three methods from one pass over the scores."""
     prior = cached_prior(scores, experts, k, decay, by)
     wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
-    log_probs = {
-        "simple_avg": _average(experts),
-        "uniform_prior": _mixture(experts, _slots("ll", experts)),
-        "cached_prior": _mixture(experts, _weights(experts)),
-    }
-    sums = wide.groupBy(*by).agg(
-        F.count("*").alias("n_tokens"), *[F.sum(lp).alias(method) for method, lp in log_probs.items()]
-    )
-    entries = F.array(
-        *[
-            F.struct(F.lit(m).alias("method"), F.exp(-F.col(m) / F.col("n_tokens")).alias("perplexity"))
-            for m in METHODS
-        ]
-    )
+    log_probs = _methods(_slots("lp", experts), _slots("ll", experts), _weights(experts))
+    sums = wide.groupBy(*by).agg(F.count("*").alias("n_tokens"), *[F.sum(lp).alias(m) for m, lp in log_probs.items()])
+    entries = F.array(*[_loss(m, F.col(m)) for m in METHODS])
     return sums.select(*by, "n_tokens", F.inline(entries))
 
 
+def _methods(log_probs: Sequence[Column], likelihoods: Sequence[Column], weights: Sequence[Column]) -> dict[str, Column]:
+    """Log-probability of a position by each method."""
+    return {
+        "simple_avg": _average(log_probs),
+        "uniform_prior": _mixture(log_probs, likelihoods),
+        "cached_prior": _mixture(log_probs, weights),
+    }
+
+
+def _loss(method: str, total: Column) -> Column:
+    return F.struct(F.lit(method).alias("method"), F.exp(-total / F.col("n_tokens")).alias("perplexity"))
+
+
 def ensemble_report(
     scores: DataFrame,
     experts: Sequence[str],
     domains: Sequence[str],
-    k: int = 100,
+    k: int,
     decay: float = 0.3,
     by: Sequence[str] = DOMAIN,
 ) -> DataFrame:
@@ -238,23 +251,33 @@ def compare_ensembles(
     scores: DataFrame,
     experts: Sequence[str],
     ensembles: dict[str, Sequence[str]],
-    k: int = 100,
+    k: int,
     decay: float = 0.3,
     by: Sequence[str] = DOMAIN,
 ) -> DataFrame:
     """Several ensembles on the same evaluation data in one job: ``(ensemble, *by, method, n_tokens, perplexity)``.
 
-    Every position is repeated once per ensemble with its members in numbered places; an ensemble smaller than the
-    largest leaves places empty.
+    Positions are exchanged once, by sequence, with a column per distinct expert; histories are shared, and every
+    ensemble's sums are columns of one aggregate that is unfolded afterwards. The sequences that priors come from are
+    gathered once for all ensembles.
     """
-    places = [str(i) for i in range(max(len(members) for members in ensembles.values()))]
     at = {e: i for i, e in enumerate(experts)}
-    empty = F.lit(None).cast("double")
-
-    def row(name: str, members: Sequence[str]) -> Column:
-        taken = [F.col(f"lp_{at[e]}") for e in members] + [empty] * (len(places) - len(members))
-        return F.struct(F.lit(name).alias("ensemble"), F.array(*taken).alias("log_probs"))
-
-    rows = F.array(*[row(name, members) for name, members in ensembles.items()])
-    placed = _wide(scores, experts, by).select(*by, "seq_id", "pos", F.inline(rows))
-    return ensemble_losses(placed, places, k, decay, ("ensemble", *by))
+    places = {name: [at[e] for e in members] for name, members in ensembles.items()}
+    priors = _prior_steps(scores, experts, k, by)
+    chosen = {
+        f"prior_{j}": _folded_prior(_members_of(F.col("steps"), taken), len(taken), decay)
+        for j, taken in enumerate(places.values())
+    }
+    wide = join_null_safe(_with_history(scores, experts, by), priors.withColumns(chosen).drop("steps"), by)
+    sums = {}
+    for j, taken in enumerate(places.values()):
+        log_probs, likelihoods = [F.col(f"lp_{i}") for i in taken], [F.col(f"ll_{i}") for i in taken]
+        weights = [F.get(f"prior_{j}", n) + ll for n, ll in enumerate(likelihoods)]
+        sums |= {f"{m}_{j}": F.sum(lp) for m, lp in _methods(log_probs, likelihoods, weights).items()}
+    totals = wide.groupBy(*by).agg(F.count("*").alias("n_tokens"), *[s.alias(c) for c, s in sums.items()])
+    entries = [
+        F.struct(F.lit(name).alias("ensemble"), F.array(*[_loss(m, F.col(f"{m}_{j}")) for m in METHODS]).alias("losses"))
+        for j, name in enumerate(ensembles)
+    ]
+    unfolded = totals.select(*by, "n_tokens", F.inline(F.array(*entries)))
+    return unfolded.select("ensemble", *by, "n_tokens", F.inline("losses"))

@@ -12,12 +12,12 @@ A context never counted leaves p2 = p1 and p1 = p0, so experts of any order are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.joins import join_bounded, lookup_salted
+from packloom.functions.index import join_null_safe
 from packloom.functions.staging import stage
 from packloom.operators.rows import times_seen
 from packloom.operators.tokens import training_pairs
@@ -50,14 +50,16 @@ def fit_expert(pairs: DataFrame, order: int | Column, weight: Column | None = No
     )
 
 
-def continue_expert(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """Start from the counts of ``base`` and add those of ``extra``; the result carries ``extra``'s names.
+def continue_experts(bases: DataFrame, extra: DataFrame, plan: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """Each expert of ``extra`` starts from the counts of a base of its own: ``(expert, order, ctx2, ctx1, tok, n)``.
 
-    Every expert of ``extra`` continues from ``base``, a single expert.
+    ``plan`` lists ``(expert, base, base_step)``; ``bases`` are stored experts with their ``step``. A base and the
+    expert that continues it have the same order. An expert without a base in the plan is left as it is.
     """
-    names = F.array(*[F.lit(e) for e in expert_names(extra)])
-    inherited = base.withColumn("expert", F.explode(names))
-    return inherited.unionByName(extra).groupBy(*COUNT_KEYS).agg(F.sum("n").alias("n"))
+    listed = extra.sparkSession.createDataFrame(list(plan), "child string, base string, base_step int")
+    met = (F.col("expert") == F.col("base")) & (F.col("step") == F.col("base_step"))
+    inherited = bases.join(F.broadcast(listed), met).withColumn("expert", F.col("child")).select(*COUNT_KEYS, "n")
+    return inherited.unionByName(extra.select(*COUNT_KEYS, "n")).groupBy(*COUNT_KEYS).agg(F.sum("n").alias("n"))
 
 
 def fit_experts(packed: DataFrame, plan: Sequence[tuple[str, str, int, int]], accum: int, batch_size: int) -> DataFrame:
@@ -124,7 +126,7 @@ def gram_log_probs(
         return seen / F.lit(totals.get(experts[i], 0) + alpha * vocab_size)
 
     asked = grams.groupBy("ctx1", "tok").agg(F.sum("uses").alias("uses"))
-    pairs = join_bounded(_with_counts(asked, counts, 1, ["ctx1"], experts), by_word, ["tok"]).select(
+    pairs = _with_counts(asked, counts, 1, ["ctx1"], experts).join(by_word, "tok", "left").select(
         "ctx1", "tok", *[backed_off(i, p0(i)).alias(f"p1_{i}") for i in places]
     )
     triples = _with_counts(grams, counts, 2, ["ctx2", "ctx1"], experts).join(pairs, ["ctx1", "tok"])
@@ -139,18 +141,23 @@ def score_positions(
     vocab_size: int,
     alpha: float = 0.1,
     beta: float = 1.0,
-    rows_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """``(domain, split, seq_id, pos, log_probs)``: the label's log-probability, one array entry per expert.
 
-    Probabilities are worked out once per distinct n-gram; positions then look theirs up, hot n-grams salted.
+    Probabilities are worked out once per distinct n-gram; positions then look theirs up by an exchange on the
+    n-gram, where adaptive execution splits hot ones. Domain and split travel as one small number: their distinct
+    pairs are numbered, which needs one task for as many rows as there are pairs. ``pairs`` and ``counts`` are read
+    twice; give stored ones.
     """
-    located = pairs.select(*POSITION, F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
+    groups = pairs.select("domain", "split").distinct()
+    number = F.row_number().over(Window.orderBy("domain", "split")).alias("group")
+    groups = stage(groups.select("domain", "split", number), "groups")
+    coded = join_null_safe(pairs, groups, ["domain", "split"], "inner")
+    located = coded.select("group", "seq_id", "pos", F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
     keys = ["ctx2", "ctx1", "tok"]
     grams = located.groupBy(*keys).agg(F.count("*").alias("uses"))
-    table = stage(gram_log_probs(grams, counts, experts, vocab_size, alpha, beta), "gram-log-probs")
-    found = lookup_salted(located, table, keys, "uses", F.struct(*POSITION), rows_per_salt)
-    return found.select(*POSITION, "log_probs")
+    table = gram_log_probs(grams, counts, experts, vocab_size, alpha, beta).drop("uses")
+    return located.join(table, keys).join(groups, "group").select(*POSITION, "log_probs")
 
 
 def by_expert(positions: DataFrame, experts: Sequence[str]) -> DataFrame:
@@ -163,30 +170,3 @@ def by_expert(positions: DataFrame, experts: Sequence[str]) -> DataFrame:
 def score(pairs: DataFrame, counts: DataFrame, experts: Sequence[str], vocab_size: int, **options: float) -> DataFrame:
     """``(domain, split, seq_id, pos, expert, log_prob)`` of every label under every expert."""
     return by_expert(score_positions(pairs, counts, experts, vocab_size, **options), experts)
-
-
-def score_with(packed: DataFrame, make_model: Callable[[], Callable]) -> DataFrame:
-    """Scores from the caller's own models, loaded once per task.
-
-    ``make_model()`` returns a function from two integer matrices, inputs and labels of a batch of sequences, to a
-    dict of expert name to matrix of label log-probabilities.
-    """
-    schema = "domain string, split string, seq_id bigint, pos int, expert string, log_prob double"
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        model = make_model()
-        for batch in batches:
-            if batch.empty:
-                continue
-            labels = np.stack(batch["label"].to_list())
-            scored = model(np.stack(batch["input_ids"].to_list()), labels)
-            rows, length = labels.shape
-            where = batch[["domain", "split", "seq_id"]].loc[batch.index.repeat(length)].reset_index(drop=True)
-            where["pos"] = np.tile(np.arange(length, dtype="int32"), rows)
-            for expert, log_probs in scored.items():
-                yield pd.concat([where, pd.DataFrame({"expert": expert, "log_prob": log_probs.ravel()})], axis=1)
-
-    return packed.select("domain", "split", "seq_id", "input_ids", "label").mapInPandas(run, schema)

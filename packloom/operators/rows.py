@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.index import Bounds, running_total
-from packloom.functions.joins import join_bounded
+from packloom.functions.index import Bounds, join_null_safe, running_total
+from packloom.functions.numeric import whole_div
 
 
 def drop_empty(df: DataFrame, col: str = "text") -> DataFrame:
@@ -41,9 +41,18 @@ def split_corpus(df: DataFrame, key: str, weights: tuple[int, int, int] = (8, 1,
     return df.withColumn("split", name)
 
 
-def shuffle_key(key: str, seed: int) -> Column:
-    """Random but repeatable sort key of a row."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds ``file_path`` and ``row_index``, a composite order key for files that carry none of their own.
+
+    ``df`` comes straight from files; the key is the same on every read as long as they are not changed.
+    """
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def shuffle_key(key: str | Sequence[str], seed: int) -> Column:
+    """Random but repeatable sort key of a row; NULL parts of the key count as empty."""
+    parts = [key] if isinstance(key, str) else list(key)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
 
 
 def shuffle_shard(draw: Column, shards: int) -> Column:
@@ -52,15 +61,18 @@ def shuffle_shard(draw: Column, shards: int) -> Column:
     return F.shiftright(place * F.lit(shards), 32).cast("int")
 
 
-def shuffle_rows(df: DataFrame, key: str, seed: int, shards: int) -> DataFrame:
-    """Random order over the whole table, in ``shards`` partitions that follow each other in it.
+def shuffle_rows(df: DataFrame, key: str | Sequence[str], seed: int, shards: int, parts: int = 1) -> DataFrame:
+    """Random order over the whole table, with ``shard``: ``shards`` stretches that follow each other in it.
 
-    The draw is uniform, so the stretches are known beforehand: one exchange and no sampling pass. ``key`` is unique.
+    The draw is uniform, so the stretches are known beforehand: one exchange and no sampling pass. Each shard is dealt
+    to ``parts`` tasks that follow each other, so that a shard may be larger than a task. ``key`` is unique.
     """
-    drawn = df.withColumn("__draw", shuffle_key(key, seed))
+    keys = [key] if isinstance(key, str) else list(key)
+    drawn = df.withColumn("__draw", shuffle_key(keys, seed))
     return (
-        drawn.repartitionById(shards, shuffle_shard(F.col("__draw"), shards))
-        .sortWithinPartitions("__draw", key)
+        drawn.repartitionById(shards * parts, shuffle_shard(F.col("__draw"), shards * parts))
+        .sortWithinPartitions("__draw", *keys)
+        .withColumn("shard", shuffle_shard(F.col("__draw"), shards))
         .drop("__draw")
     )
 
@@ -77,7 +89,7 @@ def reshard(df: DataFrame, shards: int, index: str | None = None) -> DataFrame:
 
 def assign_batches(df: DataFrame, batch_size: int, index: str = "chunk") -> DataFrame:
     """Consecutive rows of a rank form a batch; a short last batch is kept. ``index`` is dense within the rank."""
-    return df.withColumn("batch_id", F.floor(F.col(index) / F.lit(batch_size)).cast("bigint"))
+    return df.withColumn("batch_id", whole_div(F.col(index), F.lit(batch_size)))
 
 
 def limit_eval_batches(df: DataFrame, eval_steps: int) -> DataFrame:
@@ -85,15 +97,15 @@ def limit_eval_batches(df: DataFrame, eval_steps: int) -> DataFrame:
     return df.where(F.col("batch_id") <= eval_steps) if eval_steps > 0 else df
 
 
-def first_sequences(df: DataFrame, k: int = 100, index: str = "seq_id") -> DataFrame:
+def first_sequences(df: DataFrame, k: int, index: str = "seq_id") -> DataFrame:
     """The first ``k`` sequences of every domain, all domains in one pass."""
     return df.where(F.col(index) < k)
 
 
 def _batches_per_rank(df: DataFrame, batch_size: int, by: Sequence[str]) -> DataFrame:
-    batches = df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(batch_size)).cast("bigint").alias("__batches"))
+    batches = df.groupBy(*by).agg(whole_div(F.count("*") + F.lit(batch_size - 1), F.lit(batch_size)).alias("__batches"))
     batched = assign_batches(df, batch_size)
-    return join_bounded(batched, batches, by, "inner")
+    return join_null_safe(batched, batches, by, "inner")
 
 
 def training_schedule(
@@ -106,11 +118,11 @@ def training_schedule(
     """
     budget = F.lit(steps * accum).cast("bigint")
     rows = _batches_per_rank(df, batch_size, by).where(F.col("batch_id") < budget)
-    last_epoch = F.floor((budget - 1 - F.col("batch_id")) / F.col("__batches"))
+    last_epoch = whole_div(budget - 1 - F.col("batch_id"), F.col("__batches"))
     return (
         rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last_epoch)))
         .withColumn("micro", F.col("epoch") * F.col("__batches") + F.col("batch_id"))
-        .withColumn("step", F.floor(F.col("micro") / F.lit(accum)) + 1)
+        .withColumn("step", whole_div(F.col("micro"), F.lit(accum)) + 1)
         .drop("__batches")
     )
 
@@ -125,10 +137,29 @@ def times_seen(
     """The schedule without its rows: how often each sequence is used within ``steps`` (a column or literal)."""
     budget = (steps * F.lit(accum)).cast("bigint")
     rows = _batches_per_rank(df, batch_size, by).where(F.col("batch_id") < budget)
-    uses = F.floor((budget - 1 - F.col("batch_id")) / F.col("__batches")) + 1
+    uses = whole_div(budget - 1 - F.col("batch_id"), F.col("__batches")) + 1
     return rows.withColumn("times_seen", uses.cast("bigint")).drop("__batches")
 
 
 def snapshot(schedule: DataFrame, step: int) -> DataFrame:
     """What an expert had seen when it was saved at ``step``."""
     return schedule.where(F.col("step") <= step)
+
+
+def snapshots(
+    df: DataFrame, steps: Sequence[int], accum: int, batch_size: int, by: Sequence[str] = ("domain", "split", "rank")
+) -> DataFrame:
+    """How often each sequence was used by each of several steps, ``times_seen``, and its ``last_micro``.
+
+    One pass in closed form: a row per sequence and step that has used it.
+    """
+    rows = _batches_per_rank(df, batch_size, by)
+    each = rows.withColumn("snapshot", F.explode(F.array(*[F.lit(s).cast("bigint") for s in steps])))
+    budget = F.col("snapshot") * F.lit(accum)
+    uses = whole_div(budget - 1 - F.col("batch_id"), F.col("__batches")) + 1
+    return (
+        each.where(F.col("batch_id") < budget)
+        .withColumn("times_seen", uses)
+        .withColumn("last_micro", (F.col("times_seen") - 1) * F.col("__batches") + F.col("batch_id"))
+        .drop("__batches")
+    )

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from packloom.functions.index import Bounds, running_total
-from packloom.functions.joins import join_bounded
+from packloom.functions.index import RANGE, Bounds, join_null_safe, range_of, running_total
+from packloom.functions.numeric import whole_div
+from packloom.functions.staging import stage
 
 DOMAIN = ("domain", "split")
 RANK = ("domain", "split", "rank")
+#: a larger vocabulary is refused, since every task holds it
+VOCAB_BYTES = 256 << 20
 
 
 def words(text: Column) -> Column:
@@ -20,14 +22,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\t\\n\\r]+"), "")
 
 
-def build_vocab(
-    df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",), groups: int = 64
-) -> DataFrame:
+def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",)) -> DataFrame:
     """``(token, id, n)``: the specials, then the ``size`` most frequent words; ties in token order.
 
-    Counting combines on the map side, so a word that fills a third of the corpus costs one row per task. Each of
-    ``groups`` hash groups of words first keeps its own ``size`` best, so the last sort sees ``groups * size`` rows
-    at most, however many distinct words there are.
+    Counting combines on the map side, so a word that fills a third of the corpus costs one row per task. The counts'
+    own histogram says at which count the vocabulary ends: words above it are all in, and those at it fill up in
+    token order. Only the words of the vocabulary meet in one task, to be numbered.
     """
     counted = (
         df.select(F.explode(words(F.col("text"))).alias("token"))
@@ -35,11 +35,14 @@ def build_vocab(
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    by_rank = [F.desc("n"), F.asc("token")]
-    in_group = Window.partitionBy(F.pmod(F.hash("token"), F.lit(groups))).orderBy(*by_rank)
-    best = counted.withColumn("__place", F.row_number().over(in_group)).where(F.col("__place") <= size)
-    top = best.drop("__place").orderBy(*by_rank).limit(size)
-    place = F.row_number().over(Window.orderBy(*by_rank)) + F.lit(len(specials) - 1)
+    counted = stage(counted, "word-counts")
+    above = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
+    kinds = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above)
+    last = kinds.where(F.col("above") < size).orderBy("n").first()
+    cut, room = (last["n"], size - last["above"]) if last else (0, 0)
+    at_cut = counted.where(F.col("n") == cut).orderBy("token").limit(room)
+    top = counted.where(F.col("n") > cut).unionByName(at_cut)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(len(specials) - 1)
     ranked = top.select("token", place.cast("int").alias("id"), "n")
     reserved = df.sparkSession.createDataFrame(
         [(token, i, 0) for i, token in enumerate(specials)], "token string, id int, n bigint"
@@ -47,27 +50,32 @@ def build_vocab(
     return reserved.unionByName(ranked)
 
 
-def vocab_table(vocab: DataFrame, slots: int = 8192) -> DataFrame:
-    """The vocabulary as one row holding a hash table: slot ``hash(token) % slots`` maps its tokens to ids."""
-    slot = F.pmod(F.hash("token"), F.lit(slots)).alias("slot")
-    filled = vocab.groupBy(slot).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))
-    every = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+def vocab_table(vocab: DataFrame, most_bytes: int = VOCAB_BYTES) -> DataFrame:
+    """The vocabulary as one row holding a hash table of as many slots as words: slot to its tokens' ids.
+
+    A vocabulary of more than ``most_bytes`` raises an error.
+    """
+    weight = F.sum(F.octet_length("token") + F.lit(32))
+    size = vocab.agg(F.count("*").alias("n"), weight.alias("bytes"))
+    limit = F.when(F.col("bytes") > most_bytes, F.raise_error(F.lit("vocabulary too large to look up in place")).cast("int"))
+    slots = size.select(F.coalesce(limit, F.greatest(F.col("n"), F.lit(1)).cast("int")).alias("slots"))
+    slot = F.pmod(F.hash("token"), slots.scalar())
+    filled = vocab.groupBy(slot.alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))
+    every = slots.select(F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     in_order = F.array_sort(F.collect_list(F.struct("slot", "ids")), lambda a, b: a["slot"] - b["slot"])
     return every.join(filled, "slot", "left").agg(in_order.alias("table")).select(F.col("table.ids").alias("table"))
 
 
-def encode(
-    df: DataFrame, vocab: DataFrame, unk_id: int = 0, bos_id: int | None = None, slots: int = 8192
-) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, unk_id: int = 0, bos_id: int | None = None) -> DataFrame:
     """Adds ``ids ARRAY<INT>`` for ``text``; unknown words become ``unk_id``; empty text gives no tokens at all.
 
-    The vocabulary, whose size its builder bounds, reaches the tasks as a scalar subquery, and words are looked up
-    in place: no token becomes a row and neither text nor tokens are exchanged.
+    The vocabulary, of bounded size, reaches the tasks as a scalar subquery, and words are looked up in place: no
+    token becomes a row and neither text nor tokens are exchanged.
     """
-    table = vocab_table(vocab, slots).scalar()
+    table = vocab_table(vocab).scalar()
 
     def lookup(word: Column) -> Column:
-        ids = F.get(F.col("__vocab"), F.pmod(F.hash(word), F.lit(slots)))
+        ids = F.get(F.col("__vocab"), F.pmod(F.hash(word), F.size("__vocab")))
         return F.coalesce(F.try_element_at(ids, word), F.lit(unk_id))
 
     found = F.transform(words(F.col("text")), lookup)
@@ -78,19 +86,6 @@ def encode(
     return df.withColumn("__vocab", table).withColumn("ids", ids).drop("__vocab")
 
 
-def encode_with(df: DataFrame, make_encoder: Callable[[], Callable[[str], Iterable[int]]], key: str) -> DataFrame:
-    """``(key, ids)`` by the caller's own tokenizer, built once per task and fed Arrow batches."""
-
-    def run(batches: Iterator) -> Iterator:
-        encoder = make_encoder()
-        for batch in batches:
-            batch["ids"] = [list(encoder(text)) if text else [] for text in batch["text"]]
-            yield batch[[key, "ids"]]
-
-    schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(key, "text").mapInPandas(run, schema)
-
-
 def token_offsets(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = RANK, size: str = "n_tokens", bounds: Bounds | None = None
 ) -> DataFrame:
@@ -98,55 +93,101 @@ def token_offsets(
     return running_total(df, F.col(size), order, by, "offset", bounds)
 
 
-def pack(encoded: DataFrame, offsets: DataFrame, key: str, seq_len: int, by: Sequence[str] = RANK) -> DataFrame:
+def _placed(df: DataFrame, order: Sequence[str], bounds: Bounds, *first: str) -> DataFrame:
+    """``df`` exchanged by key range, with its dense ``__place`` inside range and domain; ``first`` sorts before it."""
+    ranged = df.withColumn(RANGE, F.coalesce(F.col(RANGE), range_of(df, order, bounds)) if RANGE in df.columns else range_of(df, order, bounds))
+    in_range = Window.partitionBy(RANGE, *DOMAIN).orderBy(*first, *order)
+    return ranged.repartition(RANGE).withColumn("__place", F.row_number().over(in_range).cast("bigint") - 1)
+
+
+def range_starts(df: DataFrame, order: Sequence[str], bounds: Bounds, world_size: int, seq_len: int) -> DataFrame:
+    """What lies before each key range: one row per range and domain, whatever the number of documents.
+
+    ``first`` is the index of its first document; entry q of ``starts`` belongs to the rank of its documents whose
+    place leaves q when divided by ``world_size``: that rank's tokens before the range, and its first ``seq_id``.
+    """
+    turn = F.col("__place") % F.lit(world_size)
+    sums = (
+        _placed(df, order, bounds)
+        .groupBy(RANGE, *DOMAIN, turn.alias("turn"))
+        .agg(F.count("*").alias("docs"), F.sum("n_tokens").cast("bigint").alias("tokens"))
+    )
+    earlier = Window.partitionBy(*DOMAIN).orderBy(RANGE).rangeBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    numbered = sums.withColumn("first", F.coalesce(F.sum("docs").over(earlier), zero))
+    numbered = numbered.withColumn("rank", F.pmod(F.col("first") + F.col("turn"), F.lit(world_size)).cast("int"))
+    of_rank = Window.partitionBy(*RANK).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.withColumn("start", F.coalesce(F.sum("tokens").over(of_rank), zero))
+    chunks = F.greatest(zero, whole_div(F.sum("tokens") - 1, F.lit(seq_len)))
+    ranks = numbered.groupBy(*RANK).agg(chunks.alias("chunks"))
+    before = Window.partitionBy(*DOMAIN).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranks.withColumn("first_seq", F.coalesce(F.sum("chunks").over(before), zero)).drop("chunks")
+    entry = F.struct("turn", "start", "first_seq")
+    return (
+        join_null_safe(numbered, ranks, RANK, "inner")
+        .groupBy(RANGE, *DOMAIN)
+        .agg(F.max("first").alias("first"), F.sort_array(F.collect_list(entry)).alias("starts"))
+    )
+
+
+def lay_out(
+    df: DataFrame, starts: DataFrame, order: Sequence[str], bounds: Bounds, world_size: int
+) -> DataFrame:
+    """Adds ``index``, ``rank``, ``offset`` and ``first_seq`` to documents; they stay partitioned by key range.
+
+    ``starts`` comes from ``range_starts`` over the same documents. Its rows travel in the same exchange as the
+    documents and stand first in their range, so there is no join and repeated keys do no harm.
+    """
+    marked = df.withColumn("__doc", F.lit(True)).withColumn(RANGE, range_of(df, order, bounds))
+    both = marked.unionByName(starts.withColumn("__doc", F.lit(False)), allowMissingColumns=True)
+    placed = _placed(both, order, bounds, "__doc")
+    so_far = Window.partitionBy(RANGE, *DOMAIN).orderBy("__doc", *order)
+    known = placed.withColumns({"first": F.max("first").over(so_far), "starts": F.max("starts").over(so_far)})
+    docs = known.where("__doc").withColumn("__place", F.col("__place") - 1)
+    turn = (F.col("__place") % F.lit(world_size)).cast("int")
+    docs = docs.withColumns({"__turn": turn, "index": F.col("first") + F.col("__place")})
+    inside = Window.partitionBy(RANGE, *DOMAIN, "__turn").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.get("starts", F.col("__turn"))
+    offset = entry["start"] + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("bigint"))
+    return docs.withColumns(
+        {"rank": F.pmod("index", F.lit(world_size)).cast("int"), "offset": offset, "first_seq": entry["first_seq"]}
+    ).drop("__doc", "__place", "__turn", "first", "starts")
+
+
+def pack(laid_out: DataFrame, seq_len: int) -> DataFrame:
     """Cut every rank's token stream into windows of ``seq_len + 1`` tokens that overlap by one.
 
-    ``encoded`` is ``(key, ids)``, ``offsets`` is ``(key, *by, offset)``. Each document is cut where it lies; only
-    the pieces travel, grouped by window, and a window holds at most ``seq_len + 1`` tokens. A last window without
-    its look-ahead token is dropped, so N tokens give ``(N - 1) div seq_len`` windows. Gives ``(*by, chunk, tokens)``.
+    ``laid_out`` is ``lay_out``'s result with ``ids``. Windows inside a key range are put together where they lie;
+    only the pieces of windows across ranges, at most two per range and rank, travel on. A last window without its
+    look-ahead token is dropped, so N tokens give ``(N - 1) div seq_len`` windows. Gives
+    ``(domain, split, rank, chunk, seq_id, tokens)``; a window of more tokens than fit raises an error.
     """
     length = F.lit(seq_len).cast("bigint")
-    start, size = F.col("offset"), F.size("ids")
-    first = F.greatest(F.lit(0), F.floor((start - 1) / length))
-    last = F.floor((start + size - 1) / length)
+    start, size = F.col("offset"), F.size("ids").cast("bigint")
+    first = F.greatest(F.lit(0).cast("bigint"), whole_div(start - 1, length))
+    last = whole_div(start + size - 1, length)
 
     chunk = F.col("chunk")
     low = F.greatest(start, chunk * length)
     high = F.least(start + size, chunk * length + length + 1)
     cut = F.slice("ids", (low - start + 1).cast("int"), (high - low).cast("int"))
-    # cutting outside a lambda keeps it in generated code, which copies just the piece and not the document
+    window = ["first_seq", *RANK, "chunk"]
     pieces = (
-        encoded.select(key, "ids")
-        .where(F.size("ids") > 0)
-        .join(offsets.select(key, *by, "offset"), key)
-        .select("ids", *by, "offset", F.explode(F.sequence(first, last)).alias("chunk"))
-        .select(*by, "chunk", low.alias("low"), cut.alias("cut"))
+        laid_out.where(F.size("ids") > 0)
+        .select(RANGE, "first_seq", *RANK, "ids", "offset", F.explode(F.sequence(first, last)).alias("chunk"))
+        .select(RANGE, *window, low.alias("low"), cut.alias("cut"))
     )
-    ordered = F.sort_array(F.collect_list(F.struct("low", "cut")))
-    return (
-        pieces.groupBy(*by, "chunk")
-        .agg(F.flatten(ordered["cut"]).alias("tokens"))
-        .where(F.size("tokens") == seq_len + 1)
+    near = pieces.groupBy(RANGE, *window).agg(
+        F.sort_array(F.collect_list(F.struct("low", "cut"))).alias("cuts"), F.sum(F.size("cut")).alias("n")
     )
-
-
-def number_sequences(packed: DataFrame, offsets: DataFrame, seq_len: int, size: str = "n_tokens") -> DataFrame:
-    """Adds ``seq_id``: dense position of a window in its domain and split, by rank, then window.
-
-    Where a rank starts follows from the token totals of the ranks before it, one row per rank.
-    """
-    chunks = F.floor((F.sum(size) - 1) / F.lit(seq_len).cast("bigint"))
-    before = Window.partitionBy(*DOMAIN).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        offsets.groupBy(*RANK)
-        .agg(F.greatest(F.lit(0), chunks).alias("chunks"))
-        .withColumn("first_seq", F.coalesce(F.sum("chunks").over(before), F.lit(0).cast("bigint")))
-        .drop("chunks")
+    whole = near.where(F.col("n") == seq_len + 1).select(*window, "cuts", "n")
+    parts = near.where(F.col("n") != seq_len + 1).groupBy(*window).agg(
+        F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.sum("n").alias("n")
     )
-    return (
-        join_bounded(packed, totals, RANK, "inner")
-        .withColumn("seq_id", F.col("first_seq") + F.col("chunk"))
-        .drop("first_seq")
+    too_long = F.raise_error(F.lit("a window holds more tokens than fit")).cast("boolean")
+    fits = F.when(F.col("n") > seq_len + 1, too_long).otherwise(F.col("n") == seq_len + 1)
+    return whole.unionByName(parts.where(fits)).select(
+        *RANK, "chunk", (F.col("first_seq") + F.col("chunk")).alias("seq_id"), F.flatten(F.col("cuts.cut")).alias("tokens")
     )
 
 

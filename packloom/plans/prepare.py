@@ -7,29 +7,28 @@ from pyspark.sql import functions as F
 
 from packloom.functions.index import key_bounds
 from packloom.functions.staging import stage
-from packloom.operators.rows import shard, with_index
-from packloom.operators.tokens import RANK, encode, label_shift, number_sequences, pack, token_offsets
+from packloom.operators.tokens import encode, label_shift, lay_out, pack, range_starts
 
 
-def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str, bos_id: int | None = None, slots: int = 8192) -> DataFrame:
+def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str, bos_id: int | None = None) -> DataFrame:
     """Encode ``(key, domain, split, text)`` and store the result, which the layout and the packing both read.
 
-    Documents without text stay, as empty arrays: they count in the index that decides the shards.
+    Documents without text stay, as empty arrays: they count in the index that decides the shards. ``digest`` orders
+    documents that share a key.
     """
-    encoded = encode(docs, vocab, bos_id=bos_id, slots=slots).select(key, "domain", "split", "ids")
-    return stage(encoded.withColumn("n_tokens", F.size("ids")), "encoded")
+    encoded = encode(docs, vocab, bos_id=bos_id).select(key, "domain", "split", "ids")
+    return stage(encoded.withColumns({"n_tokens": F.size("ids"), "digest": F.xxhash64("ids")}), "encoded")
 
 
-def document_layout(encoded: DataFrame, key: str, world_size: int) -> DataFrame:
-    """``(key, domain, split, n_tokens, index, rank, offset)``: narrow rows, one per document."""
-    narrow = encoded.select(key, "domain", "split", "n_tokens")
-    bounds = key_bounds(narrow, [key])
-    indexed = with_index(narrow, [key], ["domain", "split"], bounds=bounds)
-    return token_offsets(shard(indexed, world_size), [key], RANK, bounds=bounds)
+def document_layout(encoded: DataFrame, key: str, world_size: int, seq_len: int, *carried: str) -> DataFrame:
+    """``(key, domain, split, n_tokens, index, rank, offset, first_seq)`` and the carried columns of each document."""
+    order = [key, "n_tokens", "digest"]
+    bounds = key_bounds(encoded, order)
+    narrow = encoded.select(*order, "domain", "split")
+    starts = range_starts(narrow, order, bounds, world_size, seq_len)
+    return lay_out(encoded.select(*order, "domain", "split", *carried), starts, order, bounds, world_size)
 
 
 def pack_corpus(encoded: DataFrame, key: str, seq_len: int, world_size: int) -> DataFrame:
     """Packed rows ``(domain, split, rank, chunk, seq_id, input_ids, label)`` of an encoded corpus."""
-    layout = stage(document_layout(encoded, key, world_size), "layout")
-    windows = pack(encoded, layout, key, seq_len)
-    return label_shift(number_sequences(windows, layout, seq_len), seq_len)
+    return label_shift(pack(document_layout(encoded, key, world_size, seq_len, "ids"), seq_len), seq_len)

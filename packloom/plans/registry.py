@@ -20,7 +20,6 @@ SEQ_LEN = 64
 WORLD = 2
 VOCAB_WORDS = 2000
 VOCAB_SIZE = VOCAB_WORDS + 1
-VOCAB_SLOTS = 1024
 BATCH = 42
 ACCUM = 2
 EVAL_BATCH = 10
@@ -32,6 +31,10 @@ RESHARDS = 7
 SEED = 42
 DOMAINS = ("de", "en", "es", "fr")
 SNAPSHOTS = (300, 400, 500)
+PARTS_PER_SHARD = 2
+#: domains that an expert of every capacity learns one after the other, with the steps of each
+CHAIN = (("en", 300), ("de", 400), ("fr", 500))
+ORDERS = (0, 1, 2)
 #: (expert, domain, order, steps); es has no expert of its own
 PLAN = (("de", "de", 1, 300), ("en", "en", 2, 500), ("fr", "fr", 1, 400))
 EXPERTS = tuple(name for name, *_ in PLAN)
@@ -41,6 +44,8 @@ SETUPS = {
     "same_size_unequal_steps": (("de", 1, 300), ("fr", 1, 400), ("en", 1, 500)),
     "unequal_size_same_steps": (("de", 0, 400), ("fr", 1, 400), ("en", 2, 400)),
 }
+#: every domain's expert at several steps
+CURVE_PLAN = tuple((f"{d}_at_{s}", d, 1, s) for d in ("de", "en", "fr") for s in SNAPSHOTS)
 METRIC_WORLD = 4
 METRIC_INTERVAL = 10
 LOGIT_DOMAIN = ("label",)
@@ -53,6 +58,7 @@ def _member(domain: str, order: int, steps: int) -> str:
 SETUP_PLAN = tuple(
     sorted({(_member(*m), m[0], m[1], m[2]) for members in SETUPS.values() for m in members})
 )
+CHAIN_PLAN = tuple((f"{d}_o{o}", d, o, s) for o in ORDERS for d, s in CHAIN)
 ENSEMBLES = {name: tuple(_member(*m) for m in members) for name, members in SETUPS.items()}
 
 
@@ -69,8 +75,7 @@ def _big(*names: str) -> list[Column]:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = corpus.read_corpus(spark, f"{sf_dir}/documents.parquet")
-    named = table.withColumn("domain", F.coalesce("lang", F.lit("")))
-    texts = corpus.spread(corpus.select_text(named, "text", "doc_id", "domain"), "doc_id")
+    texts = corpus.select_text(table.withColumnRenamed("lang", "domain"), "text", "doc_id", "domain")
     return rows.split_corpus(texts, "doc_id")
 
 
@@ -80,7 +85,7 @@ def _vocab(docs: DataFrame) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return encode_corpus(docs, _vocab(docs), "doc_id", slots=VOCAB_SLOTS)
+    return encode_corpus(docs, _vocab(docs), "doc_id")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +104,12 @@ def _train(sequences: DataFrame) -> DataFrame:
     return sequences.where(F.col("split") == "train")
 
 
-def _scored(spark: SparkSession, sf_dir: str, plan: tuple = PLAN) -> DataFrame:
-    """A row per position with an array entry per expert of the plan."""
+def _scored(spark: SparkSession, sf_dir: str, plan: tuple = PLAN, split: str | None = None) -> DataFrame:
+    """A row per position, of one split or all, with an array entry per expert of the plan."""
     sequences = _stored(spark, sf_dir)
     counts = stage(experts.fit_experts(_train(sequences), plan, ACCUM, BATCH), "experts")
+    if split is not None:
+        sequences = sequences.where(F.col("split") == split)
     return experts.score_positions(_pairs(sequences), counts, [p[0] for p in plan], VOCAB_SIZE)
 
 
@@ -152,19 +159,15 @@ def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "packed")
     packed.write_packed(_packed(spark, sf_dir), path, SAMPLES_PER_FILE)
-    back = packed.read_packed(spark, f"{path}/rank=*/*.parquet")
-    return back.select("domain", "split", *_big("seq_id"), _joined("input_ids"), _joined("label"))
+    back = packed.read_packed(spark, path, "domain=*/split=*/rank=*")
+    return back.select("domain", "split", *_big("rank", "chunk", "seq_id"), _joined("input_ids"), _joined("label"))
 
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "packed")
     packed.write_packed(_packed(spark, sf_dir), path, SAMPLES_PER_FILE)
-    rank = F.regexp_extract("file_path", "rank=(\\d+)", 1).cast("bigint")
-    return (
-        packed.manifest(spark, path)
-        .groupBy(rank.alias("rank"))
-        .agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= SAMPLES_PER_FILE).alias("within_cap"))
-    )
+    files = packed.manifest(spark, path)
+    return files.select("domain", "split", *_big("rank"), "first_chunk", "n_rows")
 
 
 def overwrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +199,9 @@ def expert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "experts")
     counts = experts.fit_experts(_train(_stored(spark, sf_dir)), PLAN, ACCUM, BATCH)
-    expert_store.write_expert(counts, path, 500)
-    back = expert_store.read_experts(spark, path, [(e, 500) for e in EXPERTS])
+    steps = F.create_map(*[F.lit(x) for name, _, _, step in PLAN for x in (name, step)])
+    expert_store.write_expert(counts.withColumn("step", steps[F.col("expert")]), path)
+    back = expert_store.read_experts(spark, path, [(name, step) for name, _, _, step in PLAN])
     return back.select("expert", *_big("step", "order", "ctx2", "ctx1", "tok", "n"))
 
 
@@ -213,6 +217,17 @@ def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir)
 
 
+def null_domain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = docs.select("doc_id", F.nullif("lang", F.lit("es")).alias("domain"))
+    return rows.with_index(known, ["doc_id"], ["domain"])
+
+
+def row_key_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = rows.with_row_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.with_index(keyed.select("doc_id", "file_path", "row_index"), ["file_path", "row_index"]).select("doc_id", "index")
+
+
 def turn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_text(spark, sf_dir).select("conv_id", "turn")
     return rows.with_index(turns, ["conv_id", "turn"])
@@ -235,9 +250,16 @@ def shuffled_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.read_corpus(spark, f"{sf_dir}/documents.parquet")
     shuffled = rows.shuffle_rows(docs, "doc_id", SEED, RESHARDS)
-    return shuffled.select(
-        "doc_id", F.spark_partition_id().cast("bigint").alias("shard"), F.md5("text").alias("text_md5")
-    )
+    return shuffled.select("doc_id", *_big("shard"), F.md5("text").alias("text_md5"))
+
+
+def shuffle_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, target = fresh_path(spark, "packed"), fresh_path(spark, "shuffled")
+    packed.write_packed(_packed(spark, sf_dir), stored, SAMPLES_PER_FILE)
+    read = packed.read_packed(spark, stored)
+    shuffled = rows.shuffle_rows(read, ("domain", "split", "seq_id"), SEED, RESHARDS, PARTS_PER_SHARD)
+    shuffled.write.partitionBy("shard").parquet(target)
+    return spark.read.parquet(target).select("domain", "split", *_big("seq_id", "shard"), _joined("label"))
 
 
 def reshard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,16 +303,11 @@ def train_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sequences = _stored(spark, sf_dir).select("domain", "split", "rank", "chunk", "seq_id")
-    planned = rows.training_schedule(sequences, SNAPSHOTS[-1], ACCUM, BATCH)
-    parts = [
-        rows.snapshot(planned, s)
-        .groupBy("domain", "split", *_big("rank"))
-        .agg(F.count("*").alias("n_uses"), F.max("micro").alias("last_micro"))
-        .withColumn("snapshot", F.lit(s).cast("bigint"))
-        for s in SNAPSHOTS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sequences = _packed(spark, sf_dir).select("domain", "split", "rank", "chunk", "seq_id")
+    seen = rows.snapshots(sequences, SNAPSHOTS, ACCUM, BATCH)
+    return seen.groupBy("domain", "split", *_big("rank"), "snapshot").agg(
+        F.sum("times_seen").alias("n_uses"), F.max("last_micro").alias("last_micro")
+    )
 
 
 def times_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,33 +325,17 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    encoded = tokens.encode(docs, _vocab(docs), slots=VOCAB_SLOTS)
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _joined("ids"))
-
-
-def encode_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    ids = spark.sparkContext.broadcast({r["token"]: r["id"] for r in _vocab(docs).collect()})
-
-    def make_encoder() -> Callable[[str], list[int]]:
-        import re
-
-        known, blanks = ids.value, re.compile("[ \t\n\r]+")
-        return lambda text: [known.get(word, 0) for word in blanks.split(text) if word]
-
-    encoded = tokens.encode_with(docs, make_encoder, "doc_id")
+    encoded = tokens.encode(docs, _vocab(docs))
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _joined("ids"))
 
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = document_layout(_encoded(spark, sf_dir), "doc_id", WORLD)
+    layout = document_layout(_encoded(spark, sf_dir), "doc_id", WORLD, SEQ_LEN)
     return layout.select("doc_id", "domain", "split", *_big("rank", "index", "n_tokens", "offset"))
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = _encoded(spark, sf_dir)
-    layout = document_layout(encoded, "doc_id", WORLD)
-    windows = tokens.pack(encoded, layout, "doc_id", SEQ_LEN)
+    windows = tokens.pack(document_layout(_encoded(spark, sf_dir), "doc_id", WORLD, SEQ_LEN, "ids"), SEQ_LEN)
     return windows.select("domain", "split", *_big("rank", "chunk"), _joined("tokens"))
 
 
@@ -366,14 +367,45 @@ def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _count_rows(_seed_expert(_packed(spark, sf_dir)))
 
 
+def _bases(sequences: DataFrame) -> DataFrame:
+    """A seed expert of every capacity, fitted in one job and stored as of step 0."""
+    general = _pairs(_train(sequences), "domain").withColumn("capacity", F.explode(F.array(*[F.lit(o) for o in ORDERS])))
+    named = general.withColumn("expert", F.concat(F.lit("seed_o"), F.col("capacity")))
+    return stage(experts.fit_expert(named, F.col("capacity")).withColumn("step", F.lit(0)), "seeds")
+
+
 def continued_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = _stored(spark, sf_dir)
-    domain = stage(experts.fit_experts(_train(sequences), PLAN, ACCUM, BATCH), "experts")
-    return _count_rows(experts.continue_expert(_seed_expert(sequences), domain))
+    domain = experts.fit_experts(_train(sequences), PLAN, ACCUM, BATCH)
+    bases = [(name, f"seed_o{order}", 0) for name, _, order, _ in PLAN]
+    return _count_rows(experts.continue_experts(_bases(sequences), domain, bases))
+
+
+def expert_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed, then one domain after the other, for each capacity; every link is stored and read at its own step."""
+    sequences, path = _stored(spark, sf_dir), fresh_path(spark, "chains")
+    expert_store.write_expert(_bases(sequences), path)
+    fitted = stage(experts.fit_experts(_train(sequences), CHAIN_PLAN, ACCUM, BATCH), "experts")
+    before = [(f"seed_o{o}", 0) for o in ORDERS]
+    for domain, step in CHAIN:
+        names = [f"{domain}_o{o}" for o in ORDERS]
+        plan = [(name, *base) for name, base in zip(names, before, strict=True)]
+        stored = expert_store.read_experts(spark, path, before)
+        grown = experts.continue_experts(stored, fitted.where(F.col("expert").isin(names)), plan)
+        expert_store.write_expert(grown, path, step)
+        before = [(name, step) for name in names]
+    links = [(f"{d}_o{o}", s) for d, s in CHAIN for o in ORDERS]
+    back = expert_store.read_experts(spark, path, links)
+    return back.select("expert", *_big("step", "order", "ctx2", "ctx1", "tok", "n"))
 
 
 def domain_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _count_rows(experts.fit_experts(_train(_stored(spark, sf_dir)), PLAN, ACCUM, BATCH))
+    """Fitted from the stored, filled files of packed sequences."""
+    path = fresh_path(spark, "packed")
+    packed.write_packed(_packed(spark, sf_dir), path, SAMPLES_PER_FILE)
+    train = packed.read_packed(spark, path, "domain=*/split=train")
+    narrow = train.withColumns({c: F.col(c).cast("array<int>") for c in ("input_ids", "label")})
+    return _count_rows(experts.fit_experts(narrow, PLAN, ACCUM, BATCH))
 
 
 def _per_sequence(scores: DataFrame) -> DataFrame:
@@ -389,25 +421,6 @@ def expert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_sequence(_scores(spark, sf_dir))
 
 
-def scores_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sequences = _stored(spark, sf_dir)
-    plan = [(name, domain, 0, steps) for name, domain, _, steps in PLAN]
-    counts = experts.fit_experts(_train(sequences), plan, ACCUM, BATCH)
-    # an order 0 expert is one number per vocabulary word, so this has VOCAB_SIZE * 3 rows at most
-    tables = spark.sparkContext.broadcast([(r["expert"], r["tok"], r["n"]) for r in counts.collect()])
-
-    def make_model() -> Callable:
-        import numpy as np
-
-        seen = {e: np.zeros(VOCAB_SIZE) for e in EXPERTS}
-        for expert, tok, n in tables.value:
-            seen[expert][tok] = n
-        logs = {e: np.log((c + 0.1) / (c.sum() + 0.1 * VOCAB_SIZE)) for e, c in seen.items()}
-        return lambda inputs, labels: {e: table[labels] for e, table in logs.items()}
-
-    return _per_sequence(experts.score_with(sequences, make_model))
-
-
 # ---- evaluation and ensembles ---------------------------------------------------------------------------------
 
 
@@ -436,6 +449,12 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ensemble.perplexity(scores, ("domain", "split", "expert")), 4, "perplexity")
 
 
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each validation domain under every domain's expert at several steps, from one scoring job."""
+    held = experts.by_expert(_scored(spark, sf_dir, CURVE_PLAN, "validation"), [p[0] for p in CURVE_PLAN])
+    return _rounded(ensemble.perplexity(held, ("domain", "expert")), 4, "perplexity")
+
+
 def ens_simple_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ensemble.ensemble_simple_avg(_scored(spark, sf_dir), EXPERTS), 4, "perplexity")
 
@@ -514,11 +533,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_scan, drop_empty, conversation_text, packed_roundtrip, file_manifest, overwrite_roundtrip,
         ignore_roundtrip, expert_catalog, expert_roundtrip,
-        doc_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, reshard_sizes, batches,
+        doc_index, null_domain_index, row_key_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, shuffle_packed, reshard_sizes, batches,
         eval_limit, first_sequences, train_schedule, times_seen, snapshot_counts,
-        vocab, encode_docs, encode_udf, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
-        seed_counts, continued_counts, domain_experts, expert_scores, scores_udf,
-        logit_log_prob, cross_entropy, perplexity, ens_simple_avg, expert_posterior, ens_uniform, seq_posterior,
+        vocab, encode_docs, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
+        seed_counts, continued_counts, expert_chains, domain_experts, expert_scores,
+        logit_log_prob, cross_entropy, perplexity, learning_curve, ens_simple_avg, expert_posterior, ens_uniform, seq_posterior,
         cached_prior, ens_cached, ens_report, ens_compare,
         metrics_rollup, lr_column,
     )

@@ -15,7 +15,7 @@ SPLIT = """CASE WHEN draw < 8 THEN 'train' WHEN draw < 9 THEN 'validation' ELSE
 DOCS = f"""
 docs AS MATERIALIZED (
   SELECT doc_id, domain, text, {SPLIT} AS split
-  FROM (SELECT doc_id, coalesce(lang, '') AS domain, text,
+  FROM (SELECT doc_id, lang AS domain, text,
                ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 AS draw FROM documents)
 )"""
 
@@ -246,7 +246,8 @@ SELECT domain, split, seq_id, expert, count(*) AS n_tokens, {_r("sum(log_prob)",
        {_r("sum(log_prob * (pos + 1))", 5)} AS placed
 FROM scores GROUP BY domain, split, seq_id, expert"""
 
-UNIGRAM_PLAN = tuple((e, d, 0, s) for e, d, _, s in R.PLAN)
+SEED = f"""training AS (SELECT * FROM pairs WHERE split = 'train'),
+seed AS ({_grams("training", "'seed'", "2", "count(*)")})"""
 
 ROLLUP = f"""
 logged AS (
@@ -279,9 +280,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
         WHERE line IS NOT NULL AND line <> '' GROUP BY doc_id""",
     "conversation_text": "SELECT conv_id, turn, text FROM conversations",
-    "packed_roundtrip": f"{CORPUS}, {PACKED_TEXT} SELECT domain, split, seq_id, input_ids, label FROM texts",
+    "packed_roundtrip": f"""{CORPUS}, {PACKED_TEXT}
+        SELECT domain, split, rank, chunk, seq_id, input_ids, label
+        FROM texts JOIN sequences USING (domain, split, rank, seq_id)""",
     "file_manifest": f"""{CORPUS}
-        SELECT rank, sum(chunks)::BIGINT AS n_rows, true AS within_cap FROM ranks GROUP BY rank""",
+        SELECT domain, split, rank, min(chunk) AS first_chunk, count(*) AS n_rows
+        FROM sequences GROUP BY domain, split, rank, chunk // {R.SAMPLES_PER_FILE}""",
     "overwrite_roundtrip": UPPER_DOCS,
     "ignore_roundtrip": f"WITH {DOCS} SELECT doc_id, domain, split FROM docs",
     "expert_catalog": """
@@ -293,11 +297,16 @@ ORACLES: dict[str, str] = {
         SELECT path, given, coalesce(given, string_split(string_split(path, '/')[-3], '_domain_')[-1]) AS domain
         FROM paths""",
     "expert_roundtrip": f"""{COUNTED}
-        SELECT expert, 500::BIGINT AS step, "order", ctx2, ctx1, tok, n FROM counts""",
+        SELECT expert, steps::BIGINT AS step, "order", ctx2, ctx1, tok, n FROM counts JOIN plan USING (expert)""",
     # rows
     "doc_index": f"""WITH {DOCS}
         SELECT doc_id, domain, split, row_number() OVER (PARTITION BY domain, split ORDER BY doc_id) - 1 AS index
         FROM docs""",
+    "null_domain_index": """
+        SELECT doc_id, nullif(lang, 'es') AS domain,
+               row_number() OVER (PARTITION BY nullif(lang, 'es') ORDER BY doc_id) - 1 AS index
+        FROM documents""",
+    "row_key_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents",
     "turn_index": "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM conversations",
     "shard_sizes": f"""WITH {DOCS}
         SELECT domain, split, idx % {R.WORLD} AS rank, count(*) AS n_docs
@@ -311,6 +320,11 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, md5(text) AS text_md5,
                ('0x' || substr(md5('{R.SEED}:' || doc_id), 1, 8))::BIGINT * {R.RESHARDS} // 4294967296 AS shard
         FROM documents""",
+    "shuffle_packed": f"""{CORPUS}, {PACKED_TEXT}
+        SELECT domain, split, seq_id, label,
+               ('0x' || substr(md5('{R.SEED}:' || coalesce(domain, '') || ':' || split || ':' || seq_id), 1, 8))::BIGINT
+               * {R.RESHARDS} // 4294967296 AS shard
+        FROM texts""",
     "reshard_sizes": f"""
         SELECT idx % {R.RESHARDS} AS shard, count(*) AS n_docs, sum(doc_id)::BIGINT AS sum_doc_id
         FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents) GROUP BY 1""",
@@ -354,14 +368,22 @@ ORACLES: dict[str, str] = {
     # experts
     "seed_counts": f"""{CORPUS}, training AS (SELECT * FROM pairs WHERE split = 'train')
         {_grams("training", "'seed'", "1", "count(*)")}""",
-    "continued_counts": f"""{COUNTED}, training AS (SELECT * FROM pairs WHERE split = 'train'),
-        seed AS ({_grams("training", "'seed'", "1", "count(*)")})
+    "continued_counts": f"""{COUNTED}, {SEED}
         SELECT expert, "order", ctx2, ctx1, tok, sum(n)::BIGINT AS n
-        FROM (SELECT p.expert, s.order, s.ctx2, s.ctx1, s.tok, s.n FROM seed s CROSS JOIN plan p
+        FROM (SELECT p.expert, s.order, s.ctx2, s.ctx1, s.tok, s.n FROM seed s JOIN plan p ON s.order <= p.capacity
               UNION ALL SELECT * FROM counts) GROUP BY ALL""",
+    "expert_chains": f"""{CORPUS}, {_fitted(R.CHAIN_PLAN)}, {SEED}, links(expert, step, place) AS (VALUES {", ".join(
+        f"('{d}_o{o}', {s}::BIGINT, {n})" for n, (d, s) in enumerate(R.CHAIN) for o in R.ORDERS)})
+        SELECT expert, step, "order", ctx2, ctx1, tok, sum(n)::BIGINT AS n
+        FROM (SELECT l.expert, l.step, s.order, s.ctx2, s.ctx1, s.tok, s.n
+              FROM seed s JOIN plan p ON s.order <= p.capacity JOIN links l ON l.expert = p.expert
+              UNION ALL
+              SELECT l.expert, l.step, c.order, c.ctx2, c.ctx1, c.tok, c.n
+              FROM links l JOIN plan p ON p.expert = l.expert JOIN links e ON e.place <= l.place
+              JOIN plan q ON q.expert = e.expert AND q.capacity = p.capacity
+              JOIN counts c ON c.expert = e.expert) GROUP BY ALL""",
     "domain_experts": f'{COUNTED} SELECT expert, "order", ctx2, ctx1, tok, n FROM counts',
     "expert_scores": f"{SCORED} {PER_SEQUENCE}",
-    "scores_udf": f"{CORPUS}, {_fitted(UNIGRAM_PLAN)}, {SCORES} {PER_SEQUENCE}",
     # evaluation and ensembles
     "logit_log_prob": f"WITH {LOGITS} SELECT vec_id, label, {_r('log_prob', 6)} AS log_prob FROM logits",
     "cross_entropy": f"""WITH {LOGITS}
@@ -372,6 +394,9 @@ ORACLES: dict[str, str] = {
         SELECT domain, split, expert, count(*) AS n_tokens,
                {_r("exp(-sum(log_prob) / count(*))", 4)} AS perplexity
         FROM scores GROUP BY domain, split, expert""",
+    "learning_curve": f"""{CORPUS}, {_fitted(R.CURVE_PLAN)}, {SCORES}
+        SELECT domain, expert, count(*) AS n_tokens, {_r("exp(-sum(log_prob) / count(*))", 4)} AS perplexity
+        FROM scores WHERE split = 'validation' GROUP BY domain, expert""",
     "ens_simple_avg": f"{WIDE} {_perplexity_of(AVERAGE, 'history')}",
     "expert_posterior": f"""{WIDE},
         weighed AS (SELECT *, {_lse(*PLAIN)} AS norm FROM history),
@@ -407,4 +432,3 @@ ORACLES: dict[str, str] = {
                       ELSE 0.05 + 0.45 * 0.5 * (1 + cos(pi() * (step - 200) / (1000 - 200))) END''', 8)} AS cosine
         FROM rolled""",
 }
-ORACLES["encode_udf"] = ORACLES["encode_docs"]

@@ -22,12 +22,3 @@ def read_corpus(spark: SparkSession, path: str, domain: str | None = None, split
 def select_text(df: DataFrame, textfield: str, *keep: str) -> DataFrame:
     """Any named string column becomes ``text``; only the kept columns travel with it."""
     return df.select(*keep, F.col(textfield).alias("text"))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that splits into fewer tasks than there are cores.
-
-    A table with at least one split per core, as any large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

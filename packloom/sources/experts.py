@@ -19,14 +19,10 @@ def expert_catalog(paths: DataFrame, path: str = "path", given: str | None = Non
     return paths.withColumn("domain", derived if given is None else F.coalesce(F.col(given), derived))
 
 
-def write_expert(counts: DataFrame, path: str, step: int, mode: str = "append") -> None:
-    """Store count tables under ``expert=…/step=…``."""
-    (
-        counts.withColumn("step", F.lit(step))
-        .write.mode(mode)
-        .partitionBy("expert", "step")
-        .parquet(path)
-    )
+def write_expert(counts: DataFrame, path: str, step: int | None = None, mode: str = "append") -> None:
+    """Store count tables under ``expert=…/step=…``; without ``step`` every row has its own in a column ``step``."""
+    stepped = counts if step is None else counts.withColumn("step", F.lit(step))
+    stepped.write.mode(mode).partitionBy("expert", "step").parquet(path)
 
 
 def read_experts(spark: SparkSession, path: str, members: Sequence[tuple[str, int]] | None = None) -> DataFrame:

@@ -1,37 +1,45 @@
-"""Packed sequences on disk: fixed schema, files by rank, bounded rows per file."""
+"""Packed sequences on disk: fixed schema, folders by domain, split and rank, filled files of bounded rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FOLDERS = ("domain", "split", "rank")
+STORED = (
+    "domain string, split string, rank int, chunk bigint, seq_id bigint, input_ids array<int>, label array<int>"
+)
 
-def read_packed(spark: SparkSession, glob: str) -> DataFrame:
-    """All parquet files matching ``glob``; token ids widened to 64 bit."""
-    packed = spark.read.parquet(glob)
-    return packed.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})
+
+def read_packed(spark: SparkSession, path: str, folders: str = "") -> DataFrame:
+    """The packed sequences below ``path``, or those in the folders matching a glob such as ``domain=de/split=*``.
+
+    The folders' names are columns either way; token ids are widened to 64 bit.
+    """
+    stored = spark.read.schema(STORED).option("basePath", path).parquet(f"{path}/{folders}" if folders else path)
+    return stored.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})
 
 
 def write_packed(df: DataFrame, path: str, samples_per_file: int = 0, mode: str = "errorifexists") -> None:
-    """32-bit ``input_ids`` and ``label`` with their keys under ``rank=…`` folders.
+    """32-bit ``input_ids`` and ``label`` with their keys under ``domain=…/split=…/rank=…`` folders.
 
-    At most ``samples_per_file`` rows go to one file; 0 or less sets no cap.
+    With a cap of n rows, folder ``file=k`` below them holds one file with the rank's windows k * n to
+    (k + 1) * n - 1, so every file but a rank's last is full. 0 or less sets no cap and moves nothing.
     """
-    (
-        df.withColumns({c: F.col(c).cast("array<int>") for c in ("input_ids", "label")})
-        .write.mode(mode)
-        .partitionBy("rank")
-        .option("maxRecordsPerFile", max(samples_per_file, 0))
-        .parquet(path)
-    )
+    narrow = df.withColumns({c: F.col(c).cast("array<int>") for c in ("input_ids", "label")})
+    if samples_per_file > 0:
+        place = F.call_function("div", F.col("chunk"), F.lit(samples_per_file).cast("bigint"))
+        narrow = narrow.withColumn("file", place).repartition(*FOLDERS, "file")
+    else:
+        narrow = narrow.withColumn("file", F.lit(0).cast("bigint"))
+    narrow.write.mode(mode).partitionBy(*FOLDERS, "file").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per data file below ``path`` with its number of rows."""
-    return (
-        spark.read.parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("file_path"))
-        .agg(F.count("*").alias("n_rows"))
+    """``(domain, split, rank, file_path, first_chunk, n_rows)``: one row per data file below ``path``."""
+    stored = spark.read.schema(STORED).parquet(path)
+    return stored.groupBy(*FOLDERS, F.col("_metadata.file_path").alias("file_path")).agg(
+        F.min("chunk").alias("first_chunk"), F.count("*").alias("n_rows")
     )
 
 

@@ -129,10 +129,10 @@ def test_one_expert_or_equal_experts_make_all_methods_agree(spark):
     single = make_scores(4, experts=1)
     alone = long_frame(spark, single, ["x"])
     lone = {r.domain: r.perplexity for r in N.perplexity(alone, ("domain", "expert")).collect()}
-    for r in N.ensemble_losses(alone, ["x"]).collect():
+    for r in N.ensemble_losses(alone, ["x"], 4).collect():
         assert r.perplexity == pytest.approx(lone[r.domain])
     equal = long_frame(spark, {d: np.repeat(a, 3, axis=2) for d, a in single.items()})
-    for r in N.ensemble_losses(equal, EXPERTS).collect():
+    for r in N.ensemble_losses(equal, EXPERTS, 4).collect():
         assert r.perplexity == pytest.approx(lone[r.domain])
 
 
@@ -149,9 +149,25 @@ def test_comparing_ensembles_of_unequal_size(spark):
             assert [got[(name, d, m)] for m in N.METHODS] == pytest.approx(expected)
 
 
+def test_ensembles_unfold_above_the_exchange_by_sequence(spark, plan_of):
+    scores = stage(wide_frame(spark, make_scores(5)), "scores")
+    plan = plan_of(N.compare_ensembles(scores, EXPERTS, {"all": EXPERTS, "two": ["z", "x"]}, 3))
+    lines = plan.splitlines()
+    below = next(n for n, line in enumerate(lines) if "seq_id" in line and "Exchange hashpartitioning" in line)
+    assert all("Generate" not in line for line in lines[below:])
+
+
+def test_a_null_group_gets_its_own_prior(spark):
+    rows = [(None if d == "p" else d, *rest) for d, *rest in map(tuple, long_frame(spark, make_scores(4)).collect())]
+    frame = spark.createDataFrame(rows, long_frame(spark, make_scores(4)).schema)
+    known = {(r.domain or "p", r.method): r.perplexity for r in N.ensemble_losses(frame, EXPERTS, 3).collect()}
+    plain = {(r.domain, r.method): r.perplexity for r in N.ensemble_losses(long_frame(spark, make_scores(4)), EXPERTS, 3).collect()}
+    assert known == pytest.approx(plain)
+
+
 def test_report_has_a_column_per_domain(spark):
     data = make_scores(6)
-    report = N.ensemble_report(wide_frame(spark, data), EXPERTS, ["p", "q", "r"])
+    report = N.ensemble_report(wide_frame(spark, data), EXPERTS, ["p", "q", "r"], 3)
     rows = {r.method: r for r in report.collect()}
     assert rows["simple_avg"]["p"] == pytest.approx(math.exp(-data["p"].mean()), abs=0.051)
     assert set(rows) == set(N.METHODS) and rows["simple_avg"]["r"] is None

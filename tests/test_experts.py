@@ -87,17 +87,18 @@ def test_plan_gives_each_expert_its_domain_size_and_budget(spark, sequences):
     assert as_counter(budgeted) == named(brute_counts(mine + mine[:3], 1), "a1")
 
 
-def test_continuing_equals_fitting_on_both(spark, sequences):
-    base = X.fit_expert(training_pairs(packed_frame(spark, sequences)).withColumn("expert", F.lit("seed")), 1)
-    extra = fitted(spark, sequences, PLAN[1:])
-    continued = as_counter(X.continue_expert(base, extra))
+def test_each_expert_continues_from_its_own_base(spark, sequences):
+    pairs = training_pairs(packed_frame(spark, sequences))
+    seeds = [X.fit_expert(pairs.withColumn("expert", F.lit(f"seed{o}")), o).withColumn("step", F.lit(o)) for o in (1, 2)]
+    extra = fitted(spark, sequences, PLAN)
+    plan = [("b1", "seed1", 1), ("b2", "seed2", 2), ("a0", "seed1", 9)]
+    continued = as_counter(X.continue_experts(seeds[0].unionByName(seeds[1]), extra, plan))
     for expert, counts in plan_counts(sequences).items():
-        if expert != "a0":
-            both = counts + brute_counts(sequences, 1)
-            assert {k: n for k, n in continued.items() if k[0] == expert} == named(both, expert)
+        base = {"a0": Counter(), "b1": brute_counts(sequences, 1), "b2": brute_counts(sequences, 2)}[expert]
+        assert {k: n for k, n in continued.items() if k[0] == expert} == named(counts + base, expert)
 
 
-def test_scores_equal_the_formula_and_salting_changes_nothing(spark, sequences):
+def test_scores_equal_the_formula(spark, sequences):
     names = [p[0] for p in PLAN]
     counts = fitted(spark, sequences, PLAN)
     pairs = training_pairs(packed_frame(spark, sequences), "domain", "split", "seq_id")
@@ -108,11 +109,18 @@ def test_scores_equal_the_formula_and_salting_changes_nothing(spark, sequences):
             w = t[pos - 1] if pos else None
             for e in names:
                 expected[(d, c, pos, e)] = brute_log_prob(brute[e], w, t[pos], t[pos + 1])
-    for limit in (1_000_000, 3):
-        scores = X.score(pairs, counts, names, V, rows_per_salt=limit)
-        got = {(r.domain, r.seq_id, r.pos, r.expert): r.log_prob for r in scores.collect()}
-        assert got.keys() == expected.keys()
-        assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got)
+    scores = X.score(pairs, counts, names, V)
+    got = {(r.domain, r.seq_id, r.pos, r.expert): r.log_prob for r in scores.collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got)
+
+
+def test_positions_meet_their_n_gram_without_strings(spark, sequences, plan_of):
+    pairs = training_pairs(packed_frame(spark, sequences), "domain", "split", "seq_id")
+    plan = plan_of(X.score_positions(pairs, fitted(spark, sequences, PLAN), ["a0", "b1", "b2"], V))
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(ctx2" in line:
+            assert "domain" not in line and "split" not in line
 
 
 def test_probabilities_sum_to_one(spark, sequences):
@@ -127,15 +135,3 @@ def test_probabilities_sum_to_one(spark, sequences):
     sums = scored.groupBy("ctx2", "ctx1").agg(*[F.sum(F.exp(F.get("log_probs", i))).alias(e) for i, e in enumerate(names)])
     for row in sums.collect():
         assert [row[e] for e in names] == pytest.approx([1.0] * 3)
-
-
-def test_own_model(spark, sequences):
-    def make_model():
-        return lambda inputs, labels: {"m": -1.0 * labels, "k": -0.5 * inputs}
-
-    scores = X.score_with(packed_frame(spark, sequences).coalesce(1), make_model)
-    got = {(r.domain, r.seq_id, r.pos, r.expert): r.log_prob for r in scores.collect()}
-    for d, _, _, c, t in sequences:
-        for pos in range(len(t) - 1):
-            assert got[(d, c, pos, "m")] == -t[pos + 1] and got[(d, c, pos, "k")] == -0.5 * t[pos]
-    assert len(got) == 2 * 8 * len(sequences)

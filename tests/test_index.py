@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from packloom.functions.index import key_bounds, range_of, running_total
-from packloom.functions.joins import join_bounded, lookup_salted
 from packloom.operators.rows import with_index
 
 
@@ -59,23 +58,17 @@ def test_index_never_needs_a_single_partition(spark, plan_of):
     assert "SinglePartition" not in plan_of(with_index(df, ["id"], ["g"]))
 
 
-def test_bounded_join_broadcasts_or_shuffles(spark, plan_of):
-    left = spark.range(100).select((F.col("id") % 10).alias("k"), "id")
-    small = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    wide, narrow = join_bounded(left, small, ["k"]), join_bounded(left, small, ["k"], max_rows=3)
-    assert sorted(wide.collect()) == sorted(narrow.collect())
-    assert wide.count() == 100 and wide.where("v is null").count() == 30
-    assert "rightHint=(strategy=broadcast)" in wide._jdf.queryExecution().logical().toString() or "Broadcast" in plan_of(wide)
-    empty = join_bounded(left, small.where("k < 0"), ["k"])
-    assert empty.where("v is null").count() == 100
-
-
-def test_salted_lookup_keeps_every_row_of_a_hot_key(spark):
-    left = spark.range(2000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    table = left.groupBy("k").agg(F.count("*").alias("uses")).withColumn("v", F.col("k") * 10)
-    plain = left.join(table.drop("uses"), "k")
-    salted = lookup_salted(left, table, ["k"], "uses", F.col("id"), rows_per_salt=100)
-    assert "__salts" in salted._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(tuple, salted.select("k", "id", "v").collect())) == sorted(
-        map(tuple, plain.select("k", "id", "v").collect())
-    )
+def test_null_groups_and_keys_keep_their_rows(spark):
+    rows = [(1, None), (2, "a"), (3, None), (None, "a"), (5, "b")]
+    df = spark.createDataFrame(rows, "k int, g string").repartition(3)
+    got = {(r.k, r.g): r["index"] for r in with_index(df, ["k"], ["g"]).collect()}
+    assert got == {(1, None): 0, (3, None): 1, (None, "a"): 0, (2, "a"): 1, (5, "b"): 0}
+
+
+def test_bounds_come_from_one_job(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    tracker, group = spark.sparkContext.statusTracker(), "bounds"
+    spark.sparkContext.setJobGroup(group, group)
+    bounds = key_bounds(df, ["k"], 10)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(bounds) == 9 and len(tracker.getJobIdsForGroup(group)) <= 2

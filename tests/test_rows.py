@@ -89,3 +89,34 @@ def test_first_sequences_of_every_domain(spark):
     df = spark.createDataFrame(rows, "domain string, split string, seq_id bigint")
     kept = Counter(r.domain for r in R.first_sequences(df, 5).collect())
     assert kept == {"a": 2, "b": 5}
+
+
+def test_null_groups_are_scheduled_too(spark):
+    df = spark.createDataFrame([(None, 0), (None, 1), ("a", 0)], "domain string, chunk bigint")
+    seen = R.times_seen(df, F.lit(2), 1, 1, ["domain"]).collect()
+    assert sorted((r.domain or "", r.chunk, r.times_seen) for r in seen) == [("", 0, 1), ("", 1, 1), ("a", 0, 2)]
+
+
+def test_snapshots_equal_the_schedule_cut_off(spark):
+    df = sequences(spark, 23, 2)
+    planned = R.training_schedule(df, 9, 2, 3)
+    got = {(r["rank"], r.seq_id, r.snapshot): (r.times_seen, r.last_micro) for r in R.snapshots(df, (2, 5, 9), 2, 3).collect()}
+    expected = {}
+    for s in (2, 5, 9):
+        for r in R.snapshot(planned, s).groupBy("rank", "seq_id").agg(F.count("*").alias("n"), F.max("micro").alias("m")).collect():
+            expected[(r["rank"], r.seq_id, s)] = (r.n, r.m)
+    assert got == expected
+
+
+def test_rows_of_files_get_a_key(spark, tmp_path):
+    spark.range(0, 50, 1, 3).write.parquet(str(tmp_path / "t"))
+    keyed = R.with_row_key(spark.read.parquet(str(tmp_path / "t")))
+    rows = R.with_index(keyed, ["file_path", "row_index"]).collect()
+    assert sorted(r["index"] for r in rows) == list(range(50))
+
+
+def test_composite_shuffle_key_and_parts_of_a_shard(spark):
+    df = spark.range(600).select((F.col("id") % 3).alias("a"), "id")
+    shuffled = R.shuffle_rows(df, ("a", "id"), 1, 4, 3)
+    placed = shuffled.select("shard", F.spark_partition_id().alias("p")).collect()
+    assert len(placed) == 600 and {r.p for r in placed} == set(range(12)) and all(r.shard == r.p // 3 for r in placed)

@@ -20,29 +20,33 @@ def test_corpus_is_pruned_to_one_domain_and_split(spark, plan_of):
     assert corpus.read_corpus(spark, path).count() == 8
 
 
-def test_spread_leaves_well_split_input_alone(spark):
-    wide = spark.range(0, 100, 1, 16).withColumnRenamed("id", "k")
-    assert corpus.spread(wide, "k") is wide
-    assert corpus.spread(wide.coalesce(1), "k").count() == 100
-
-
-def packed_rows(spark, n=1000):
+def packed_rows(spark, n=1000, ranks=2):
     ids = F.array(F.col("id").cast("int"), F.lit(1))
-    return spark.range(0, n, 1, 1).select(
-        F.lit(0).alias("rank"), F.col("id").alias("seq_id"), ids.alias("input_ids"), ids.alias("label")
+    return spark.range(0, n * ranks, 1, 8).select(
+        F.when(F.col("id") % 2 == 1, F.lit("01")).alias("domain"),
+        F.lit("train").alias("split"),
+        (F.col("id") % ranks).cast("int").alias("rank"),
+        F.expr(f"id div {ranks}").alias("chunk"),
+        F.col("id").alias("seq_id"),
+        ids.alias("input_ids"),
+        ids.alias("label"),
     )
 
 
-@pytest.mark.parametrize("cap,sizes", [(300, [100, 300, 300, 300]), (0, [1000]), (-1, [1000])])
-def test_rows_per_file_manifest_and_wider_ids(spark, cap, sizes):
+@pytest.mark.parametrize("cap,sizes", [(300, [100, 300, 300, 300]), (0, None), (-1, None)])
+def test_files_are_filled_listed_and_read_back_with_their_rank(spark, cap, sizes):
     path = fresh_path(spark, "packed")
     packed.write_packed(packed_rows(spark), path, cap)
     listed = packed.manifest(spark, path).collect()
-    assert sorted(r.n_rows for r in listed) == sizes
-    back = packed.read_packed(spark, f"{path}/rank=0/*.parquet")
+    if sizes:
+        assert sorted(r.n_rows for r in listed) == sorted(sizes * 2)
+        assert {r.first_chunk % cap for r in listed} == {0}
+    back = packed.read_packed(spark, path, "domain=*/split=*/rank=1")
+    assert {(r["rank"], r.domain) for r in back.select("rank", "domain").distinct().collect()} == {(1, "01")}
     assert dict(back.dtypes)["input_ids"] == "array<bigint>" and back.count() == 1000
-    stored = spark.read.parquet(path)
-    assert dict(stored.dtypes)["label"] == "array<int>"
+    whole = packed.read_packed(spark, path)
+    assert whole.count() == 2000 and whole.where("domain is null").count() == 1000
+    assert dict(spark.read.parquet(path).dtypes)["label"] == "array<int>"
     target = fresh_path(spark, "manifest")
     packed.write_manifest(spark, path, target)
     assert {r.value for r in spark.read.text(target).collect()} == {r.file_path for r in listed}

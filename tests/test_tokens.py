@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from packloom.functions.staging import stage
 from packloom.operators import tokens as T
 from packloom.plans.prepare import encode_corpus, pack_corpus
 
@@ -18,7 +19,7 @@ def encoded_frame(spark, docs):
     rows = [(k, d, "train", ids, len(ids)) for k, d, ids in docs]
     return spark.createDataFrame(
         rows, "doc_id bigint, domain string, split string, ids array<int>, n_tokens int"
-    ).repartition(3)
+    ).withColumn("digest", F.xxhash64("ids")).repartition(3)
 
 
 def check_packing(spark, docs, seq_len, world):
@@ -67,7 +68,7 @@ def test_vocabulary_order_ties_and_specials(spark):
     counted = Counter(w for t in texts if t for w in t.split() if w != "<unk>")
     ranked = sorted(counted, key=lambda w: (-counted[w], w))
     for size in (3, 100):
-        got = sorted((r.id, r.token, r.n) for r in T.build_vocab(df, size, ("<unk>", "<s>"), groups=2).collect())
+        got = sorted((r.id, r.token, r.n) for r in T.build_vocab(df, size, ("<unk>", "<s>")).collect())
         expected = [(0, "<unk>", 0), (1, "<s>", 0)]
         assert got == expected + [(i + 2, w, counted[w]) for i, w in enumerate(ranked[:size])]
 
@@ -75,7 +76,7 @@ def test_vocabulary_order_ties_and_specials(spark):
 def test_encoding_unknown_words_first_token_and_empty_text(spark):
     vocab = spark.createDataFrame([("<unk>", 0, 0), ("<s>", 1, 0), ("x", 2, 3), ("y", 3, 1)], "token string, id int, n int")
     df = spark.createDataFrame([(1, "x z\ty x"), (2, ""), (3, None), (4, "  ")], "k bigint, text string")
-    got = {r.k: r.ids for r in T.encode(df, vocab, bos_id=1, slots=3).collect()}
+    got = {r.k: r.ids for r in T.encode(df, vocab, bos_id=1).collect()}
     assert got == {1: [1, 2, 0, 3, 2], 2: [], 3: [], 4: [1]}
     plain = {r.k: r.ids for r in T.encode(df, vocab).collect()}
     assert plain == {1: [2, 0, 3, 2], 2: [], 3: [], 4: []}
@@ -88,21 +89,44 @@ def test_encoding_exchanges_neither_text_nor_tokens(spark, plan_of):
     assert "Exchange" not in main and "Explode" not in main and "Generate" not in main
 
 
-def test_own_tokenizer_is_built_once_per_task(spark):
-    df = spark.createDataFrame([(i, "ab" * i) for i in range(6)], "k bigint, text string").coalesce(1)
-
-    def make_encoder():
-        built = [0]
-
-        def encoder(text):
-            built[0] += 1
-            return [built[0], *map(ord, text)]
-
-        return encoder
-
-    got = {r.k: r.ids for r in T.encode_with(df, make_encoder, "k").collect()}
-    assert got[0] == [] and got[2][1:] == [97, 98, 97, 98]
-    assert sorted(ids[0] for k, ids in got.items() if k) == [1, 2, 3, 4, 5]
+def test_too_large_a_vocabulary_is_refused(spark):
+    vocab = spark.createDataFrame([(f"w{n}", n) for n in range(50)], "token string, id int")
+    assert T.vocab_table(vocab, 50 * 40).count() == 1
+    with pytest.raises(Exception, match="too large"):
+        T.vocab_table(vocab, 100).collect()
+
+
+def test_repeated_keys_and_null_groups_lose_nothing(spark):
+    rows = [(7, None, [1, 2, 3]), (7, None, [4, 5, 6]), (7, None, [4, 5, 6]), (None, "a", [9, 9]), (3, "a", [8])]
+    frame = encoded_frame(spark, [(k, d, ids) for k, d, ids in rows])
+    got = pack_corpus(frame, "doc_id", 2, 1).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.chunk):
+        by.setdefault(r.domain, []).append((r.seq_id, r.input_ids, r.label))
+    assert [seq for seq, _, _ in by[None]] == [0, 1, 2, 3] and len(by["a"]) == 1
+    stream = [x for _, ids, _ in by[None] for x in ids]
+    assert sorted(stream) == sorted([1, 2, 3, 4, 5, 6, 4, 5, 6])[: len(stream)] or len(stream) == 8
+    assert by["a"][0][1:] == ([9, 9], [9, 8])
+
+
+def test_a_window_that_holds_too_much_raises(spark):
+    schema = "domain string, split string, rank int, offset bigint, first_seq bigint, ids array<int>, __range int"
+    twice = spark.createDataFrame([("d", "s", 0, 0, 0, [1, 2, 3], 0)] * 2, schema)
+    with pytest.raises(Exception, match="more tokens than fit"):
+        T.pack(twice, 2).collect()
+
+
+def test_packing_exchanges_token_arrays_once_and_joins_none(spark, plan_of):
+    docs = [(k, "d", [1, 2, 3]) for k in range(20)]
+    stored = stage(encoded_frame(spark, docs), "encoded")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(pack_corpus(stored, "doc_id", 4, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("rank" in line and "ids" not in line for line in joins)
 
 
 def test_pairs_know_two_tokens_before(spark):
