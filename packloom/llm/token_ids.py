@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: words remembered by one worker; beyond, it starts afresh
-WORDS_KEPT = 1_000_000
-#: letters whose lower case and composed form are single code points, then punctuation that forms one piece
-PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([-.,;:!?#$%&*()\"+=/]*)")
+#: words, and pieces of words, remembered by one worker; beyond, it starts afresh
+WORDS_KEPT = 800_000
+#: letters whose lower case and composed form are single code points
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: punctuation that forms one piece where it closes a word
+CLOSING = "-.,;:!?#$%&*()\"+=/"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,6 +29,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """UTF-8 word to the bytes of its ids, filled on demand."""
 
@@ -35,26 +41,32 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.model = Tokenizer(self.whole.model)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
 
-    def _piece(self, piece: str) -> bytes:
-        if piece not in self.pieces:
-            spelled = "".join(self.letters[b] for b in piece.encode())
-            ids = self.model.encode(spelled, add_special_tokens=False).ids
-            self.pieces[piece] = np.array(ids, "<u4").tobytes()
-        return self.pieces[piece]
+    def _piece(self, piece: bytes) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= WORDS_KEPT:
+                self.pieces.clear()
+            spelled = piece.decode("latin-1")
+            if not piece.isascii():
+                spelled = spelled.translate(self.letters)
+            ids = self.pieces[piece] = _bytes(self.model.encode(spelled, add_special_tokens=False).ids)
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) + len(self.pieces) >= WORDS_KEPT:
+        if len(self) >= WORDS_KEPT:
             self.clear()
-            self.pieces.clear()
         text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text.lower())
-        if plain:
-            ids = self._piece(plain[1]) + (self._piece(plain[2]) if plain[2] else b"")
+        low = text.lower()
+        stem = low.rstrip(CLOSING)
+        if LETTERS.fullmatch(stem):
+            ids = self._piece(stem.encode())
+            if len(stem) < len(low):
+                ids += self._piece(low[len(stem) :].encode())
         else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
