@@ -47,8 +47,8 @@ TEMPLATES = {
     ),
 }
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-#: texts this many template lengths around a rare word are aligned
-SLACK = 1.5
+#: words inserted on either side that are allowed for, as a share of the template
+SLACK = 0.25
 FOUND = "array<struct<license:string,coverage:double,start:int,end:int>>"
 
 
@@ -123,25 +123,20 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
                     places.setdefault(w, []).append(n)
         spare = int((1 - least) * len(template)) + 1
         rare = sorted(set(template), key=lambda w: (counts[w], w))[:spare]
-        reach = int(SLACK * len(template))
-        spots = sorted(n for w in rare for n in places.get(w, ()))
-        stretches: list[list[int]] = []
-        for n in spots:
-            if stretches and n - reach <= stretches[-1][1]:
-                stretches[-1][1] = n + reach
-            else:
-                stretches.append([n - reach, n + reach])
-        for lo, hi in stretches:
-            lo, hi = max(0, lo), min(len(words), hi + 1)
-            while hi - lo >= least * len(template):
-                step = min(hi, lo + 2 * reach)
-                pairs = align(words[lo:step], template)
-                share = len(pairs) / len(template)
-                if share >= least:
-                    out.append((name, share, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)))
-                    lo += pairs[-1][0] + 1
-                else:
-                    lo += max(1, reach - len(template))
+        slack, end = max(2, int(SLACK * len(template))), 0
+        for n in sorted(n for w in rare for n in places.get(w, ())):
+            if n < end:
+                continue
+            best: list[tuple[int, int]] = []
+            lo = 0
+            for at in (k for k, w in enumerate(template) if w == words[n]):
+                first = max(end, n - at - slack)
+                pairs = align(words[first : n + len(template) - at + slack], template)
+                if len(pairs) > len(best):
+                    best, lo = pairs, first
+            if len(best) >= least * len(template):
+                end = lo + best[-1][0] + 1
+                out.append((name, len(best) / len(template), lo + best[0][0], end, len(best)))
     kept: list[tuple[str, float, int, int, int]] = []
     for one in sorted(out, key=lambda x: (-x[4], -x[1], x[0], x[2])):
         if all(one[3] <= k[2] or k[3] <= one[2] for k in kept):
