@@ -13,16 +13,27 @@ from packloom.llm import decontam, exact_dedup, near_dedup, packing, quality
 from packloom.llm.queries import END_ID, TOKENIZER, WINDOW_TOKENS
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` beside one column that holds all others, so that no result can hide one of them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0)]).alias("__others"))
+
+
+def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, as they were."""
+    own = [F.col(c) if c in ("doc_id", "text") else F.col("__others").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*own)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among ``docs``."""
     net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_quality(docs, net)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return _as_before(quality.with_quality(_apart(docs), net).where("predicted = 1"), docs)
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return _as_before(exact_dedup.exact_dedup(_apart(docs)).where("kept"), docs)
 
 
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +46,8 @@ def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    judged = decontam.judged(decontam.find_benchmark(docs, benchmark))
-    return judged.where("not contaminated").select(*docs.columns)
+    judged = decontam.judged(decontam.find_benchmark(_apart(docs), benchmark))
+    return _as_before(judged.where("not contaminated"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

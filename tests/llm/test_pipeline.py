@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -34,6 +35,20 @@ def test_stages_keep_columns_and_act(spark):
     assert len(set(texts)) == len(texts)
 
 
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    shown = spark.read.parquet(f"{TABLES}/documents.parquet").limit(30).select(
+        "doc_id", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in ("score", "kept", "n_hit", "hits", "keep_id", "a.b")], "text"
+    )
+    rows = [(None, *["x"] * 6, None), (5, *["x"] * 6, ""), (5, *["x"] * 6, "")]
+    docs = shown.union(spark.createDataFrame(rows, shown.schema))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        after = function(spark, docs, TABLES)
+        assert after.columns == docs.columns and after.count() > 0
+        assert all(r.score in ("x", f"score-{r.doc_id}") and r["a.b"] in ("x", f"a.b-{r.doc_id}") for r in after.collect())
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, docs.limit(0), TABLES).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
