@@ -17,8 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.index import join_null_safe
-from packloom.functions.staging import stage
 from packloom.operators.rows import times_seen
 from packloom.operators.tokens import training_pairs
 
@@ -145,15 +143,17 @@ def score_positions(
     """``(domain, split, seq_id, pos, log_probs)``: the label's log-probability, one array entry per expert.
 
     Probabilities are worked out once per distinct n-gram; positions then look theirs up by an exchange on the
-    n-gram, where adaptive execution splits hot ones. Domain and split travel as one small number: their distinct
-    pairs are numbered, which needs one task for as many rows as there are pairs. ``pairs`` and ``counts`` are read
-    twice; give stored ones.
+    n-gram, where adaptive execution splits hot ones. Domain and split travel as one digest of 64 bits and come back
+    by a lookup of their distinct pairs; two pairs with the same digest would raise an error. ``pairs`` and ``counts``
+    are read twice; give stored ones.
     """
-    groups = pairs.select("domain", "split").distinct()
-    number = F.row_number().over(Window.orderBy("domain", "split")).alias("group")
-    groups = stage(groups.select("domain", "split", number), "groups")
-    coded = join_null_safe(pairs, groups, ["domain", "split"], "inner")
-    located = coded.select("group", "seq_id", "pos", F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
+    code = F.xxhash64("domain", "split").alias("group")
+    groups = pairs.select(code, "domain", "split").distinct().groupBy("group")
+    clash = F.raise_error(F.lit("two pairs of domain and split share a digest")).cast("string")
+    groups = groups.agg(
+        F.when(F.count("*") > 1, clash).otherwise(F.first("domain")).alias("domain"), F.first("split").alias("split")
+    )
+    located = pairs.select(code, "seq_id", "pos", F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
     keys = ["ctx2", "ctx1", "tok"]
     grams = located.groupBy(*keys).agg(F.count("*").alias("uses"))
     table = gram_log_probs(grams, counts, experts, vocab_size, alpha, beta).drop("uses")

@@ -38,7 +38,7 @@ def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",))
     counted = stage(counted, "word-counts")
     above = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
     kinds = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above)
-    last = kinds.where(F.col("above") < size).orderBy("n").first()
+    last = kinds.where(F.col("above") < size).agg(F.min_by(F.struct("n", "above"), "n").alias("last")).first()["last"]
     cut, room = (last["n"], size - last["above"]) if last else (0, 0)
     at_cut = counted.where(F.col("n") == cut).orderBy("token").limit(room)
     top = counted.where(F.col("n") > cut).unionByName(at_cut)
@@ -50,32 +50,34 @@ def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",))
     return reserved.unionByName(ranked)
 
 
-def vocab_table(vocab: DataFrame, most_bytes: int = VOCAB_BYTES) -> DataFrame:
-    """The vocabulary as one row holding a hash table of as many slots as words: slot to its tokens' ids.
+def vocab_table(vocab: DataFrame, slots: int, most_bytes: int = VOCAB_BYTES) -> DataFrame:
+    """The vocabulary as one row holding a hash table: slot ``hash(token) % slots`` to its tokens' ids.
 
     A vocabulary of more than ``most_bytes`` raises an error.
     """
-    weight = F.sum(F.octet_length("token") + F.lit(32))
-    size = vocab.agg(F.count("*").alias("n"), weight.alias("bytes"))
-    limit = F.when(F.col("bytes") > most_bytes, F.raise_error(F.lit("vocabulary too large to look up in place")).cast("int"))
-    slots = size.select(F.coalesce(limit, F.greatest(F.col("n"), F.lit(1)).cast("int")).alias("slots"))
-    slot = F.pmod(F.hash("token"), slots.scalar())
-    filled = vocab.groupBy(slot.alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))
-    every = slots.select(F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    slot = F.pmod(F.hash("token"), F.lit(slots)).alias("slot")
+    filled = vocab.groupBy(slot).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"),
+        F.sum(F.octet_length("token") + F.lit(32)).alias("bytes"),
+    )
+    every = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     in_order = F.array_sort(F.collect_list(F.struct("slot", "ids")), lambda a, b: a["slot"] - b["slot"])
-    return every.join(filled, "slot", "left").agg(in_order.alias("table")).select(F.col("table.ids").alias("table"))
+    table = every.join(filled, "slot", "left").agg(in_order.alias("table"), F.sum("bytes").alias("bytes"))
+    refused = F.raise_error(F.lit("vocabulary too large to look up in place")).cast(table.schema["table"].dataType)
+    fits = F.when(F.col("bytes") > most_bytes, refused).otherwise(F.col("table"))
+    return table.select(fits.alias("table")).select(F.col("table.ids").alias("table"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, unk_id: int = 0, bos_id: int | None = None) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, unk_id: int = 0, bos_id: int | None = None) -> DataFrame:
     """Adds ``ids ARRAY<INT>`` for ``text``; unknown words become ``unk_id``; empty text gives no tokens at all.
 
-    The vocabulary, of bounded size, reaches the tasks as a scalar subquery, and words are looked up in place: no
-    token becomes a row and neither text nor tokens are exchanged.
+    The vocabulary, of bounded size, reaches the tasks as a scalar subquery, a hash table of ``vocab_size`` slots,
+    and words are looked up in place: no token becomes a row and neither text nor tokens are exchanged.
     """
-    table = vocab_table(vocab).scalar()
+    table = vocab_table(vocab, vocab_size).scalar()
 
     def lookup(word: Column) -> Column:
-        ids = F.get(F.col("__vocab"), F.pmod(F.hash(word), F.size("__vocab")))
+        ids = F.get(F.col("__vocab"), F.pmod(F.hash(word), F.lit(vocab_size)))
         return F.coalesce(F.try_element_at(ids, word), F.lit(unk_id))
 
     found = F.transform(words(F.col("text")), lookup)

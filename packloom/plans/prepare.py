@@ -10,13 +10,15 @@ from packloom.functions.staging import stage
 from packloom.operators.tokens import encode, label_shift, lay_out, pack, range_starts
 
 
-def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str, bos_id: int | None = None) -> DataFrame:
+def encode_corpus(
+    docs: DataFrame, vocab: DataFrame, key: str, vocab_size: int, bos_id: int | None = None
+) -> DataFrame:
     """Encode ``(key, domain, split, text)`` and store the result, which the layout and the packing both read.
 
     Documents without text stay, as empty arrays: they count in the index that decides the shards. ``digest`` orders
     documents that share a key.
     """
-    encoded = encode(docs, vocab, bos_id=bos_id).select(key, "domain", "split", "ids")
+    encoded = encode(docs, vocab, vocab_size, bos_id=bos_id).select(key, "domain", "split", "ids")
     return stage(encoded.withColumns({"n_tokens": F.size("ids"), "digest": F.xxhash64("ids")}), "encoded")
 
 

@@ -85,7 +85,7 @@ def _vocab(docs: DataFrame) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return encode_corpus(docs, _vocab(docs), "doc_id")
+    return encode_corpus(docs, _vocab(docs), "doc_id", VOCAB_SIZE)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +325,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    encoded = tokens.encode(docs, _vocab(docs))
+    encoded = tokens.encode(docs, _vocab(docs), VOCAB_SIZE)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _joined("ids"))
 
 

@@ -76,24 +76,24 @@ def test_vocabulary_order_ties_and_specials(spark):
 def test_encoding_unknown_words_first_token_and_empty_text(spark):
     vocab = spark.createDataFrame([("<unk>", 0, 0), ("<s>", 1, 0), ("x", 2, 3), ("y", 3, 1)], "token string, id int, n int")
     df = spark.createDataFrame([(1, "x z\ty x"), (2, ""), (3, None), (4, "  ")], "k bigint, text string")
-    got = {r.k: r.ids for r in T.encode(df, vocab, bos_id=1).collect()}
+    got = {r.k: r.ids for r in T.encode(df, vocab, 3, bos_id=1).collect()}
     assert got == {1: [1, 2, 0, 3, 2], 2: [], 3: [], 4: [1]}
-    plain = {r.k: r.ids for r in T.encode(df, vocab).collect()}
+    plain = {r.k: r.ids for r in T.encode(df, vocab, 100).collect()}
     assert plain == {1: [2, 0, 3, 2], 2: [], 3: [], 4: []}
 
 
 def test_encoding_exchanges_neither_text_nor_tokens(spark, plan_of):
     vocab = spark.createDataFrame([("<unk>", 0, 0), ("x", 1, 3)], "token string, id int, n int")
     df = spark.range(10).select(F.col("id").alias("k"), F.lit("x y").alias("text"))
-    main = plan_of(T.encode(df, vocab)).split("Subquery")[0]
+    main = plan_of(T.encode(df, vocab, 2)).split("Subquery")[0]
     assert "Exchange" not in main and "Explode" not in main and "Generate" not in main
 
 
 def test_too_large_a_vocabulary_is_refused(spark):
     vocab = spark.createDataFrame([(f"w{n}", n) for n in range(50)], "token string, id int")
-    assert T.vocab_table(vocab, 50 * 40).count() == 1
+    assert T.vocab_table(vocab, 7, 50 * 40).count() == 1
     with pytest.raises(Exception, match="too large"):
-        T.vocab_table(vocab, 100).collect()
+        T.vocab_table(vocab, 7, 100).collect()
 
 
 def test_repeated_keys_and_null_groups_lose_nothing(spark):
@@ -141,7 +141,7 @@ def test_whole_way_from_text(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, domain string, split string, text string")
     vocab = T.build_vocab(df, 50)
     ids = {r.token: r.id for r in vocab.collect()}
-    packed = pack_corpus(encode_corpus(df, vocab, "doc_id"), "doc_id", 6, 2).collect()
+    packed = pack_corpus(encode_corpus(df, vocab, "doc_id", 51), "doc_id", 6, 2).collect()
     for rank in (0, 1):
         stream = [ids[w] for t in texts[rank::2] for w in t.split()]
         got = [(r.input_ids, r.label) for r in sorted(packed, key=lambda r: r.chunk) if r["rank"] == rank]
