@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from packloom.llm import queries, sql
+from packloom.llm import quality, queries, sql
+from tests.llm.test_decontam import brute as contaminated
+from tests.llm.test_near_dedup import brute as near_brute
+from tests.llm.test_tokens import ids_of
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
@@ -35,6 +38,22 @@ def test_stages_keep_columns_and_act(spark):
     assert len(set(texts)) == len(texts)
 
 
+def test_run_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").select("item_id", "text").collect()]
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    net = quality.fit(spark.read.parquet(f"{TABLES}/documents.parquet"), labels)
+    good = {i: t for i, t in docs.items() if net.score(t) >= 0.7}
+    last = {t: i for i, t in sorted(good.items())}
+    near = near_brute({i: t for t, i in last.items()})
+    kept = [i for i, (_, component) in near.items() if i == component and not contaminated(docs[i], items)[3]]
+    tokens = {}
+    for r in corpus_pipeline.run(spark, TABLES).collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    assert 0 < len(kept) < len(docs)
+    assert tokens == {i: len(ids_of(docs[i])) for i in kept}
+
+
 def test_stages_leave_other_columns_alone(spark, tmp_path):
     shown = spark.read.parquet(f"{TABLES}/documents.parquet").limit(30).select(
         "doc_id", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in ("score", "kept", "n_hit", "hits", "keep_id", "a.b")], "text"
