@@ -30,7 +30,7 @@ WORDS = 5
 BANDS = 25
 ROWS = 5
 #: words whose digests a worker remembers
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 #: size of a bucket up to which its open nodes are compared pair by pair
 FEW = 40
 

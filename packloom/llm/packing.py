@@ -11,13 +11,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
-from packloom.llm.token_ids import encode, word_ids
+from packloom.llm.token_ids import encode_all, word_ids
 
 #: a document's id, its tokens before the piece, all its tokens, the piece's ids
 Piece = tuple[int | None, int, int, bytes]
@@ -25,6 +25,13 @@ PIECES = (
     "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, sequence bigint, `offset` bigint"
 )
 
+FIELDS = pa.schema(
+    [("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    + [("doc_tokens", pa.int64()), ("part", pa.int32()), ("sequence", pa.int64()), ("offset", pa.int64())]
+)
+#: closed windows, with their ids, that wait to be written out
+DONE_KEPT = 1000
+
 
 class Packer:
     """Windows of ``size`` tokens; ``done`` gathers closed windows, each a list of pieces."""
@@ -123,10 +130,10 @@ def pack_documents(
     no piece. Only the two named columns are read.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, packer, closed = word_ids(tokenizer_file), TaskContext.get().partitionId(), Packer(size), 0
 
-        def emitted() -> pd.DataFrame:
+        def emitted() -> pa.RecordBatch:
             nonlocal closed
             rows = []
             for number, window in enumerate(packer.done, closed):
@@ -137,18 +144,21 @@ def pack_documents(
                     at += n
             closed += len(packer.done)
             packer.done.clear()
-            out = pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "part", "sequence", "offset"])
-            return out.astype({"id": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=FIELDS)
 
         for batch in batches:
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                packer.add(None if pd.isna(i) else int(i), encode(words, text, end_id))
-            yield emitted()
+            for n, (i, ids) in enumerate(zip(batch["id"].to_pylist(), encode_all(words, batch["text"], end_id), strict=True)):
+                packer.add(i, ids)
+                if len(packer.done) >= DONE_KEPT or n == len(batch) - 1:
+                    yield emitted()
         packer.finish()
-        yield emitted()
+        if packer.done:
+            yield emitted()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    staged = stage(rows.mapInPandas(pieces, PIECES), "pieces")
+    staged = stage(rows.mapInArrow(pieces, PIECES), "pieces")
     parts = staged.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return staged.join(F.broadcast(parts), "part").select(

@@ -10,16 +10,23 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: words, and pieces of words, remembered by one worker; beyond, it starts afresh
-WORDS_KEPT = 800_000
+#: words and pieces of words remembered by one worker; beyond, it starts afresh
+WORDS_KEPT = 250_000
+PIECES_KEPT = 600_000
+#: bytes of text whose distinct words are looked up together
+SLICE_BYTES = 4 << 20
 #: letters whose lower case and composed form are single code points
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: punctuation that forms one piece where it closes a word
-CLOSING = "-.,;:!?#$%&*()\"+=/"
+CLOSING = b"-.,;:!?#$%&*()\"+=/"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +54,7 @@ class WordIds(dict):
     def _piece(self, piece: bytes) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= WORDS_KEPT:
+            if len(self.pieces) >= PIECES_KEPT:
                 self.pieces.clear()
             spelled = piece.decode("latin-1")
             if not piece.isascii():
@@ -58,15 +65,14 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        low = text.lower()
+        low = word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
         stem = low.rstrip(CLOSING)
-        if LETTERS.fullmatch(stem):
-            ids = self._piece(stem.encode())
+        if stem.isalpha() or LETTERS.fullmatch(stem.decode()):
+            ids = self._piece(stem)
             if len(stem) < len(low):
-                ids += self._piece(low[len(stem) :].encode())
+                ids += self._piece(low[len(stem) :])
         else:
-            ids = _bytes(self.whole.encode(text, add_special_tokens=False).ids)
+            ids = _bytes(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
@@ -79,4 +85,41 @@ def word_ids(tokenizer_file: str) -> WordIds:
 
 def encode(words: WordIds, text: str | None, end_id: int) -> bytes:
     """The ids of a text (null: of an empty one), closed by ``end_id``."""
-    return b"".join(map(words.__getitem__, (text or "").encode("utf-8", "replace").split())) + end_id.to_bytes(4, "little")
+    return b"".join(map(words.__getitem__, (text or "").encode("utf-8", "replace").split())) + _bytes([end_id])
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about ``SLICE_BYTES`` together; a longer text stands alone."""
+    sizes = np.asarray(pc.binary_length(texts))
+    first, held = 0, 0
+    for n, size in enumerate(sizes.tolist()):
+        if held and held + size > SLICE_BYTES:
+            yield texts[first:n]
+            first, held = n, 0
+        held += size
+    if first < len(texts):
+        yield texts[first:]
+
+
+def encode_all(words: WordIds, texts: pa.Array, end_id: int) -> Iterator[bytes]:
+    """``encode`` of every text of an Arrow array, in order.
+
+    The distinct words of a slice are looked up once; the slice's ids are then gathered word by word.
+    """
+    for part in _slices(pc.fill_null(texts, "")):
+        split = pc.ascii_split_whitespace(part)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = [words[w] if w else b"" for w in distinct]
+        ids = np.frombuffer(b"".join([*known, _bytes([end_id])]), "<u4")
+        lengths = np.array([*map(len, known), 4], np.int64) // 4
+        starts = np.cumsum(lengths) - lengths
+        counts = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        order = np.insert(np.asarray(coded.indices), np.cumsum(counts), len(known))
+        taken = lengths[order]
+        ends = np.cumsum(taken)
+        tokens = ids[np.repeat(starts[order] - (ends - taken), taken) + np.arange(ends[-1])]
+        at = 0
+        for end in ends[np.cumsum(counts + 1) - 1].tolist():
+            yield tokens[at:end].tobytes()
+            at = end
