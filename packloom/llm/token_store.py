@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packloom.llm.token_ids import encode, word_ids
+from packloom.llm.token_ids import encode_all, word_ids
 
 MAGIC = b"PFOR"
 BLOCK = 1024
@@ -36,44 +37,83 @@ SEGMENT_TOKENS = 1 << 20
 HEAD = struct.Struct("<4sIIIQ")
 BLOCK_HEAD = struct.Struct("<IBH")
 SEGMENTS = "part int, segment int, first bigint, n_tokens bigint, payload binary"
+SEGMENT_FIELDS = pa.schema(
+    [("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]
+)
 
 
 def _bits_needed(values: np.ndarray) -> np.ndarray:
-    return np.frexp(values.astype(np.float64))[1]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
-def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    """One block of unsigned 32-bit values, at least one."""
-    least = int(values.min())
-    less = (values - np.uint32(least)).astype("<u4")
+def pack_blocks(values: np.ndarray, size: int = BLOCK, percentile: float = PERCENTILE) -> list[bytes]:
+    """Blocks of ``size`` unsigned 32-bit values each, the last one of the rest.
+
+    All blocks are worked out together, those of one width in one step.
+    """
+    whole = len(values) - len(values) % size
+    if whole < len(values):
+        rest = pack_blocks(values[whole:], len(values) - whole, percentile)
+        return pack_blocks(values[:whole], size, percentile) + rest
+    rows = values.reshape(-1, size)
+    least = rows.min(axis=1, initial=2**32 - 1)
+    less = (rows - least[:, None]).astype("<u4")
     bits = _bits_needed(less)
-    width = int(np.percentile(bits, percentile, method="inverted_cdf"))
-    places = np.flatnonzero(bits > width)
-    unpacked = np.unpackbits(less.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=max(width, 1))
-    packed = np.packbits(unpacked, bitorder="little").tobytes() if width else b""
-    outliers = places.astype("<u2").tobytes() + less[places].tobytes()
-    return BLOCK_HEAD.pack(least, width, len(places)) + packed + outliers
-
-
-def unpack_block(block: memoryview, n: int) -> np.ndarray:
-    least, width, exceptions = BLOCK_HEAD.unpack_from(block)
-    at = BLOCK_HEAD.size
-    less = np.zeros(n, "<u4")
-    if width:
-        size = (n * width + 7) // 8
-        bits = np.unpackbits(np.frombuffer(block, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        low = np.packbits(bits, axis=1, bitorder="little")
-        less.view(np.uint8).reshape(n, 4)[:, : low.shape[1]] = low
-        at += size
-    places = np.frombuffer(block, "<u2", exceptions, at)
-    less[places] = np.frombuffer(block, "<u4", exceptions, at + 2 * exceptions)
-    return less + np.uint32(least)
+    width = np.sort(bits, axis=1)[:, int(np.ceil(size * percentile / 100)) - 1]
+    row, place = np.nonzero(bits > width[:, None])
+    outliers = less[row, place]
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    packed: list[bytes] = [b""] * len(rows)
+    for w in np.unique(width[width > 0]).tolist():
+        chosen = np.flatnonzero(width == w)
+        unpacked = np.unpackbits(less[chosen].view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=w)
+        for n, line in zip(chosen.tolist(), np.packbits(unpacked.reshape(len(chosen), -1), axis=1, bitorder="little"), strict=True):
+            packed[n] = line.tobytes()
+    return [
+        BLOCK_HEAD.pack(least[n], width[n], ends[n + 1] - ends[n])
+        + packed[n]
+        + place[ends[n] : ends[n + 1]].astype("<u2").tobytes()
+        + outliers[ends[n] : ends[n + 1]].tobytes()
+        for n in range(len(rows))
+    ]
+
+
+def unpack_blocks(payload: bytes, starts: np.ndarray, total: int, size: int = BLOCK) -> np.ndarray:
+    """The values of the blocks that start at ``starts``; those of one width are unpacked in one step."""
+    out = np.zeros(len(starts) * size, "<u4").reshape(len(starts), size)
+    heads = [BLOCK_HEAD.unpack_from(payload, at) for at in starts.tolist()]
+    width = np.array([w for _, w, _ in heads], np.int64)
+    counts = np.full(len(starts), size)
+    if len(starts):
+        counts[-1] = total - (len(starts) - 1) * size
+    for w in np.unique(width).tolist():
+        for whole in (True, False):
+            chosen = np.flatnonzero((width == w) & ((counts == size) == whole))
+            if not len(chosen) or not w:
+                continue
+            n = int(counts[chosen[0]])
+            length = (n * w + 7) // 8
+            spare = bytes(8)
+            lines = b"".join(payload[at : at + length] + spare for at in (starts[chosen] + BLOCK_HEAD.size).tolist())
+            rows = np.frombuffer(lines, np.uint8).reshape(-1, length + 8)
+            first, shift = np.divmod(np.arange(n, dtype=np.uint64) * np.uint64(w), np.uint64(8))
+            wide = np.zeros((len(rows), n), np.uint64)
+            for k in range((w + 14) // 8):
+                wide |= rows[:, first.astype(np.int64) + k].astype(np.uint64) << np.uint64(8 * k)
+            out[chosen, :n] = (wide >> shift) & np.uint64((1 << w) - 1)
+    for n, (least, w, exceptions) in enumerate(heads):
+        if exceptions:
+            at = int(starts[n]) + BLOCK_HEAD.size + (int(counts[n]) * w + 7) // 8
+            places = np.frombuffer(payload, "<u2", exceptions, at)
+            out[n, places] = np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions)
+    out += np.array([least for least, _, _ in heads], "<u4")[:, None]
+    return out.reshape(-1)[:total]
 
 
 def pack_segment(ids: list[int | None], tokens: list[bytes], block: int = BLOCK) -> bytes:
     """The bytes of one segment; ``tokens`` holds each document's ids as little-endian unsigned 32-bit bytes."""
     values = np.frombuffer(b"".join(tokens), "<u4")
-    blocks = [pack_block(values[i : i + block]) for i in range(0, len(values), block)]
+    blocks = pack_blocks(values, block)
     starts = np.cumsum([0] + [len(b) for b in blocks]).astype("<u8")
     return b"".join(
         [
@@ -99,13 +139,9 @@ def unpack_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     at += 13 * n_docs
     starts = np.frombuffer(payload, "<u8", n_blocks + 1, at)
     at += 8 * (n_blocks + 1)
-    view = memoryview(payload)
-    tokens = [
-        unpack_block(view[at + int(starts[k]) : at + int(starts[k + 1])], min(block, n_tokens - k * block))
-        for k in range(n_blocks)
-    ]
+    tokens = unpack_blocks(payload, starts[:-1].astype(np.int64) + at, n_tokens, block)
     named = [None if n else int(i) for i, n in zip(ids, null, strict=True)]
-    return named, counts, np.concatenate(tokens) if tokens else np.zeros(0, "<u4")
+    return named, counts, tokens
 
 
 def write_tokens(
@@ -118,21 +154,21 @@ def write_tokens(
     alone. An empty table gives a table without segments. Only the two named columns are read.
     """
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = word_ids(tokenizer_file), TaskContext.get().partitionId()
         ids: list[int | None] = []
         tokens: list[bytes] = []
         number = first = held = 0
 
-        def closed() -> pd.DataFrame:
-            row = (part, number, first, held, pack_segment(ids, tokens))
-            return pd.DataFrame([row], columns=["part", "segment", "first", "n_tokens", "payload"])
+        def closed() -> pa.RecordBatch:
+            row = {"part": part, "segment": number, "first": first, "n_tokens": held, "payload": pack_segment(ids, tokens)}
+            return pa.RecordBatch.from_pylist([row], SEGMENT_FIELDS)
 
         for batch in batches:
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(i) else int(i))
-                tokens.append(encode(words, text, end_id))
-                held += len(tokens[-1]) // 4
+            for i, encoded in zip(batch["id"].to_pylist(), encode_all(words, batch["text"], end_id), strict=True):
+                ids.append(i)
+                tokens.append(encoded)
+                held += len(encoded) // 4
                 if held >= SEGMENT_TOKENS:
                     yield closed()
                     first, held, number, ids, tokens = first + held, 0, number + 1, [], []
@@ -142,7 +178,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInPandas(segments, SEGMENTS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

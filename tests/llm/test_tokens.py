@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +27,16 @@ def test_words_put_together_are_the_whole(text):
     assert np.frombuffer(token_ids.encode(token_ids.word_ids(FILE), text, 1), "<u4").tolist() == ids_of(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab,.é \t\n\x0b\x0c\r\x1c\x85\xa0'1"), max_size=30)), max_size=8), st.integers(1, 40))
+def test_slices_equal_single_texts(texts, size):
+    words = token_ids.word_ids(FILE)
+    token_ids.SLICE_BYTES, before = size, token_ids.SLICE_BYTES
+    got = list(token_ids.encode_all(words, pa.array(texts, pa.string()), 1))
+    token_ids.SLICE_BYTES = before
+    assert got == [token_ids.encode(words, t, 1) for t in texts]
+
+
 def test_cache_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_ids, "WORDS_KEPT", 3)
     text = "the cat sat on the mat, the cat sat"
@@ -36,14 +47,14 @@ def test_cache_starts_afresh(monkeypatch):
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), min_size=1, max_size=1024))
 def test_block_round_trip(values):
     v = np.array(values, np.uint32)
-    block = token_store.pack_block(v)
-    assert np.array_equal(token_store.unpack_block(memoryview(block), len(v)), v)
+    (block,) = token_store.pack_blocks(v, len(v))
+    assert np.array_equal(token_store.unpack_blocks(block, np.array([0]), len(v), len(v)), v)
 
 
 def test_outliers_do_not_widen_a_block():
     v = np.arange(1024, dtype=np.uint32) % 16
     v[[3, 700]] = 2**31
-    assert len(token_store.pack_block(v)) < 1024 // 2 + 40
+    assert len(token_store.pack_blocks(v)[0]) < 1024 // 2 + 40
 
 
 def test_segment_round_trip():
