@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
+from packloom.llm.batches import bound_batches
 
 WINDOW = 13
 #: normalised benchmark bytes in one automaton; a larger benchmark is scanned for block by block
@@ -109,6 +110,7 @@ def find_benchmark(
     """
     docs = docs.drop("n_words", "hits")
     own, spark = docs.columns, docs.sparkSession
+    bound_batches(spark)
     hits = F.from_json(F.lit("[]"), HITS)
     for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         if number:

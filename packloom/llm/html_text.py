@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.llm.batches import bound_batches
+
 #: Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = set("script style template noscript head title textarea select option button svg math canvas iframe object".split())
@@ -173,6 +175,7 @@ def with_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null and empty pages, and pages without content, give an empty text. Whole pages are read; rows may repeat or
     lack any other column. An empty table stays empty; columns of ``pages`` named like a result are replaced.
     """
+    bound_batches(pages.sparkSession)
     html = pages[html_col]
 
     @F.pandas_udf("string")

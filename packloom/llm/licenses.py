@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.llm.batches import bound_batches
+
 #: Notices and opening clauses of public licenses.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -152,6 +154,7 @@ def with_licenses(
     Null and empty texts have none; a template without words is never found. Repeated notices are all reported. An
     empty table stays empty; a column of ``docs`` named ``licenses`` is replaced. Nothing is exchanged.
     """
+    bound_batches(docs.sparkSession)
     listed = {name: tuple(words_of(t)) for name, t in templates.items() if words_of(t)}
 
     @F.pandas_udf(FOUND)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
+from packloom.llm.batches import bound_batches
 from packloom.llm.components import connected
 from packloom.llm.hot import lookup_groups
 
@@ -230,6 +231,7 @@ def near_dedup(
     Rows that repeat the id of the kept row stay with it. An empty table gives an empty table. Other columns are not
     read. A link is found with probability ``1 - (1 - s ** rows) ** bands``: at 0.85, all but 5 in 10 million.
     """
+    bound_batches(docs.sparkSession)
     seen = stage(features(docs, id_col, text_col, bands, rows, width), "features")
     nodes = seen.where("n > 0")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()

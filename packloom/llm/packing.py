@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
+from packloom.llm.batches import bound_batches
 from packloom.llm.token_ids import encode_all, word_ids
 
 #: a document's id, its tokens before the piece, all its tokens, the piece's ids
@@ -158,6 +159,7 @@ def pack_documents(
             yield emitted()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     staged = stage(rows.mapInArrow(pieces, PIECES), "pieces")
     parts = staged.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

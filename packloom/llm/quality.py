@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.llm.batches import bound_batches
+
 PAD = 256
 #: bytes whose responses are held at once
 SPAN = 1 << 16
@@ -182,6 +184,7 @@ def with_quality(docs: DataFrame, net: ByteNet, threshold: float = 0.7, text_col
     texts get the score of padding. An empty table stays empty; columns of ``docs`` named like a result are replaced.
     """
     docs = docs.drop("score", "predicted")
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packloom.llm.batches import bound_batches
 from packloom.llm.token_ids import encode_all, word_ids
 
 MAGIC = b"PFOR"
@@ -176,6 +177,7 @@ def write_tokens(
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
