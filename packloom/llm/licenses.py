@@ -7,6 +7,7 @@ words that were aligned.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -108,7 +109,7 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
     """``(license, coverage, first word, end word)`` of every stretch that covers ``least`` of a template or more.
 
     A text whose words cannot reach that share is left at once. A stretch that does must hold one of the template's
-    rarest words, as many as may be missing and one more, so only surroundings of those are aligned.
+    rarest words, taken until they fill one place more than may be missing, so only surroundings of those are aligned.
     Of overlapping stretches the one with most aligned words counts.
     """
     words = words_of(text)
@@ -116,15 +117,19 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
     out: list[tuple[str, float, int, int, int]] = []
     places: dict[str, list[int]] | None = None
     for name, template in templates.items():
-        if sum(w in counts for w in template) < least * len(template):
+        need = max(1, math.ceil(least * len(template) - 1e-9))
+        if sum(w in counts for w in template) < need:
             continue
         if places is None:
             known, places = set().union(*templates.values()), {}
             for n, w in enumerate(words):
                 if w in known:
                     places.setdefault(w, []).append(n)
-        spare = int((1 - least) * len(template)) + 1
-        rare = sorted(set(template), key=lambda w: (counts[w], w))[:spare]
+        spare, rare, filled = len(template) - need + 1, [], 0
+        for w, n in sorted(Counter(template).items(), key=lambda x: (counts[x[0]], x[0])):
+            if filled < spare:
+                rare.append(w)
+                filled += n
         slack, end = max(2, int(SLACK * len(template))), 0
         for n in sorted(n for w in rare for n in places.get(w, ())):
             if n < end:
@@ -136,7 +141,7 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
                 pairs = align(words[first : n + len(template) - at + slack], template)
                 if len(pairs) > len(best):
                     best, lo = pairs, first
-            if len(best) >= least * len(template):
+            if len(best) >= need:
                 end = lo + best[-1][0] + 1
                 out.append((name, len(best) / len(template), lo + best[0][0], end, len(best)))
     kept: list[tuple[str, float, int, int, int]] = []

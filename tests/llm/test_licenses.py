@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import combinations
 
 from packloom.llm.licenses import TEMPLATES, align, find, with_licenses, words_of
 
@@ -39,6 +41,20 @@ def test_repeats_and_overlaps():
     assert names("the license of the text is under version 2 of that") == []
 
 
+def test_notices_that_miss_just_what_may_be_missing():
+    for text in ("Licensed under the MIT License.", "Distributed under the MIT License."):
+        assert [f[:2] for f in find(f"a b c {text} d e f", LISTED, 0.8)] == [("mit-notice", 0.8)]
+    for length in range(5, 16):
+        for least in (0.6, 0.7, 0.8, 0.9):
+            template = tuple(f"t{n}" for n in range(length))
+            need = math.ceil(least * length - 1e-9)
+            for gone in combinations(range(length), min(3, length - need)):
+                words = ["x", "y", *[w for n, w in enumerate(template) if n not in gone], "z"]
+                pairs = align(words, template)
+                assert len(pairs) >= need
+                assert find(" ".join(words), {"one": template}, least) == [("one", len(pairs) / length, 2, len(words) - 1)]
+
+
 def test_edges(spark, edge, nothing):
     rows = with_licenses(edge.selectExpr("*", "1 licenses"))
     assert rows.count() == edge.count() and all(r.licenses == [] for r in rows.collect())
