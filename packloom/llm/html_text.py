@@ -3,6 +3,10 @@
 Pass one decides what it can: blocks in containers that are never main text, with a notice's signs, or made of links
 are boilerplate; long blocks with many stop words, and blocks of the page's article, are content. Pass two gives the
 short blocks left over the label of the nearest decided neighbour; content wins a tie.
+
+Class, id and role mark containers. A mark never counts for article or main nor for an element that contains one,
+except that sections of comments or related texts may hold articles of their own beside the page's. A generic word
+inside a longer name only counts where no block under it reads like main text.
 """
 
 from __future__ import annotations
@@ -33,6 +37,14 @@ MARKS = set(
     "cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup "
     "promo related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Marks that say little inside a longer name, such as content-sidebar.
+GENERIC = set(
+    "banner comment comments notice notices promo related replies share sharing sidebar social subscribe toolbar widget".split()
+)
+#: Beside these a mark in a longer name tells of the page's state, such as has-sidebar.
+STATES = set("closed disabled enabled has is no off on open with without".split())
+#: Marks of sections that hold articles beside the page's own.
+OTHERS = set("comment comments disqus related replies".split())
 #: Frequent words of the four languages.
 STOP_WORDS = set(
     "a an and are as at be but by for from has have he in is it not of on or that the this to was were which with you "
@@ -48,12 +60,27 @@ LONG = 140
 SHORT = 40
 
 
+@dataclass
+class Mark:
+    """An element marked as boilerplate; ``outer`` is the next one around it."""
+
+    outer: Mark | None
+    generic: bool
+    others: bool
+    holds_article: bool = False
+    holds_main: bool = False
+    sure: bool = False
+    reads_well: bool = False
+    counts: bool = False
+
+
 @dataclass
 class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     boilerplate: bool = False
     article: bool = False
+    mark: Mark | None = None
 
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
@@ -64,40 +91,84 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []  # (tag, role)
+        self.stack: list[tuple[str, str, bool]] = []  # (tag, role, marked)
         self.roles = {"hidden": 0, "boilerplate": 0, "article": 0}
         self.links = 0
+        self.mark: Mark | None = None
+        self.marks: list[Mark] = []
+        self.others = 0
+        self.own_article = False
         self.blocks: list[Block] = [Block()]
 
-    def _role(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()
-        words = set(said.replace("-", " ").replace("_", " ").split())
+    def _role(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, Mark | None]:
+        names = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").lower().split()]
         if tag in HIDDEN or any(k == "hidden" for k, _ in attrs):
-            return "hidden"
+            return "hidden", None
         if tag in BOILERPLATE or (tag == "header" and not self.roles["article"]):
-            return "boilerplate"
-        if words & MARKS and tag not in ("html", "body"):
-            return "boilerplate"
-        return "article" if tag in ARTICLE or "main" in words else ""
+            return "boilerplate", None
+        main = tag == "main" or any(k == "role" and "main" in (v or "").lower().split() for k, v in attrs)
+        if main or tag in ARTICLE:
+            self._spare(main)
+            return "article", None
+        mark, central = None, False
+        for name in names:
+            words = set(name.replace("-", " ").replace("_", " ").split())
+            said = words & MARKS
+            central |= "main" in words and not said
+            if said and tag not in ("html", "body") and (name in MARKS or not words & STATES):
+                generic = name not in MARKS and said <= GENERIC
+                mark = mark or Mark(self.mark, True, False)
+                mark.generic &= generic
+                mark.others |= bool(said & OTHERS)
+        return "article" if central and (mark is None or mark.generic) else "", mark
+
+    def _spare(self, main: bool) -> None:
+        """An article or main opens: the marks around it contain one."""
+        self.own_article |= not self.others and not self.roles["boilerplate"]
+        mark = self.mark
+        while mark and not (mark.holds_main or (mark.holds_article and not main)):
+            mark.holds_article, mark.holds_main = True, mark.holds_main or main
+            mark = mark.outer
+
+    def settle(self) -> None:
+        """Decide which marks count, now that all they contain is known. Outer marks come before inner ones."""
+        for m in self.marks:
+            spared = m.holds_main or (m.holds_article and not (m.others and self.own_article))
+            m.sure = not (m.generic or spared) or bool(m.outer and m.outer.sure)
+            m.reads_well = spared
+        for block in self.blocks:
+            mark = block.mark
+            if mark and not block.boilerplate and not mark.sure and _reads_well(block):
+                while mark and not mark.counts:  # counts notes here that this mark and those around it are done
+                    mark.counts = mark.reads_well = True
+                    mark = mark.outer
+        for m in self.marks:
+            m.counts = m.sure or (m.generic and not m.reads_well) or bool(m.outer and m.outer.counts)
+        for block in self.blocks:
+            block.boilerplate |= bool(block.mark and block.mark.counts)
 
     def _break(self) -> None:
         last = self.blocks[-1]
         if last.pieces:
             self.blocks.append(Block())
             last = self.blocks[-1]
-        last.boilerplate, last.article = self.roles["boilerplate"] > 0, self.roles["article"] > 0
+        last.boilerplate, last.article, last.mark = self.roles["boilerplate"] > 0, self.roles["article"] > 0, self.mark
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag in BLOCKS:
                 self._break()
             return
-        role = self._role(tag, attrs)
-        self.stack.append((tag, role))
+        role, mark = self._role(tag, attrs)
+        self.stack.append((tag, role, mark is not None))
         self.links += tag == "a"
         if role:
             self.roles[role] += 1
-        if role or tag in BLOCKS:
+        if mark:
+            self.mark = mark
+            self.marks.append(mark)
+            self.others += mark.others
+        if role or mark or tag in BLOCKS:
             self._break()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -107,12 +178,15 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         depth = next((n for n in range(len(self.stack) - 1, -1, -1) if self.stack[n][0] == tag), None)
-        if depth is None or (tag not in BLOCKS and any(t in BLOCKS and t != "p" for t, _ in self.stack[depth + 1 :])):
+        if depth is None or (tag not in BLOCKS and any(t in BLOCKS and t != "p" for t, *_ in self.stack[depth + 1 :])):
             return  # closes nothing, or an inline element that was left open around blocks
         changed = tag in BLOCKS
-        for t, role in self.stack[depth:]:
+        for t, role, marked in reversed(self.stack[depth:]):
             self.links -= t == "a"
-            changed |= bool(role)
+            changed |= bool(role) or marked
+            if marked:
+                self.others -= self.mark.others
+                self.mark = self.mark.outer
             if role:
                 self.roles[role] -= 1
         del self.stack[depth:]
@@ -128,6 +202,18 @@ class Blocks(HTMLParser):
             block.linked += len(data.strip())
 
 
+def _stop_share(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()&%$#*").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def _reads_well(block: Block) -> bool:
+    text = block.text()
+    if len(text) < LONG or block.linked > LINK_SHARE * len(text) or "\N{COPYRIGHT SIGN}" in text:
+        return False
+    return _stop_share(text) >= STOP_SHARE_LOW
+
+
 def first_pass(block: Block) -> str:
     """``good``, ``bad``, or ``short`` for a block that is left to its neighbours."""
     text = block.text()
@@ -137,8 +223,7 @@ def first_pass(block: Block) -> str:
         return "good"
     if "\N{COPYRIGHT SIGN}" in text:
         return "bad"
-    words = [w.strip(".,;:!?\"'()&%$#*").lower() for w in text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    stops = _stop_share(text)
     if len(text) < SHORT:
         return "short"
     if stops >= STOP_SHARE_HIGH or (stops >= STOP_SHARE_LOW and len(text) >= LONG):
@@ -164,6 +249,7 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
+    parser.settle()
     blocks = [b for b in parser.blocks if b.text()]
     kept = second_pass([first_pass(b) for b in blocks])
     return " ".join(b.text() for b, good in zip(blocks, kept, strict=True) if good)

@@ -18,6 +18,43 @@ def test_page(shell):
     assert got == f"Title & more {BODY.strip()} Short. {BODY.strip()} x y <z>"
 
 
+@pytest.mark.parametrize(
+    "shell",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main></div>",
+        "<div class='sidebar'><main>{}</main></div>",
+        "<div class='page has-sidebar'>{}</div>",
+        "<div id='no-sidebar'><div class='post'>{}</div></div>",
+        "<div class='content-sidebar'>{}</div>",
+        "<div class='notice'><div class='widget related'><article>{}</article></div></div>",
+        "<article class='post comments-open'>{}</article>",
+        "<article aria-label='Share prices fall'>{}</article>",
+        "<div aria-label='Share prices fall'>{}</div>",
+        "<main><div class='widget'><article class='related notice'>{}</article></div></main>",
+        "<div role='main' class='share'>{}</div>",
+    ],
+)
+def test_marks_do_not_take_the_main_text(shell):
+    inner = f"<h1>Title</h1><p>{BODY}</p><p>Short.</p>"
+    assert main_text(PAGE.replace("{main}", shell.format(inner))) == f"Title {BODY.strip()} Short."
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        "<div class='share-buttons'>Share it</div>",
+        "<div id='sidebar' class='wide'><p>" + BODY + "</p></div>",
+        "<div class='site-footer'>" + BODY + "</div>",
+        "<section id='comments'><ol class='comment-list'><li><article class='comment-body'>" + BODY + "</article></li></ol></section>",
+        "<div class='related'><article>" + BODY + "</article></div>",
+        "<div class='related-posts'><p>One title</p><p>Another title</p></div>",
+    ],
+)
+def test_marks_still_take_boilerplate(other):
+    for page in ("<article><p>{0}</p></article>{1}", "{1}<main><p>{0}</p></main>", "<main><article><p>{0}</p></article>{1}</main>"):
+        assert main_text(page.format(BODY, other)) == BODY.strip()
+
+
 def test_open_inline_elements_and_links():
     got = main_text(f"<article><p><b>Bold start<br><p>Next</p><p>a<i>b</i>c</p><ul><li><a href=x>Related one</a></li></ul></article><p>{BODY}</p>")
     assert got == f"Bold start Next abc {BODY.strip()}"
@@ -36,6 +73,7 @@ def test_broken_pages_do_not_crash(html):
 
 
 def test_deep_and_long_pages():
+    assert main_text("<div class='widget related-x'>" * 3000 + f"<article>{BODY}</article>" * 300).count(BODY.strip()) == 300
     assert main_text("<div>" * 5000 + f"<p>{BODY}</p>") == BODY.strip()
     assert len(main_text(f"<article>{'<p>' + BODY + '</p>'}</article>" * 300)) > 300 * 200
 
