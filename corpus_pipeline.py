@@ -37,10 +37,15 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    judged = near_dedup.near_dedup(docs)
-    dropped = stage(judged.where("not kept").select(F.col("id").alias("__id")), "near-dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group of near duplicates.
+
+    A row's id and text tell what was decided on it: ids may be null or repeated.
+    """
+    told = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    judged = near_dedup.near_dedup(told, carried=["__digest"])
+    dropped = judged.where("not kept").select(F.col("id").alias("__id"), F.col("__digest").alias("__dropped"))
+    same = (F.col("__digest") == F.col("__dropped")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return told.join(stage(dropped, "near-dropped"), same, "left_anti").drop("__digest")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ filter finds the pairs: two linked sets must share one of their rarest shingles,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -102,8 +102,13 @@ def band_keys(best: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int) -> DataFrame:
-    """``(id, n, node, bands)`` per row: set size, digest of the whole set, band keys; null and none for empty sets."""
+def features(
+    docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``(id, n, node, bands)`` per row: set size, digest of the whole set, band keys; null and none for empty sets.
+
+    Columns of ``docs`` that ``carried`` names follow.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -115,11 +120,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
                     "n": [len(s) for s in sets],
                     "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else [] for s in sets],
+                    **{c: batch[c] for c in carried},
                 }
             )
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(work, "id bigint, n bigint, node binary, bands array<bigint>")
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *carried)
+    types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return chosen.mapInPandas(work, f"id bigint, n bigint, node binary, bands array<bigint>{types}")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -221,8 +228,9 @@ def near_dedup(
     width: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``.
+    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``, then its columns ``carried``.
 
     Two rows are linked when their sets share ``percent`` of their union or more; components follow links. Rows
     without words are linked with nothing and stay. ``component_id`` is the smallest id of a component and ``kept``
@@ -232,7 +240,7 @@ def near_dedup(
     read. A link is found with probability ``1 - (1 - s ** rows) ** bands``: at 0.85, all but 5 in 10 million.
     """
     bound_batches(docs.sparkSession)
-    seen = stage(features(docs, id_col, text_col, bands, rows, width), "features")
+    seen = stage(features(docs, id_col, text_col, bands, rows, width, carried), "features")
     nodes = seen.where("n > 0")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
@@ -247,5 +255,6 @@ def near_dedup(
     placed = lookup_groups(seen, of_node, "node", "docs", seen.count())
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return placed.select(
-        "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
+        *carried,
     )

@@ -68,6 +68,14 @@ def test_stages_leave_other_columns_alone(spark, tmp_path):
         assert function(spark, docs.limit(0), TABLES).count() == 0
 
 
+def test_near_stage_judges_rows_not_ids(spark):
+    base, other = (" ".join(f"{w}{n}" for n in range(200)) for w in "ab")
+    rows = [(1, base), (5, f"{base} end"), (5, other), (None, other.upper()), (None, None), (7, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.one_of_each_kind(spark, docs, TABLES)
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
