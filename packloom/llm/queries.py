@@ -13,6 +13,7 @@ from packloom.llm import (
     decontam,
     exact_dedup,
     html_text,
+    lexical_search,
     licenses,
     near_dedup,
     packing,
@@ -104,6 +105,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(_documents(spark, sf_dir), benchmark).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_sharding,
         op10_exact_dedup,
+        op12_lexical_search,
     )
 }

@@ -152,10 +152,37 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+SEARCH_TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+RANKED = f"""
+WITH terms AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({LOW}, '{SEARCH_TERMS}')) AS t FROM documents),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+totals AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOW}, '{SEARCH_TERMS}')) AS t FROM benchmark),
+held AS MATERIALIZED (
+  SELECT t, doc_id, count(*) AS tf FROM terms WHERE t IN (SELECT t FROM asked) GROUP BY t, doc_id
+),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM held GROUP BY t), totals
+),
+impacts AS MATERIALIZED (
+  SELECT t, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS part
+  FROM held JOIN weights USING (t) JOIN sizes USING (doc_id), totals
+),
+scored AS (
+  SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, doc_id
+),
+placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, place::INT AS rank, doc_id, score FROM placed WHERE place <= 50"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op2_near_dedup": NEAR,
     "op3_decontamination": CONTAMINATED,
     "op9_sharding": SHARDED,
     "op10_exact_dedup": EXACT,
+    "op12_lexical_search": RANKED,
 }
