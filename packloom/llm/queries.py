@@ -13,10 +13,12 @@ from packloom.llm import (
     decontam,
     exact_dedup,
     html_text,
+    language,
     lexical_search,
     licenses,
     near_dedup,
     packing,
+    phrases,
     quality,
     secrets,
     sharding,
@@ -105,11 +107,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    judged = language.with_language(docs.drop("lang"), language.fit(docs))
+    return judged.select("doc_id", language.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return lexical_search.search(_documents(spark, sf_dir), benchmark).withColumnRenamed("id", "doc_id")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -123,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_sharding,
         op10_exact_dedup,
+        op11_language,
         op12_lexical_search,
+        op13_phrases,
     )
 }
