@@ -2,6 +2,10 @@
 
 Texts are normalised byte by byte: A-Z become lower case, every other ASCII character that is no digit or letter
 becomes a space. Normalised text has the original's length, so a word's place in it is its place in the original.
+
+The automaton's letters are whole words: the benchmark's distinct words are numbered, a text becomes one character per
+word, and all words that the benchmark lacks are one character that no window has. A window of 13 words then takes 13
+nodes at most, however long its words are.
 """
 
 from __future__ import annotations
@@ -20,13 +24,17 @@ from packloom.llm.batches import bound_batches
 
 WINDOW = 13
 #: normalised benchmark bytes in one automaton; a larger benchmark is scanned for block by block
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: the character of words that the benchmark lacks
+FOREIGN = "\x01"
 HITS = "array<struct<start:int,end:int,item:string>>"
+SCANNED = f"struct<n:bigint,hits:{HITS}>"
 
 TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 WORD = re.compile(rb"[^ ]+")
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normalised(text: str | None) -> bytes:
@@ -41,35 +49,51 @@ def windows(text: str | None, length: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
 
 
-def automaton(items: Iterable[tuple[str, str | None]], length: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Each window, its words between single spaces, to its number of words and the items that have it."""
-    owners: dict[tuple[bytes, ...], list[str]] = {}
-    for item, text in items:
-        for window in windows(text, length):
-            owners.setdefault(window, []).append(item)
-    if not owners:
-        return None
-    machine = ahocorasick.Automaton()
-    for window, having in owners.items():
-        machine.add_word(f" {b' '.join(window).decode('latin-1')} ", (len(window), tuple(sorted(set(having)))))
-    machine.make_automaton()
-    return machine
-
-
-def occurrences(machine: ahocorasick.Automaton, text: bytes) -> list[tuple[int, int, str]]:
-    """``(first word, end word, item)`` of every occurrence of a window in a normalised text."""
-    line = f" {b' '.join(text.split()).decode('latin-1')} "
-    found, seen, at = [], 0, 0
-    for end, (n, items) in machine.iter(line):
-        seen += line.count(" ", at, end)  # spaces before the closing one: the words up to it
-        at = end
-        found += [(seen - n, seen, item) for item in items]
-    return found
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).dropna()
-    block: list[tuple[str, str]] = []
+class Letters(dict):
+    """One character per word of the benchmark, FOREIGN for any other."""
+
+    def __missing__(self, word: bytes) -> str:
+        return FOREIGN
+
+    def add(self, word: bytes) -> str:
+        if word not in self:
+            place = len(self) + 2
+            self[word] = chr(place if place < 0xD800 else place + 0x800)  # surrogates are no characters
+        return self[word]
+
+    def spell(self, words: Iterable[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
+class Machine:
+    """The automaton of a block of ``(item, text)``; items without an id are found like others, but not named."""
+
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], length: int = WINDOW):
+        owners: dict[tuple[bytes, ...], set[str | None]] = {}
+        for item, text in items:
+            for window in windows(text, length):
+                owners.setdefault(window, set()).add(item)
+        self.letters = Letters()
+        self.automaton = ahocorasick.Automaton()
+        for window, having in owners.items():
+            named = tuple(sorted(i for i in having if i is not None))
+            self.automaton.add_word("".join(map(self.letters.add, window)), (len(window), named or (None,)))
+        self.empty = not owners
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, str | None]]]:
+        """Number of words, and ``(first word, end word, item)`` of every occurrence of a window, in a normalised text."""
+        words = text.split()
+        if self.empty or not words:
+            return len(words), []
+        line = self.letters.spell(words)
+        return len(words), [(end + 1 - n, end + 1, item) for end, (n, items) in self.automaton.iter(line) for item in items]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    block: list[tuple[str | None, str]] = []
     size = 0
     for item, text in rows.toLocalIterator():
         block.append((item, text))
@@ -82,11 +106,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def _scanner(items: Broadcast, length: int):
-    @F.pandas_udf(HITS)
-    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = automaton(items.value, length)
+    @F.pandas_udf(SCANNED)
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        machine = Machine(items.value, length)
         for batch in texts:
-            yield pd.Series([occurrences(machine, normalised(t)) if machine else [] for t in batch], dtype=object)
+            found = [machine.scan(normalised(t)) for t in batch]
+            yield pd.DataFrame({"n": [n for n, _ in found], "hits": pd.Series([h for _, h in found], dtype=object)})
 
     return scan
 
@@ -104,27 +129,31 @@ def find_benchmark(
 
     The benchmark is read in blocks of bounded size; each becomes one broadcast automaton that scans every text once,
     without an exchange. With several blocks the rows are staged between them. Null and empty texts have no words and
-    no hits; a benchmark item without id, text or words finds nothing, an empty benchmark nothing at all. Items that
+    no hits; a benchmark item without text or words finds nothing, an empty benchmark nothing at all. An item without
+    id marks words like any other; its hits carry a null item, unless a named item has the same window. Items that
     share a window are all reported, repeated items once. An empty table stays empty; columns of ``docs`` named like
     a result are replaced.
     """
     docs = docs.drop("n_words", "hits")
-    own, spark = docs.columns, docs.sparkSession
+    own, spark = [F.col(f"`{c}`") for c in docs.columns], docs.sparkSession
     bound_batches(spark)
-    hits = F.from_json(F.lit("[]"), HITS)
-    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        if number:
-            docs = stage(docs.select(*own, hits.alias("__hits")), "benchmark-hits")
-            hits = F.col("__hits")
-        hits = F.concat(hits, _scanner(spark.sparkContext.broadcast(block), length)(F.col(text_col)))
-    return docs.select(*own, _word_count(text_col).cast("bigint").alias("n_words"), hits.alias("hits"))
-
-
-def _word_count(text_col: str):
-    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-
-
-def original_spans(text: str, hits: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    rows = docs.select(F.struct(*own or [F.lit(0)]).alias("row"), F.col(text_col).alias("text"))
+    none = F.from_json(F.lit("[]"), HITS)
+    rows = rows.withColumns({"n": F.lit(None).cast("bigint"), "hits": none})
+    scanned = False
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        if scanned:
+            rows = stage(rows, "benchmark-hits")
+        found = rows.withColumn("found", _scanner(spark.sparkContext.broadcast(block), length)(F.col("text")))
+        rows = found.select("row", "text", F.col("found.n").alias("n"), F.concat("hits", "found.hits").alias("hits"))
+        scanned = True
+    if not scanned:
+        rows = rows.withColumn("n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("bigint"))
+    back = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*back, F.col("n").alias("n_words"), "hits")
+
+
+def original_spans(text: str, hits: Iterable[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
     """Hits in words as code points of the original text, end exclusive."""
     flat = normalised(text)
     places = [m.span() for m in WORD.finditer(flat)]
@@ -149,6 +178,6 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
         lambda acc: acc["n"],
     )
     hit = F.when(F.size("hits") == 0, 0).otherwise(walk).cast("bigint")
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"]), lambda i: i.isNotNull())))
     out = found.withColumns({"n_hit": hit, "items": items})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
