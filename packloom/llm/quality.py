@@ -146,35 +146,31 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     sample_rows: int = 3000,
-    sample_chars: int = 65536,
+    longest: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
 ) -> ByteNet:
     """Train on at most ``sample_rows`` labelled rows that are not held out, drawn by a digest of their id.
 
-    Both bounds are for learning alone: of a training text longer than ``sample_chars`` code points a stretch of that
-    length is read, placed by the same digest. Rows without a label or id take no part.
+    Whole texts teach. Rows with more than ``longest`` code points are not drawn, which bounds what the driver holds;
+    rows without a label, id or text take no part. An id with several labels has the least of them, one with several
+    texts the first in order.
     """
     draw = F.md5(F.col("__id").cast("string"))
-    chosen = (
+    known = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
         .dropna()
         .where(~is_held_out("__id"))
-        .dropDuplicates(["__id"])
-        .orderBy(draw, "__id")
-        .limit(sample_rows)
+        .groupBy("__id")
+        .agg(F.min("__label").alias("__label"))
     )
-    length = F.length(text_col)
-    share = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    start = (share * F.greatest(F.lit(0), length - sample_chars)).cast("int") + 1
-    rows = (
-        docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-        .select("__id", F.substring(F.col(text_col), start, F.lit(sample_chars)).alias("text"), "__label")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    short = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= longest)
+    present = short.select("__id").distinct()
+    chosen = known.join(present, "__id", "left_semi").orderBy(draw, "__id").limit(sample_rows)
+    rows = short.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text")).collect()
+    rows.sort(key=lambda r: (r["__id"], r["__text"]))
+    return train([r["__text"] for r in rows], [r["__label"] for r in rows])
 
 
 def with_quality(docs: DataFrame, net: ByteNet, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
