@@ -7,13 +7,18 @@ short blocks left over the label of the nearest decided neighbour; content wins
 Class, id and role mark containers. A mark never counts for article or main nor for an element that contains one,
 except that sections of comments or related texts may hold articles of their own beside the page's. A generic word
 inside a longer name only counts where no block under it reads like main text.
+
+Pages are read by one forward scan for tags, whatever state they are in: an open comment or quote ends at the next
+``>``, and what never ends at all is left out. Its work grows with the length of the page, not with its depth or faults.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,9 +43,9 @@ MARKS = set(
     "promo related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Marks that say little inside a longer name, such as content-sidebar.
-GENERIC = set(
-    "banner comment comments notice notices promo related replies share sharing sidebar social subscribe toolbar widget".split()
-)
+GENERIC = set("banner notice notices promo share sharing sidebar social subscribe toolbar widget".split())
+#: Elements whose text is raw up to their own end tag.
+RAW = set("script style template noscript title textarea iframe xmp noframes".split())
 #: Beside these a mark in a longer name tells of the page's state, such as has-sidebar.
 STATES = set("closed disabled enabled has is no off on open with without".split())
 #: Marks of sections that hold articles beside the page's own.
@@ -86,12 +91,111 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
-class Blocks(HTMLParser):
+TAG_NAME = re.compile(r"[^\s/>]+")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*)?")
+BARE_VALUE = re.compile(r"[^\s>]+")
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
+
+Attributes = list[tuple[str, str]]
+
+
+class Scanner:
+    """The tags and texts of a page, as ``(kind, name or text, attributes)`` with kinds text, start, empty and end."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.none_from: dict[str, int] = {}
+
+    def _find(self, what: str, at: int) -> int:
+        """Like ``str.find``; that nothing follows is found out once."""
+        if at >= self.none_from.get(what, len(self.html) + 1):
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.none_from[what] = at
+        return found
+
+    def events(self) -> Iterator[tuple[str, str, Attributes]]:
+        html, at, size = self.html, 0, len(self.html)
+        while at < size:
+            tag = self._find("<", at)
+            if tag < 0:
+                tag = size
+            if tag > at:
+                yield "text", unescape(html[at:tag]), []
+            if tag + 1 >= size:
+                return
+            after = html[tag + 1]
+            closing = after == "/" and html[tag + 2 : tag + 3].isalpha()
+            if after.isalpha() or closing:
+                end = self._find(">", tag)
+                if end < 0:
+                    return
+                name = TAG_NAME.match(html, tag + 1 + closing).group().lower()
+                if closing:
+                    at = end + 1
+                    yield "end", name, []
+                    continue
+                at, attributes, empty = self._attributes(tag + 1 + len(name))
+                yield "empty" if empty else "start", name, attributes
+                if name in RAW and not empty:
+                    at = self._raw_end(name, at)
+                    yield "end", name, []
+            elif after in "!?/":
+                at = self._comment_end(tag)
+                if at < 0:
+                    return
+            else:
+                yield "text", "<", []
+                at = tag + 1
+
+    def _attributes(self, at: int) -> tuple[int, Attributes, bool]:
+        """The attributes from ``at`` on, the place after the tag, and whether it closes itself; a ``>`` follows."""
+        html, found, slash = self.html, [], False
+        while True:
+            match = ATTRIBUTE.match(html, at)
+            if not match:
+                end = self._find(">", at)
+                if end < 0:
+                    return len(html), found, False
+                return end + 1, found, html[end - 1] == "/" and not slash
+            name, at, slash = match.group(1).lower(), match.end(), False
+            value = ""
+            if "=" in match.group()[match.end(1) - match.start() :]:
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and (end := self._find(quote, at + 1)) >= 0:
+                    value, at = html[at + 1 : end], end + 1
+                elif bare := BARE_VALUE.match(html, at):
+                    value, at = bare.group(), bare.end()
+                    slash = value.endswith("/")
+            found.append((name, unescape(value) if "&" in value else value))
+
+    def _raw_end(self, name: str, at: int) -> int:
+        """Place after the end tag of a raw element, or the end of the page."""
+        found = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(self.html, at)
+        end = self._find(">", found.end()) if found else -1
+        return end + 1 if end >= 0 else len(self.html)
+
+    def _comment_end(self, at: int) -> int:
+        """Place after a comment, declaration or anything else that starts like one; -1 if it never ends."""
+        html = self.html
+        if html.startswith("<!--", at):
+            if html.startswith((">", "->"), at + 4):
+                return html.index(">", at) + 1
+            ends = [e + len(mark) for mark in ("-->", "--!>") if (e := self._find(mark, at + 4)) >= 0]
+            if ends:
+                return min(ends)
+        end = self._find(">", at)
+        return end + 1 if end >= 0 else -1
+
+
+class Blocks:
     """The text blocks of a page in order, with the facts pass one needs."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str, bool]] = []  # (tag, role, marked)
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack
+        self.around: list[int] = []  # places of open block elements other than p
         self.roles = {"hidden": 0, "boilerplate": 0, "article": 0}
         self.links = 0
         self.mark: Mark | None = None
@@ -100,13 +204,24 @@ class Blocks(HTMLParser):
         self.own_article = False
         self.blocks: list[Block] = [Block()]
 
-    def _role(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, Mark | None]:
-        names = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").lower().split()]
-        if tag in HIDDEN or any(k == "hidden" for k, _ in attrs):
+    def read(self, html: str) -> None:
+        for kind, name, attributes in Scanner(html).events():
+            if kind == "text":
+                self.handle_data(name)
+            elif kind == "end":
+                self.handle_endtag(name)
+            else:
+                self.handle_starttag(name, attributes)
+                if kind == "empty" and name not in VOID:
+                    self.handle_endtag(name)
+
+    def _role(self, tag: str, attrs: Attributes) -> tuple[str, Mark | None]:
+        names = [n for k, v in attrs if k in ("class", "id", "role") for n in v.lower().split()]
+        if tag in HIDDEN or any(k == "hidden" or (k == "style" and UNSEEN.search(v.lower())) for k, v in attrs):
             return "hidden", None
         if tag in BOILERPLATE or (tag == "header" and not self.roles["article"]):
             return "boilerplate", None
-        main = tag == "main" or any(k == "role" and "main" in (v or "").lower().split() for k, v in attrs)
+        main = tag == "main" or any(k == "role" and "main" in v.lower().split() for k, v in attrs)
         if main or tag in ARTICLE:
             self._spare(main)
             return "article", None
@@ -154,12 +269,15 @@ class Blocks(HTMLParser):
             last = self.blocks[-1]
         last.boilerplate, last.article, last.mark = self.roles["boilerplate"] > 0, self.roles["article"] > 0, self.mark
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attrs: Attributes) -> None:
         if tag in VOID:
             if tag in BLOCKS:
                 self._break()
             return
         role, mark = self._role(tag, attrs)
+        self.places[tag].append(len(self.stack))
+        if tag in BLOCKS and tag != "p":
+            self.around.append(len(self.stack))
         self.stack.append((tag, role, mark is not None))
         self.links += tag == "a"
         if role:
@@ -171,15 +289,12 @@ class Blocks(HTMLParser):
         if role or mark or tag in BLOCKS:
             self._break()
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
-        depth = next((n for n in range(len(self.stack) - 1, -1, -1) if self.stack[n][0] == tag), None)
-        if depth is None or (tag not in BLOCKS and any(t in BLOCKS and t != "p" for t, *_ in self.stack[depth + 1 :])):
-            return  # closes nothing, or an inline element that was left open around blocks
+        if not self.places[tag]:
+            return
+        depth = self.places[tag][-1]
+        if tag not in BLOCKS and self.around and self.around[-1] > depth:
+            return  # an inline element that was left open around blocks
         changed = tag in BLOCKS
         for t, role, marked in reversed(self.stack[depth:]):
             self.links -= t == "a"
@@ -189,7 +304,10 @@ class Blocks(HTMLParser):
                 self.mark = self.mark.outer
             if role:
                 self.roles[role] -= 1
+            self.places[t].pop()
         del self.stack[depth:]
+        while self.around and self.around[-1] >= depth:
+            self.around.pop()
         if changed:
             self._break()
 
@@ -209,26 +327,40 @@ def _stop_share(text: str) -> float:
 
 def _reads_well(block: Block) -> bool:
     text = block.text()
-    if len(text) < LONG or block.linked > LINK_SHARE * len(text) or "\N{COPYRIGHT SIGN}" in text:
+    if len(text) < LONG or block.linked > LINK_SHARE * len(text):
         return False
     return _stop_share(text) >= STOP_SHARE_LOW
 
 
 def first_pass(block: Block) -> str:
-    """``good``, ``bad``, or ``short`` for a block that is left to its neighbours."""
+    """``good``, ``bad``, ``short`` for a block that is left to its neighbours, ``unread`` if no stop word tells."""
     text = block.text()
     if block.boilerplate or block.linked > LINK_SHARE * len(text):
         return "bad"
     if block.article:
         return "good"
-    if "\N{COPYRIGHT SIGN}" in text:
+    if "\N{COPYRIGHT SIGN}" in text and len(text) < LONG:
         return "bad"
     stops = _stop_share(text)
     if len(text) < SHORT:
         return "short"
     if stops >= STOP_SHARE_HIGH or (stops >= STOP_SHARE_LOW and len(text) >= LONG):
         return "good"
-    return "short" if stops >= STOP_SHARE_LOW else "bad"
+    return "short" if stops >= STOP_SHARE_LOW else "unread"
+
+
+def decided(labels: list[str], sizes: list[int]) -> list[str]:
+    """Labels without ``unread``, which has long blocks with too few known stop words: bad beside any good block.
+
+    Where no block is good, the page may be in a language without stop words here: its long unread blocks are good then,
+    or else all that is short.
+    """
+    if "good" not in labels:
+        if any(label == "unread" and size >= LONG for label, size in zip(labels, sizes, strict=True)):
+            labels = ["good" if label == "unread" and size >= LONG else label for label, size in zip(labels, sizes, strict=True)]
+        else:
+            labels = ["good" if label == "short" else label for label in labels]
+    return ["bad" if label == "unread" else label for label in labels]
 
 
 def second_pass(labels: list[str]) -> list[bool]:
@@ -246,12 +378,12 @@ def second_pass(labels: list[str]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    parser = Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.settle()
-    blocks = [b for b in parser.blocks if b.text()]
-    kept = second_pass([first_pass(b) for b in blocks])
+    page = Blocks()
+    page.read(html or "")
+    page.settle()
+    blocks = [b for b in page.blocks if b.text()]
+    labels = decided([first_pass(b) for b in blocks], [len(b.text()) for b in blocks])
+    kept = second_pass(labels)
     return " ".join(b.text() for b, good in zip(blocks, kept, strict=True) if good)
 
 
