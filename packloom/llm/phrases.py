@@ -4,11 +4,14 @@ A phrase of two to five words scores as its weakest cut: ``floor(1000 a n / (l r
 ``l`` and ``r`` of the two parts, and ``n`` words in its language. ``a`` is at most ``l`` and at most ``r``, so cutting off
 the first or the last word shows that no phrase scores more than ``1000 n / f`` for the count ``f`` of either: the count
 of its first word bounds all that can grow from it. Rare words therefore promise most. Growth starts from the rarest
-words that are frequent enough, counts the phrases that begin or end there, and goes on to more frequent words only
+words that are frequent enough, counts the phrases that begin and end there, and goes on to more frequent words only
 while one of them could still reach the last place of its language's list, ties included.
 
-Counting is exact: phrases are strings from the worker to the last aggregate. Bit filters of bounded size keep out
-what cannot be frequent; a wrongly admitted phrase costs one row and is dropped by its count.
+Words are counted as strings. Pairs are first counted by 64-bit digests, which costs numbers only: a pair that is
+frequent always has a frequent digest, and a collision lets one more through. Longer phrases grow from such pairs, and
+whatever is grown is counted as a string. Bit filters of bounded size carry these sets to the workers; a wrongly
+admitted phrase costs one row and is dropped by its count. That all occurrences of a phrase have the same neighbour,
+which drops it, is told by the neighbours' digests of 62 bits.
 """
 
 from __future__ import annotations
@@ -23,22 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.staging import stage
+from packloom.functions.staging import discard, stage
 from packloom.llm.batches import bound_batches
-from packloom.llm.exact_dedup import BITMAP_BITS, filter_bits
+from packloom.llm.bit_filter import key_filter
+from packloom.llm.exact_dedup import BITMAP_BITS
 from packloom.llm.near_dedup import mix
 from packloom.llm.text_slices import slices
 
 LONGEST = 5
 UNKNOWN = "und"
-#: words that growth starts from, per place of a language's list
-WORDS_PER_PLACE = 8
-#: how many times as many words join when a round has not filled the list
-GROWTH = 8
-BITS_PER_KEY = 16
-#: bits of a filter at most (32 MB)
-MAX_FILTER_BITS = 1 << 28
-#: distinct phrases, and bytes of text, that a worker gathers before it hands counts on
+#: growth starts from the rarest words that make up one in so many words of a language
+FIRST_SHARE = 8
+#: distinct words, and bytes of text, that a worker gathers before it hands counts on
 DISTINCT_KEPT = 300_000
 BYTES_KEPT = 32 << 20
 #: words from which on a worker forgets their digests, and the length up to which it remembers them
@@ -52,8 +51,13 @@ PIECE_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256)
 )
 FREQUENT, END = 1, 2
-COUNTED = "lang string, phrase string, size int, n bigint"
-FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+PLAIN = ~np.uint64(3)
+WORD_FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+GROWN = "lang string, phrase string, size int, n bigint, l_lo bigint, l_hi bigint, r_lo bigint, r_hi bigint"
+GROWN_FIELDS = pa.schema(
+    [("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())]
+    + [(c, pa.int64()) for c in ("l_lo", "l_hi", "r_lo", "r_hi")]
+)
 
 
 def prepared(text: str | None) -> bytes:
@@ -62,7 +66,7 @@ def prepared(text: str | None) -> bytes:
 
 
 def words_ahead(blob: bytes, at: int, count: int) -> list[bytes]:
-    """The next ``count`` words from ``at`` on."""
+    """The next ``count`` words from ``at`` on, BREAK beyond the end."""
     out: list[bytes] = []
     while len(out) < count and at < len(blob):
         end = blob.find(b" ", at + 1)
@@ -71,7 +75,17 @@ def words_ahead(blob: bytes, at: int, count: int) -> list[bytes]:
         if word:
             out.append(word)
         at = end
-    return out
+    return out + [BREAK] * (count - len(out))
+
+
+def stretches(blob: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in stretches that a worker can hold, each with one word before and LONGEST words after it."""
+    before = BREAK
+    for start, end in slices(blob):
+        words = blob[start:end].split()
+        if words:
+            yield [before, *words, *words_ahead(blob, end, LONGEST)]
+            before = words[-1]
 
 
 def digests(lang: str, words: Sequence[bytes]) -> np.ndarray:
@@ -83,7 +97,7 @@ def digest_of(values: Sequence[np.ndarray]) -> np.ndarray:
     """Digests of phrases from those of their words in order, whose two low bits do not count."""
     total = np.full(len(values[0]), len(values), np.uint64)
     for v in values:
-        total = mix(total) + (v & ~np.uint64(3))
+        total = mix(total) + (v & PLAIN)
     return mix(total)
 
 
@@ -94,20 +108,25 @@ class BitFilter:
     bits: int
     table: np.ndarray
 
-    def holds(self, digests: np.ndarray) -> np.ndarray:
-        found = np.ones(len(digests), bool)
-        for p in self.positions(digests, self.bits):
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for p in (keys & np.uint64(self.bits - 1), (keys >> np.uint64(32)) & np.uint64(self.bits - 1)):
             found &= (self.table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return found
 
-    @staticmethod
-    def positions(digests: np.ndarray, bits: int) -> list[np.ndarray]:
-        return [digests & np.uint64(bits - 1), (digests >> np.uint64(32)) & np.uint64(bits - 1)]
 
+def filter_of(keys: DataFrame) -> BitFilter:
+    """A filter of the stored ``keys (digest)``; its bitmaps, 32 MB at most, come to the driver and go to the workers."""
+    made = key_filter(keys, F.col("digest"))
+    table = np.zeros(max(made.bits, BITMAP_BITS) // 8, np.uint8)
+    for row in made.bitmaps.toLocalIterator():
+        at = (row["bucket"] - 1) * BITMAP_BITS // 8
+        table[at : at + BITMAP_BITS // 8] = np.frombuffer(row["bitmap"], np.uint8)
+    return BitFilter(made.bits, table)
 
-def filter_of(phrases: DataFrame) -> BitFilter:
-    """A filter of ``phrases (lang, phrase)``. Bitmaps combine on the map side; at most ``MAX_FILTER_BITS`` come back."""
-    bits = filter_bits(phrases.count(), BITS_PER_KEY, MAX_FILTER_BITS)
+
+def phrase_digests(phrases: DataFrame) -> DataFrame:
+    """``(digest)`` of ``phrases (lang, phrase)``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,35 +134,19 @@ def filter_of(phrases: DataFrame) -> BitFilter:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
                 words = phrase.encode().split(b" ")
                 alike.setdefault((lang, len(words)), []).append(words)
-            places = [np.zeros(0, np.uint64)]
-            for (lang, _), phrases in alike.items():
-                places += BitFilter.positions(digest_of([digests(lang, w) for w in zip(*phrases, strict=True)]), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).astype(np.int64))], ["p"])
-
-    bitmaps = (
-        phrases.select("lang", "phrase")
-        .mapInArrow(work, "p bigint")
-        .groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("bitmap"))
-    )
-    table = np.zeros(max(bits, BITMAP_BITS) // 8, np.uint8)
-    for row in bitmaps.toLocalIterator():
-        at = (row["bucket"] - 1) * BITMAP_BITS // 8
-        table[at : at + BITMAP_BITS // 8] = np.frombuffer(row["bitmap"], np.uint8)
-    return BitFilter(bits, table)
+            keys = [digest_of([digests(lang, w) for w in zip(*of, strict=True)]) for (lang, _), of in alike.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["digest"])
+
+    return phrases.select("lang", "phrase").mapInArrow(work, "digest bigint")
 
 
 @dataclass
 class Admitted:
-    """What a round counts: phrases of ``sizes`` whose words are frequent and whose first or last word is an end.
+    """Sets that a round works with: frequent words, the ends that growth may have, and what it has found so far."""
 
-    ``pairs``, where there is one, holds the frequent pairs with an end.
-    """
-
-    sizes: tuple[int, ...]
     frequent: BitFilter
     ends: BitFilter
-    pairs: BitFilter | None = None
+    found: BitFilter | None = None
 
 
 class Words:
@@ -161,7 +164,7 @@ class Words:
         key = digest_of([plain])
         frequent = self.admitted.frequent.holds(key) & np.array([w != BREAK for w in new], bool)
         end = frequent & self.admitted.ends.holds(key)
-        marked = (plain & ~np.uint64(3)) | frequent * np.uint64(FREQUENT) | end * np.uint64(END)
+        marked = (plain & PLAIN) | frequent * np.uint64(FREQUENT) | end * np.uint64(END)
         self.known.update(zip(new, marked.tolist(), strict=True))
         out = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         for word in new:
@@ -170,101 +173,177 @@ class Words:
         return out
 
 
-def count_phrases(words: list[bytes], own: int, known: Words, into: dict[int, Counter]) -> None:
-    """Add the admitted phrases that start among the first ``own`` of ``words``."""
-    admitted = known.admitted
-    values = known.values(words)
-    frequent, end = values & np.uint64(FREQUENT) > 0, values & np.uint64(END) > 0
-    together = frequent[:-1] & frequent[1:]
-    if admitted.pairs is not None:
-        asked = np.flatnonzero(together & (end[:-1] | end[1:]))
-        together[asked] = admitted.pairs.holds(digest_of([values[asked], values[asked + 1]]))
-    each = np.empty(len(words), object)
-    each[:] = words
-    for size in admitted.sizes:
-        starts = len(words) - size + 1
-        if starts <= 0:
-            continue
-        good = end[:starts] | end[size - 1 :]
-        for k in range(size - 1):
-            good &= together[k : k + starts]
-        at = np.flatnonzero(good[:own])
-        if len(at):
-            into[size].update(zip(*[each[at + k].tolist() for k in range(size)], strict=True))
-
-
-def _count(docs: DataFrame, admitted: Admitted | None, least: int) -> DataFrame:
-    """``(lang, phrase, size, n)`` for all that occurs ``least`` times in ``docs (lang, text)``.
-
-    Without ``admitted`` it counts single words, and a row of size 0 per language has the number of all its words.
+@dataclass
+class Stretch:
+    """One stretch: its words, their digests, and which words and neighbours in it are frequent."""
+
+    words: list[bytes]
+    values: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.frequent = self.values & np.uint64(FREQUENT) > 0
+        self.end = self.values & np.uint64(END) > 0
+        self.together = self.frequent[:-1] & self.frequent[1:]
+        self.own = len(self.words) - LONGEST
+
+    def key(self, at: np.ndarray, size: int) -> np.ndarray:
+        return digest_of([self.values[at + k] for k in range(size)])
+
+    def pair_keys(self) -> np.ndarray:
+        """Digests of the pairs of frequent words with an end."""
+        at = np.flatnonzero(self.together & (self.end[:-1] | self.end[1:]))
+        return self.key(at[(at > 0) & (at < self.own)], 2)
+
+    def grown(self, pairs: BitFilter) -> Iterator[tuple[int, np.ndarray]]:
+        """Size and places of phrases between two ends, all of whose pairs with an end are frequent."""
+        together = self.together.copy()
+        asked = np.flatnonzero(together & (self.end[:-1] | self.end[1:]))
+        together[asked] = pairs.holds(self.key(asked, 2))
+        run = together[: self.own].copy()
+        run[0] = False
+        for size in range(2, LONGEST + 1):
+            if size > 2:
+                run &= together[size - 2 : size - 2 + self.own]
+            at = np.flatnonzero(run & self.end[: self.own] & self.end[size - 1 : size - 1 + self.own])
+            if len(at):
+                yield size, at
+
+    def listed(self, parts: BitFilter) -> Iterator[tuple[int, np.ndarray]]:
+        """Size and places of phrases of two words or more, shorter than the longest, that ``parts`` holds."""
+        run = self.together[: self.own].copy()
+        run[0] = False
+        for size in range(2, LONGEST):
+            if size > 2:
+                run &= self.together[size - 2 : size - 2 + self.own]
+            at = np.flatnonzero(run)
+            at = at[parts.holds(self.key(at, size))]
+            if len(at):
+                yield size, at
+
+    def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """For the phrases at these places: a place of each, its occurrences, and the range of its neighbours' digests.
+
+        A neighbour that is not frequent, or none, has digest 0.
+        """
+        key = self.key(at, size)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        differ = key[1:] != key[:-1]
+        for k in range(size):  # two phrases of one digest stay apart
+            differ |= self.values[at[1:] + k] != self.values[at[:-1] + k]
+        starts = np.flatnonzero(np.r_[True, differ])
+        out = [at[starts], np.diff(np.r_[starts, len(at)])]
+        for beside in (at - 1, at + size):
+            near = np.where(self.frequent[beside], self.values[beside] & PLAIN, np.uint64(0)).view(np.int64)
+            out += [np.minimum.reduceat(near, starts), np.maximum.reduceat(near, starts)]
+        return tuple(out)
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """The batch's texts of each language as one."""
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        texts.setdefault(lang, []).append(prepared(text))
+    for lang, blobs in texts.items():
+        yield lang, b" . ".join(blobs)
+
+
+def count_words(docs: DataFrame, least: int) -> DataFrame:
+    """``(lang, phrase, n)`` of the words that occur ``least`` times in ``docs (lang, text)``.
+
+    The row of a language without a phrase has the number of all its words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(admitted)
 
-    def rows_of(counts: dict[str, dict[int, Counter]]) -> pa.RecordBatch:
-        rows = [
-            (lang, " ".join(w.decode("utf-8", "replace") for w in key), size, n)
-            for lang, by_size in counts.items()
-            for size, found in by_size.items()
-            for key, n in found.items()
-        ]
-        columns = zip(*rows, strict=True) if rows else [[], [], [], []]
+    def rows_of(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in counts.items():
+            found.pop(BREAK, None)
+            total = sum(found.values())
+            words = pa.array(found.keys(), pa.binary()).cast(pa.string())
+            phrases = pa.concat_arrays([words, pa.nulls(1, pa.string())])
+            n = pa.array([*found.values(), total], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrases)), phrases, n], schema=WORD_FIELDS)
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = sent.value
-        sizes = (0, 1) if allowed is None else allowed.sizes
-        caches: dict[str, Words] = {}
-        counts: dict[str, dict[int, Counter]] = {}
+        counts: dict[str, Counter] = {}
         read = 0
         for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(prepared(text))
-            for lang, blobs in texts.items():
-                blob = b" . ".join(blobs)
+            for lang, blob in _by_language(batch):
                 for start, end in slices(blob):
-                    words = blob[start:end].split()
-                    into = counts.setdefault(lang, {size: Counter() for size in sizes})
-                    if allowed is None:
-                        seen = Counter(words)
-                        into[0][()] += len(words) - seen.pop(BREAK, 0)
-                        single = into[1]
-                        for word, n in seen.items():
-                            single[(word,)] += n
-                    else:
-                        if lang not in caches:
-                            caches[lang] = Words(lang, allowed)
-                        count_phrases(words + words_ahead(blob, end, LONGEST - 1), len(words), caches[lang], into)
+                    counts.setdefault(lang, Counter()).update(blob[start:end].split())
                     read += end - start
-                    if read >= BYTES_KEPT or sum(len(c) for s in counts.values() for c in s.values()) >= DISTINCT_KEPT:
-                        yield rows_of(counts)
+                    if read >= BYTES_KEPT or sum(map(len, counts.values())) >= DISTINCT_KEPT:
+                        yield from rows_of(counts)
                         read = 0
-        yield rows_of(counts)
+        yield from rows_of(counts)
 
-    return (
-        docs.mapInArrow(work, COUNTED)
-        .groupBy("lang", "phrase", "size")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= least) | (F.col("size") == 0))
-    )
+    counted = docs.mapInArrow(work, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") >= least) | F.col("phrase").isNull())
+
+
+def pair_digests(docs: DataFrame, admitted: Admitted, least: int) -> DataFrame:
+    """``(digest)`` of all pairs of frequent words with an end that may occur ``least`` times in ``docs (lang, text)``."""
+    sent = docs.sparkSession.sparkContext.broadcast(admitted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches: dict[str, Words] = {}
+        for batch in batches:
+            for lang, blob in _by_language(batch):
+                known = caches.setdefault(lang, Words(lang, sent.value))
+                for words in stretches(blob):
+                    keys, n = np.unique(Stretch(words, known.values(words)).pair_keys(), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["digest", "n"])
+
+    counted = docs.mapInArrow(work, "digest bigint, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= least).select("digest")
+
+
+def count_phrases(docs: DataFrame, admitted: Admitted, least: int, parts: bool = False) -> DataFrame:
+    """``(lang, phrase, size, n, l_lo, l_hi, r_lo, r_hi)`` of phrases that occur ``least`` times in ``docs (lang, text)``.
+
+    Phrases grow between two ends from the pairs that ``admitted`` has found, or with ``parts`` are those it has found.
+    The other columns are the least and greatest digest of the words before and after it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(admitted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = sent.value
+        caches: dict[str, Words] = {}
+        for batch in batches:
+            for lang, blob in _by_language(batch):
+                known = caches.setdefault(lang, Words(lang, allowed))
+                for words in stretches(blob):
+                    here = Stretch(words, known.values(words))
+                    for size, at in here.listed(allowed.found) if parts else here.grown(allowed.found):
+                        first, *numbers = here.counted(at, size)
+                        phrases = [b" ".join(words[f : f + size]) for f in first.tolist()]
+                        strings = pa.array(phrases, pa.binary()).cast(pa.string())
+                        columns = [pa.repeat(lang, len(phrases)), strings, pa.array(np.full(len(phrases), size, np.int32))]
+                        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, numbers)], schema=GROWN_FIELDS)
+
+    ranges = [F.min(c).alias(c) if c.endswith("lo") else F.max(c).alias(c) for c in ("l_lo", "l_hi", "r_lo", "r_hi")]
+    counted = docs.mapInArrow(work, GROWN).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"), *ranges)
+    return counted.where(F.col("n") >= least)
 
 
 def _part(first: Column | int, length: Column) -> Column:
     return F.array_join(F.slice("words", first, length), " ")
 
 
-def weakest_cuts(counts: DataFrame, phrases: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(lang, phrase, size, a, l, r, n, score, first, last)`` for ``phrases (lang, phrase, size, n)``.
+def _cuts(phrases: DataFrame) -> DataFrame:
+    """``(lang, phrase, size, a, k, left, right)``: every way to cut ``phrases (lang, phrase, size, n)`` after ``k`` words."""
+    words = phrases.select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
+    each = words.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
+    left, right = _part(1, F.col("k")), _part(F.col("k") + 1, F.col("size") - F.col("k"))
+    return each.select("lang", "phrase", "size", "a", "k", left.alias("left"), right.alias("right"))
+
+
+def weakest_cuts(cuts: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """``(lang, phrase, size, a, l, r, n, score, first, last)`` of phrases given by all their ``cuts``.
 
     ``l`` and ``r`` are of the lowest-scoring cut, of the shorter first part if scores are equal; ``first`` and ``last``
     are the counts of the end words. ``counts (lang, phrase, n)`` has all parts.
     """
-    cuts = (
-        phrases.select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-        .select("lang", "phrase", "size", "a", "k", _part(1, F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
-    )
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r"))
     whole = totals.select("lang", F.col("n").cast("bigint").alias("n"))
@@ -290,20 +369,26 @@ def _grown(docs: DataFrame, words: DataFrame, totals: DataFrame, limits: dict[st
     spark = docs.sparkSession
     limit = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most bigint"))
     mine = words.join(limit, "lang")
-    ends = mine.where(F.col("n") <= F.col("most"))
     texts = docs.where(F.col("lang").isin(list(limits)))
-    frequent, end = filter_of(mine), filter_of(ends)
-    pairs = stage(_count(texts, Admitted((2,), frequent, end), least), "pairs")
-    longer = stage(_count(texts, Admitted(tuple(range(3, LONGEST + 1)), frequent, end, filter_of(pairs)), least), "longer")
-    grown = pairs.unionByName(longer)
+    keys = stage(phrase_digests(mine), "word-digests"), stage(phrase_digests(mine.where(F.col("n") <= F.col("most"))), "end-digests")
+    admitted = Admitted(*map(filter_of, keys))
+    pairs = stage(pair_digests(texts, admitted, least), "pair-digests")
+    admitted.found = filter_of(pairs)
+    grown = stage(count_phrases(texts, admitted, least), "grown")
+    same = ((F.col("l_lo") == F.col("l_hi")) & (F.col("l_lo") != 0)) | ((F.col("r_lo") == F.col("r_hi")) & (F.col("r_lo") != 0))
+    cuts = stage(_cuts(grown.where((F.col("size") == LONGEST) | ~same)), "cuts")
     counts = words.select("lang", "phrase", "n").unionByName(grown.select("lang", "phrase", "n"))
-    scored = weakest_cuts(counts, grown, totals).join(limit, "lang")
+    parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("phrase")).distinct()
+    missing = stage(parts.join(counts, ["lang", "phrase"], "left_anti"), "missing-parts")
+    if not missing.isEmpty():
+        needed = stage(phrase_digests(missing), "part-digests")
+        further = count_phrases(texts, Admitted(admitted.frequent, admitted.ends, filter_of(needed)), least, parts=True)
+        further = stage(further.join(missing, ["lang", "phrase"], "left_semi").select("lang", "phrase", "n"), "parts")
+        counts = counts.unionByName(further)
+    scored = weakest_cuts(cuts, counts, totals).join(limit, "lang")
     scored = scored.where(F.greatest("first", "last") <= F.col("most"))
-    parts = longer.select("lang", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
-    inner = parts.select("lang", "a", F.explode(F.array(_part(1, F.col("size") - 1), _part(2, F.col("size") - 1))).alias("phrase"))
-    survivors = scored.join(inner.distinct(), ["lang", "phrase", "a"], "left_anti")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return survivors.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return scored.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def mine_phrases(
@@ -318,52 +403,43 @@ def mine_phrases(
     empty; a language without such a phrase, and an empty table, give no rows. Repeated rows all count; other columns
     are not read.
 
-    Documents are read once for single words and twice per round of growth. A round's words all occur at most
-    ``limit`` times; the rest can reach ``1000 n / (limit + 1)`` at best. A full list whose last score is above that is
-    settled, and so are its ties; otherwise its last score tells up to which count words must join, which settles it
-    in one more round. The driver holds a few numbers per language.
+    Documents are read once for single words and three times per round of growth. A round's end words occur at most
+    ``limit`` times; with any other a phrase can reach ``1000 n / (limit + 1)`` at best. A full list whose last score is
+    above that is settled, and so are its ties; else its last score tells up to which count words must join, which settles
+    it in one more round. Where the first round does not fill a list, the second has all words. The driver holds a few
+    numbers per language.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    counted = stage(_count(texts, None, least), "words")
-    totals = counted.where("size = 0").select("lang", "n")
-    words = counted.where("size = 1")
+    counted = stage(count_words(texts, least), "words")
+    totals = counted.where(F.col("phrase").isNull()).select("lang", "n")
+    words = counted.where(F.col("phrase").isNotNull())
     known = {r["lang"]: r["n"] for r in totals.collect()}
-    by_count = words.groupBy("lang", "n").agg(F.count("*").alias("here"))
-    running = stage(by_count.withColumn("so_far", F.sum("here").over(Window.partitionBy("lang").orderBy("n"))), "word-counts")
-    largest = {r["lang"]: r["n"] for r in running.groupBy("lang").agg(F.max("n").alias("n")).collect()}
-
-    def limits_for(langs: list[str], wanted: int) -> dict[str, int]:
-        """Per language the least count up to which ``wanted`` words occur, or the largest count."""
-        enough = running.where((F.col("so_far") >= wanted) & F.col("lang").isin(langs)).groupBy("lang").agg(F.min("n").alias("n"))
-        found = {r["lang"]: r["n"] for r in enough.collect()}
-        return {lang: found.get(lang, largest[lang]) for lang in langs}
-
-    wanted = max(1, WORDS_PER_PLACE * top)
-    limits = limits_for(sorted(largest), wanted)
+    by_count = words.groupBy("lang", "n").agg(F.sum("n").alias("mass"))
+    so_far = F.sum("mass").over(Window.partitionBy("lang").orderBy("n"))
+    running = by_count.withColumn("so_far", so_far).join(totals.select("lang", F.col("n").alias("total")), "lang")
+    share = F.min(F.when(F.col("so_far") * F.lit(FIRST_SHARE) >= F.col("total"), F.col("n")))
+    bounds = running.groupBy("lang").agg(F.max("n").alias("largest"), F.coalesce(share, F.max("n")).alias("first")).collect()
+    largest = {r["lang"]: r["largest"] for r in bounds}
+    limits = {r["lang"]: r["first"] for r in bounds}
     settled = []
     while limits:
         best = stage(_grown(texts, words, totals, limits, least, top), "phrases")
         last = {r["lang"]: r for r in best.groupBy("lang").agg(F.count("*").alias("places"), F.min("score").alias("score")).collect()}
-        further, open_lists = {}, []
+        further = {}
         for lang, limit in limits.items():
-            full = lang in last and last[lang]["places"] == top
-            if limit >= largest[lang] or (full and last[lang]["score"] > 1000 * known[lang] // (limit + 1)):
+            if limit >= largest[lang]:
                 continue
-            if full:
+            if lang not in last or last[lang]["places"] < top:
+                further[lang] = largest[lang]
+            elif last[lang]["score"] <= 1000 * known[lang] // (limit + 1):
                 further[lang] = min(largest[lang], 1000 * known[lang] // max(1, last[lang]["score"]))
-            else:
-                open_lists.append(lang)
-        wanted *= GROWTH
-        if open_lists:
-            further |= limits_for(open_lists, wanted)
-        done = [lang for lang in limits if lang not in further]
-        settled.append(best.where(F.col("lang").isin(done)))
+        settled.append(best.where(F.col("lang").isin([lang for lang in limits if lang not in further])))
         limits = further
-    out = settled[0] if settled else None
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    if out is None:
+    if not settled:
         schema = "lang string, rank int, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
         return docs.sparkSession.createDataFrame([], schema)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
     return out

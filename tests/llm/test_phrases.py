@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from packloom.llm import phrases
-from packloom.llm.phrases import BitFilter, digest_of, digests, filter_of, mine_phrases, prepared, words_ahead
+from packloom.llm.phrases import BitFilter, digest_of, digests, filter_of, mine_phrases, phrase_digests, prepared, words_ahead
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,10 +61,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("least", "top", "per_place"), [(5, 2000, 8), (4, 10, 1), (3, 7, 0)])
-def test_against_brute_force(spark, monkeypatch, least, top, per_place):
-    """Small lists make growth stop early; ``per_place`` 0 starts it from the rarest words alone."""
-    monkeypatch.setattr(phrases, "WORDS_PER_PLACE", per_place)
+@pytest.mark.parametrize(("least", "top", "share"), [(5, 2000, 8), (4, 10, 3), (3, 7, 10**6)])
+def test_against_brute_force(spark, monkeypatch, least, top, share):
+    """Small lists make growth stop early; a small share starts it from the rarest words alone."""
+    monkeypatch.setattr(phrases, "FIRST_SHARE", share)
     rows = corpus(7, 150) + [(900, "en", None), (901, None, ""), (902, "fr", "w1"), (903, "fr", " . ; ")]
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(5)
     got = mined(mine_phrases(docs, least, top))
@@ -75,7 +75,6 @@ def test_growth_stops_early(spark, monkeypatch):
     """Where rare words fill the list, frequent ones are never grown."""
     limits = []
     grown = phrases._grown
-    monkeypatch.setattr(phrases, "WORDS_PER_PLACE", 2)
     monkeypatch.setattr(phrases, "_grown", lambda d, w, t, most, *rest: limits.append(dict(most)) or grown(d, w, t, most, *rest))
     rows = [(n, "en", f"{n} rare{n % 40} pair{n % 40} x{n} the of the of and the of") for n in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
@@ -102,13 +101,14 @@ def test_slices_and_flushes_do_not_matter(spark, monkeypatch):
 def test_words():
     assert prepared("Ab, C\td\x0be É").split() == [b"ab", b".", b"c", b"d", b".", b"e", "É".encode()]
     blob = b"aa bb  cc dd"
-    assert words_ahead(blob, 2, 2) == [b"bb", b"cc"] and words_ahead(blob, len(blob), 3) == []
-    assert words_ahead(blob, 2, 9) == [b"bb", b"cc", b"dd"]
+    assert words_ahead(blob, 2, 2) == [b"bb", b"cc"] and words_ahead(blob, len(blob), 2) == [b".", b"."]
+    assert words_ahead(blob, 2, 4) == [b"bb", b"cc", b"dd", b"."]
+    assert list(phrases.stretches(b"aa bb")) == [[b".", b"aa", b"bb", *[b"."] * 5]] and not list(phrases.stretches(b"  "))
 
 
 def test_filter_holds_what_was_put_in(spark):
     keys = [("de", f"w{n} x{n % 7}") for n in range(500)]
-    made = filter_of(spark.createDataFrame(keys, "lang string, phrase string"))
+    made = filter_of(phrase_digests(spark.createDataFrame(keys, "lang string, phrase string")))
     of = lambda lang, text: digest_of([digests(lang, [w]) for w in text.encode().split()])
     assert all(made.holds(of(*k))[0] for k in keys)
     assert sum(made.holds(of("en", k[1]))[0] for k in keys) < 50
