@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.staging import stage
+from packloom.functions.staging import discard, stage
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def connected(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         lower = stage(lower, "lower")
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        before = labels
         labels = stage(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
+        discard(before, lower)
         if labels.where("comp <> old").isEmpty():
+            discard(ways)
             return labels.select("node", "comp")
-        labels = labels.select("node", "comp")

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.staging import stage
+from packloom.functions.staging import discard, stage
 from packloom.llm.batches import bound_batches
+from packloom.llm.bit_filter import key_filter
 from packloom.llm.components import connected
 from packloom.llm.hot import lookup_groups
 
@@ -32,8 +33,10 @@ BANDS = 25
 ROWS = 5
 #: words whose digests a worker remembers
 WORDS_KEPT = 200_000
-#: size of a bucket up to which its open nodes are compared pair by pair
+#: size of a bucket up to which its open nodes are compared pair by pair; beyond it the pairs of a bucket outnumber
+#: the shingles of its nodes, and the prefix filter, as exact, is cheaper
 FEW = 40
+RESULTS = ("id", "n_shingles", "component_id", "kept")
 
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -107,8 +110,9 @@ def features(
 ) -> DataFrame:
     """``(id, n, node, bands)`` per row: set size, digest of the whole set, band keys; null and none for empty sets.
 
-    Columns of ``docs`` that ``carried`` names follow.
+    Columns of ``docs`` that ``carried`` names follow, as ``carried_0``, ``carried_1`` and so on.
     """
+    others = [f"carried_{k}" for k in range(len(carried))]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -120,17 +124,21 @@ def features(
                     "n": [len(s) for s in sets],
                     "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else [] for s in sets],
-                    **{c: batch[c] for c in carried},
+                    **{c: batch[c] for c in others},
                 }
             )
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *carried)
-    types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    kept = [F.col(f"`{c}`").alias(o) for c, o in zip(carried, others, strict=True)]
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *kept)
+    types = "".join(f", {o} {chosen.schema[o].dataType.simpleString()}" for o in others)
     return chosen.mapInPandas(work, f"id bigint, n bigint, node binary, bands array<bigint>{types}")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(node, shingles)`` for ``nodes (node, id)``, each from the text of one document that has it."""
+    """``(node, shingles)`` for ``nodes (node, id)``, each from the text of one document that has it.
+
+    A bit filter of the ids finds the texts where they lie; a text that it wrongly lets through is dropped by its node.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -139,8 +147,9 @@ def node_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wid
             yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    wanted = texts.join(nodes.select("id"), "id", "left_semi").select("text")
-    return wanted.mapInPandas(work, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    _, wanted = key_filter(nodes, F.xxhash64("id")).split(texts, F.xxhash64("id"))
+    found = wanted.select("text").mapInPandas(work, "node binary, shingles array<bigint>")
+    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,11 +218,13 @@ def near_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     labelled = stage(labelled, "labelled")
     several = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     rows = stage(labelled.join(several, "bucket", "left_semi"), "open-buckets")
+    discard(pivoted, labelled)
     pairs = _pairs_in_buckets(rows.where(F.col("size") <= FEW), percent)
     large = rows.where(F.col("size") > FEW)
     if not large.isEmpty():
         pairs = pairs.union(_pairs_by_prefix(large.select("node", "comp", "n").distinct(), sets, percent))
     pairs = stage(pairs.distinct(), "open-pairs")
+    discard(rows)
     if pairs.isEmpty():
         return comps
     found = stage(_compared(pairs, sets).where(linked).select("a", "b"), "open-links")
@@ -236,25 +247,32 @@ def near_dedup(
     without words are linked with nothing and stay. ``component_id`` is the smallest id of a component and ``kept``
     marks the rows that have it. Rows without an id are linked by equal sets only: a row with an id has the smaller one,
     and where none has, all stay.
-    Rows that repeat the id of the kept row stay with it. An empty table gives an empty table. Other columns are not
-    read. A link is found with probability ``1 - (1 - s ** rows) ** bands``: at 0.85, all but 5 in 10 million.
+    Rows that repeat the id of the kept row stay with it. Ids are whole numbers. An empty table gives an empty table.
+    Other columns are not read; a carried column named like a result is left out. A link is found with probability
+    ``1 - (1 - s ** rows) ** bands``: at 0.85, all but 5 in 10 million.
+
+    Equal sets are one node before bands are looked at. Texts are read where they lie and never exchanged: bit filters
+    of at most 32 MB find the band keys that several nodes have and the texts whose sets are compared.
     """
     bound_batches(docs.sparkSession)
+    carried = [c for c in carried if c not in RESULTS]
     seen = stage(features(docs, id_col, text_col, bands, rows, width, carried), "features")
-    nodes = seen.where("n > 0")
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    members = stage(banded.join(shared.select("bucket", F.col("c").alias("size")), "bucket"), "members")
-    wanted = members.select("node").distinct()
-    first = stage(nodes.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("docs")), "nodes")
-    sets = stage(node_sets(docs, stage(first.join(wanted, "node", "left_semi").select("node", "id"), "wanted"), id_col, text_col, width), "sets")
+    one = F.any_value("n").alias("n"), F.any_value("bands").alias("bands")
+    nodes = stage(seen.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("docs"), *one), "nodes")
+    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = stage(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared-buckets")
+    _, likely = key_filter(shared, F.col("bucket")).split(banded, F.col("bucket"))
+    members = stage(likely.join(shared, "bucket"), "members")
+    wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id"), "wanted")
+    sets = stage(node_sets(docs, wanted, id_col, text_col, width), "sets")
     comps = near_components(members, sets, percent)
-    named = first.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "id", "docs")
+    named = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "id", "docs")
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    of_node = named.join(least, "comp").select("node", "component_id", "docs")
+    of_node = stage(named.join(least, "comp").select("node", "component_id", "docs"), "of-node")
+    discard(shared, members, wanted, sets, nodes)
     placed = lookup_groups(seen, of_node, "node", "docs", seen.count())
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return placed.select(
         "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
-        *carried,
+        *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carried)],
     )

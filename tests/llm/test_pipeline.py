@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 
 def test_registered():
     names = [q.split("_")[0] for q in queries.QUERIES]
-    assert names == [f"op{n}" for n in range(1, 11)]
+    assert names == [f"op{n}" for n in range(1, 14)]
     assert {*queries.QUERIES, "pipeline"} <= set(entry_point.queries())
 
 
