@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
 from packloom.llm import decontam, exact_dedup, near_dedup, packing, quality
+from packloom.llm.bit_filter import key_filter
 from packloom.llm.queries import END_ID, TOKENIZER, WINDOW_TOKENS
 
 
@@ -39,13 +40,15 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates.
 
-    A row's id and text tell what was decided on it: ids may be null or repeated.
+    A row's id and text tell what was decided on it: ids may be null or repeated. Only rows that a bit filter of the
+    dropped ones lets through meet these by an exchange; all others stay where they are.
     """
-    told = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    told = _apart(docs).withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     judged = near_dedup.near_dedup(told, carried=["__digest"])
-    dropped = judged.where("not kept").select(F.col("id").alias("__id"), F.col("__digest").alias("__dropped"))
+    dropped = stage(judged.where("not kept").select(F.col("id").alias("__id"), F.col("__digest").alias("__dropped")), "near-dropped")
+    sure, doubtful = key_filter(dropped, F.xxhash64("__dropped", "__id")).split(told, F.xxhash64("__digest", "doc_id"))
     same = (F.col("__digest") == F.col("__dropped")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return told.join(stage(dropped, "near-dropped"), same, "left_anti").drop("__digest")
+    return _as_before(sure.unionByName(doubtful.join(dropped, same, "left_anti")), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
