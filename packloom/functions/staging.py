@@ -45,18 +45,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all below it, in whatever store it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def complete(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a glob pattern whose writing Spark's committer has marked as finished."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return [status.getPath().getParent().toString() for status in found or ()]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again: the very DataFrames that ``stage`` gave."""
     for table in tables:
         if path := _PATHS.pop(table, None):
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application has staged; DataFrames that still read it fail from then on."""
-    _delete(spark, f"{shared_dir(spark)}/packloom-{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_dir(spark)}/packloom-{spark.sparkContext.applicationId}")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.operators.rows import times_seen
+from packloom.operators.rows import added_uses, times_seen
 from packloom.operators.tokens import training_pairs
 
 COUNT_KEYS = ("expert", "order", "ctx2", "ctx1", "tok")
@@ -25,8 +25,8 @@ POSITION = ("domain", "split", "seq_id", "pos")
 NO_TOKEN = -1
 
 
-def fit_expert(pairs: DataFrame, order: int | Column, weight: Column | None = None) -> DataFrame:
-    """Count n-grams of ``pairs(expert, ctx2, ctx1, tok)`` up to ``order``, which may differ by row.
+def fit_expert(pairs: DataFrame, order: int | Column, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Count n-grams of ``pairs(expert, ctx2, ctx1, tok)`` up to ``order``, which may differ by row, apart by ``by``.
 
     One exchange; counts combine on the map side, so frequent n-grams do not skew it.
     """
@@ -41,9 +41,9 @@ def fit_expert(pairs: DataFrame, order: int | Column, weight: Column | None = No
     )
     uses = F.lit(1) if weight is None else weight
     return (
-        pairs.select("expert", capacity.alias("capacity"), uses.alias("uses"), F.inline(grams))
+        pairs.select(*by, "expert", capacity.alias("capacity"), uses.alias("uses"), F.inline(grams))
         .where((F.col("order") <= F.col("capacity")) & ((F.col("order") < 2) | F.col("ctx2").isNotNull()))
-        .groupBy(*COUNT_KEYS)
+        .groupBy(*by, *COUNT_KEYS)
         .agg(F.sum("uses").alias("n"))
     )
 
@@ -73,6 +73,21 @@ def fit_experts(packed: DataFrame, plan: Sequence[tuple[str, str, int, int]], ac
     return fit_expert(pairs, F.col("capacity"), F.col("times_seen"))
 
 
+def fit_deltas(
+    packed: DataFrame, plan: Sequence[tuple[str, str, int]], steps: Sequence[int], accum: int, batch_size: int
+) -> DataFrame:
+    """What each step of training adds to the step before: ``(step, expert, order, ctx2, ctx1, tok, n)``.
+
+    ``plan`` lists ``(expert, domain, order)``; ``steps`` rise. All experts and steps are fitted in one job, and a sequence
+    takes part in a step only if it was used since the one before.
+    """
+    listed = packed.sparkSession.createDataFrame(list(plan), "expert string, domain string, `order` int")
+    assigned = packed.join(F.broadcast(listed), "domain")
+    used = added_uses(assigned, steps, accum, batch_size, ("expert", "domain", "split", "rank"))
+    pairs = training_pairs(used, "step", "expert", "order", "uses").withColumnRenamed("order", "capacity")
+    return fit_expert(pairs, F.col("capacity"), F.col("uses"), ("step",))
+
+
 def expert_names(counts: DataFrame) -> list[str]:
     """The experts in a count table, in name order."""
     return sorted(row["expert"] for row in counts.select("expert").distinct().collect())

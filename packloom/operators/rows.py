@@ -163,3 +163,25 @@ def snapshots(
         .withColumn("last_micro", (F.col("times_seen") - 1) * F.col("__batches") + F.col("batch_id"))
         .drop("__batches")
     )
+
+
+def added_uses(
+    df: DataFrame, steps: Sequence[int], accum: int, batch_size: int, by: Sequence[str] = ("domain", "split", "rank")
+) -> DataFrame:
+    """How often each sequence was used since the step before: a row per sequence and step of ``steps`` that used it.
+
+    Adds ``step`` and ``uses``. Steps rise; the first counts from the beginning. Closed form, like ``snapshots``.
+    """
+    rows = _batches_per_rank(df, batch_size, by)
+    zero = F.lit(0).cast("bigint")
+
+    def until(step: int) -> Column:
+        budget = F.lit(step * accum).cast("bigint")
+        return F.when(F.col("batch_id") < budget, whole_div(budget - 1 - F.col("batch_id"), F.col("__batches")) + 1).otherwise(zero)
+
+    entries = [
+        F.struct(F.lit(step).alias("step"), (until(step) - (until(before) if before else zero)).alias("uses"))
+        for before, step in zip([0, *steps], steps, strict=False)
+    ]
+    each = rows.withColumn("__entry", F.explode(F.array(*entries))).select("*", "__entry.*")
+    return each.where(F.col("uses") > 0).drop("__entry", "__batches", "batch_id")

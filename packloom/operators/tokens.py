@@ -35,7 +35,11 @@ def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    counted = stage(counted, "word-counts")
+    return numbered_words(stage(counted, "word-counts"), size, specials)
+
+
+def numbered_words(counted: DataFrame, size: int, specials: Sequence[str]) -> DataFrame:
+    """``(token, id, n)``: the specials, then the ``size`` most frequent of stored ``counted (token, n)``, ties in token order."""
     above = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
     kinds = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above)
     last = kinds.where(F.col("above") < size).agg(F.min_by(F.struct("n", "above"), "n").alias("last")).first()["last"]
@@ -44,7 +48,7 @@ def build_vocab(df: DataFrame, size: int, specials: Sequence[str] = ("<unk>",))
     top = counted.where(F.col("n") > cut).unionByName(at_cut)
     place = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(len(specials) - 1)
     ranked = top.select("token", place.cast("int").alias("id"), "n")
-    reserved = df.sparkSession.createDataFrame(
+    reserved = counted.sparkSession.createDataFrame(
         [(token, i, 0) for i, token in enumerate(specials)], "token string, id int, n bigint"
     )
     return reserved.unionByName(ranked)
@@ -99,14 +103,29 @@ def _placed(df: DataFrame, order: Sequence[str], bounds: Bounds, *first: str) ->
     """``df`` exchanged by key range, with its dense ``__place`` inside range and domain; ``first`` sorts before it."""
     ranged = df.withColumn(RANGE, F.coalesce(F.col(RANGE), range_of(df, order, bounds)) if RANGE in df.columns else range_of(df, order, bounds))
     in_range = Window.partitionBy(RANGE, *DOMAIN).orderBy(*first, *order)
-    return ranged.repartition(RANGE).withColumn("__place", F.row_number().over(in_range).cast("bigint") - 1)
+    return in_ranges(ranged, len(bounds) + 1).withColumn("__place", F.row_number().over(in_range).cast("bigint") - 1)
+
+
+def in_ranges(ranged: DataFrame, ranges: int) -> DataFrame:
+    """Rows exchanged so that each task holds exactly one key range."""
+    return ranged.repartitionById(ranges, F.col(RANGE))
 
 
-def range_starts(df: DataFrame, order: Sequence[str], bounds: Bounds, world_size: int, seq_len: int) -> DataFrame:
+def range_starts(
+    df: DataFrame,
+    order: Sequence[str],
+    bounds: Bounds,
+    world_size: int,
+    seq_len: int,
+    docs_before: DataFrame | None = None,
+    tokens_before: DataFrame | None = None,
+) -> DataFrame:
     """What lies before each key range: one row per range and domain, whatever the number of documents.
 
     ``first`` is the index of its first document; entry q of ``starts`` belongs to the rank of its documents whose
-    place leaves q when divided by ``world_size``: that rank's tokens before the range, and its first ``seq_id``.
+    place leaves q when divided by ``world_size``: that rank's tokens before the range, and its first ``seq_id``. Where
+    ``df`` continues a corpus, ``docs_before (domain, split, docs)`` and ``tokens_before (domain, split, rank, tokens)``
+    tell what it already has.
     """
     turn = F.col("__place") % F.lit(world_size)
     sums = (
@@ -117,10 +136,16 @@ def range_starts(df: DataFrame, order: Sequence[str], bounds: Bounds, world_size
     earlier = Window.partitionBy(*DOMAIN).orderBy(RANGE).rangeBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     numbered = sums.withColumn("first", F.coalesce(F.sum("docs").over(earlier), zero))
+    if docs_before is not None:
+        had = docs_before.select(*DOMAIN, F.col("docs").alias("__had"))
+        numbered = join_null_safe(numbered, had, DOMAIN).withColumn("first", F.col("first") + F.coalesce("__had", zero)).drop("__had")
     numbered = numbered.withColumn("rank", F.pmod(F.col("first") + F.col("turn"), F.lit(world_size)).cast("int"))
     of_rank = Window.partitionBy(*RANK).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     numbered = numbered.withColumn("start", F.coalesce(F.sum("tokens").over(of_rank), zero))
-    chunks = F.greatest(zero, whole_div(F.sum("tokens") - 1, F.lit(seq_len)))
+    if tokens_before is not None:
+        had = tokens_before.select(*RANK, F.col("tokens").alias("__had"))
+        numbered = join_null_safe(numbered, had, RANK).withColumn("start", F.col("start") + F.coalesce("__had", zero)).drop("__had")
+    chunks = F.greatest(zero, whole_div(F.max(F.col("start") + F.col("tokens")) - 1, F.lit(seq_len)))
     ranks = numbered.groupBy(*RANK).agg(chunks.alias("chunks"))
     before = Window.partitionBy(*DOMAIN).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     ranks = ranks.withColumn("first_seq", F.coalesce(F.sum("chunks").over(before), zero)).drop("chunks")
@@ -156,13 +181,14 @@ def lay_out(
     ).drop("__doc", "__place", "__turn", "first", "starts")
 
 
-def pack(laid_out: DataFrame, seq_len: int) -> DataFrame:
-    """Cut every rank's token stream into windows of ``seq_len + 1`` tokens that overlap by one.
+def windows(laid_out: DataFrame, seq_len: int, tails: DataFrame | None = None) -> DataFrame:
+    """Every window of ``seq_len + 1`` tokens, overlapping by one, that the documents' tokens fall into.
 
-    ``laid_out`` is ``lay_out``'s result with ``ids``. Windows inside a key range are put together where they lie;
-    only the pieces of windows across ranges, at most two per range and rank, travel on. A last window without its
-    look-ahead token is dropped, so N tokens give ``(N - 1) div seq_len`` windows. Gives
-    ``(domain, split, rank, chunk, seq_id, tokens)``; a window of more tokens than fit raises an error.
+    Gives ``(first_seq, domain, split, rank, chunk, n, tokens)``; only a rank's last window has fewer than
+    ``seq_len + 1`` tokens, and one that holds more raises an error. ``laid_out`` is ``lay_out``'s result with ``ids``.
+    Windows inside a key range are put together where they lie; only the pieces of windows across ranges, at most two
+    per range and rank, travel on. ``tails (domain, split, rank, chunk, tokens)`` are pieces left over from before, each
+    at the beginning of its window.
     """
     length = F.lit(seq_len).cast("bigint")
     start, size = F.col("offset"), F.size("ids").cast("bigint")
@@ -183,14 +209,26 @@ def pack(laid_out: DataFrame, seq_len: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("low", "cut"))).alias("cuts"), F.sum(F.size("cut")).alias("n")
     )
     whole = near.where(F.col("n") == seq_len + 1).select(*window, "cuts", "n")
-    parts = near.where(F.col("n") != seq_len + 1).groupBy(*window).agg(
-        F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.sum("n").alias("n")
-    )
-    too_long = F.raise_error(F.lit("a window holds more tokens than fit")).cast("boolean")
-    fits = F.when(F.col("n") > seq_len + 1, too_long).otherwise(F.col("n") == seq_len + 1)
-    return whole.unionByName(parts.where(fits)).select(
-        *RANK, "chunk", (F.col("first_seq") + F.col("chunk")).alias("seq_id"), F.flatten(F.col("cuts.cut")).alias("tokens")
-    )
+    parts = near.where(F.col("n") != seq_len + 1).select(*window, "cuts", "n")
+    if tails is not None:
+        piece = F.struct((chunk * length).alias("low"), F.col("tokens").alias("cut"))
+        no_seq = F.lit(0).cast("bigint").alias("first_seq")
+        held = tails.where(F.size("tokens") > 0)
+        parts = parts.unionByName(held.select(no_seq, *RANK, "chunk", F.array(piece).alias("cuts"), F.size("tokens").cast("bigint").alias("n")))
+    joined = parts.groupBy(*window).agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts"), F.sum("n").alias("n"))
+    too_long = F.raise_error(F.lit("a window holds more tokens than fit")).cast("bigint")
+    every = whole.unionByName(joined.withColumn("n", F.when(F.col("n") > seq_len + 1, too_long).otherwise(F.col("n"))))
+    return every.select(*window, "n", F.flatten(F.col("cuts.cut")).alias("tokens"))
+
+
+def pack(laid_out: DataFrame, seq_len: int) -> DataFrame:
+    """Cut every rank's token stream into windows of ``seq_len + 1`` tokens that overlap by one.
+
+    Gives ``(domain, split, rank, chunk, seq_id, tokens)``. A last window without its look-ahead token is dropped, so N
+    tokens give ``(N - 1) div seq_len`` windows.
+    """
+    full = windows(laid_out, seq_len).where(F.col("n") == seq_len + 1)
+    return full.select(*RANK, "chunk", (F.col("first_seq") + F.col("chunk")).alias("seq_id"), "tokens")
 
 
 def label_shift(packed: DataFrame, seq_len: int) -> DataFrame:

@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.functions.index import key_bounds, range_of
 from packloom.functions.staging import fresh_path, stage
-from packloom.operators import ensemble, experts, metrics, rows, tokens
+from packloom.operators import ensemble, experts, metrics, rows, suffixes, summaries, tokens
 from packloom.plans.prepare import document_layout, encode_corpus, pack_corpus
-from packloom.sources import corpus, packed
+from packloom.sources import corpus, growing, packed
 from packloom.sources import experts as expert_store
 
 SEQ_LEN = 64
@@ -46,6 +47,13 @@ SETUPS = {
 }
 #: every domain's expert at several steps
 CURVE_PLAN = tuple((f"{d}_at_{s}", d, 1, s) for d in ("de", "en", "fr") for s in SNAPSHOTS)
+#: experts of unequal capacity beyond pairs: (expert, domain, order, steps)
+DEEP_PLAN = (("de", "de", 4, 300), ("en", "en", 3, 500), ("fr", "fr", 2, 400))
+#: early steps, before every sequence has been used between two of them
+DELTA_STEPS = (4, 8, 12)
+DELTA_PLAN = tuple((f"{e}_at_{s}", d, o, s) for e, d, o, _ in PLAN for s in DELTA_STEPS)
+#: batches that a growing corpus arrives in
+ARRIVALS = 3
 METRIC_WORLD = 4
 METRIC_INTERVAL = 10
 LOGIT_DOMAIN = ("label",)
@@ -170,6 +178,25 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("domain", "split", *_big("rank"), "first_chunk", "n_rows")
 
 
+def first_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sequences of every domain, from the files alone that the zone map names."""
+    path = fresh_path(spark, "packed")
+    packed.write_packed(_packed(spark, sf_dir), path, SAMPLES_PER_FILE)
+    packed.write_zones(spark, path)
+    return packed.read_sequences(spark, path, 0, PRIOR_SEQUENCES - 1).select("domain", "split", *_big("seq_id", "rank", "chunk"))
+
+
+def pack_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus packed in batches that arrive one after the other in key order."""
+    path, encoded = fresh_path(spark, "growing"), _encoded(spark, sf_dir)
+    arrival = range_of(encoded, ["doc_id"], key_bounds(encoded, ["doc_id"], ARRIVALS))
+    batches = stage(encoded.withColumn("arrival", arrival), "arrivals")
+    for batch in range(ARRIVALS):
+        growing.append_packed(batches.where(F.col("arrival") == batch).drop("arrival"), path, "doc_id", SEQ_LEN, WORLD)
+    grown = growing.read_grown(spark, path)
+    return grown.select("domain", "split", *_big("rank", "seq_id"), _joined("input_ids"), _joined("label"))
+
+
 def overwrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "overwrite")
     docs = _documents(spark, sf_dir).select("doc_id", "domain", "split")
@@ -323,6 +350,10 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(_documents(spark, sf_dir)).select("token", *_big("id", "n"))
 
 
+def vocab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.vocab_summary(_documents(spark, sf_dir), VOCAB_WORDS).select("token", *_big("id", "n"))
+
+
 def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     encoded = tokens.encode(docs, _vocab(docs), VOCAB_SIZE)
@@ -367,6 +398,29 @@ def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _count_rows(_seed_expert(_packed(spark, sf_dir)))
 
 
+def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experts of order 2 to 4, all orders counted from one row per position."""
+    plan = spark.createDataFrame(list(DEEP_PLAN), "expert string, domain string, capacity int, steps int")
+    assigned = _train(_stored(spark, sf_dir)).join(F.broadcast(plan), "domain")
+    used = rows.times_seen(assigned, F.col("steps"), ACCUM, BATCH, ("expert", "domain", "split", "rank"))
+    grams = suffixes.reversed_contexts(used, F.col("capacity"), "expert", "times_seen")
+    counted = suffixes.suffix_counts(grams, F.col("times_seen"))
+    return counted.select("expert", *_big("order", "tok", "n"), _joined("context"))
+
+
+def snapshot_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experts as of several steps, stored as what each step adds; the second step's deltas are folded before the third is read."""
+    path = fresh_path(spark, "deltas")
+    plan = [(expert, domain, order) for expert, domain, order, _ in PLAN]
+    expert_store.write_deltas(experts.fit_deltas(_train(_stored(spark, sf_dir)), plan, DELTA_STEPS, ACCUM, BATCH), path)
+    early, folded, late = DELTA_STEPS
+    snapshots = [stage(expert_store.read_snapshot(spark, path, early), "snapshot")]
+    expert_store.compact_snapshots(spark, path, folded)
+    snapshots += [expert_store.read_snapshot(spark, path, step) for step in (folded, late)]
+    named = [s.withColumn("expert", F.concat("expert", F.lit(f"_at_{step}"))) for s, step in zip(snapshots, DELTA_STEPS, strict=True)]
+    return _count_rows(named[0].unionByName(named[1]).unionByName(named[2]))
+
+
 def _bases(sequences: DataFrame) -> DataFrame:
     """A seed expert of every capacity, fitted in one job and stored as of step 0."""
     general = _pairs(_train(sequences), "domain").withColumn("capacity", F.explode(F.array(*[F.lit(o) for o in ORDERS])))
@@ -531,12 +585,12 @@ def lr_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        corpus_scan, drop_empty, conversation_text, packed_roundtrip, file_manifest, overwrite_roundtrip,
+        corpus_scan, drop_empty, conversation_text, packed_roundtrip, file_manifest, first_from_store, pack_appended, overwrite_roundtrip,
         ignore_roundtrip, expert_catalog, expert_roundtrip,
         doc_index, null_domain_index, row_key_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, shuffle_packed, reshard_sizes, batches,
         eval_limit, first_sequences, train_schedule, times_seen, snapshot_counts,
-        vocab, encode_docs, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
-        seed_counts, continued_counts, expert_chains, domain_experts, expert_scores,
+        vocab, vocab_summary, encode_docs, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
+        seed_counts, suffix_counts, snapshot_deltas, continued_counts, expert_chains, domain_experts, expert_scores,
         logit_log_prob, cross_entropy, perplexity, learning_curve, ens_simple_avg, expert_posterior, ens_uniform, seq_posterior,
         cached_prior, ens_cached, ens_report, ens_compare,
         metrics_rollup, lr_column,

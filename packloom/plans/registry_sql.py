@@ -272,6 +272,24 @@ logits AS (
 
 UPPER_DOCS = f"WITH {DOCS} SELECT doc_id, upper(domain) AS domain, split FROM docs"
 
+#: contexts of up to four tokens, nearest first, within a sequence
+DEEP = f"""
+deep AS MATERIALIZED (
+  SELECT p.expert, p.capacity, d.tok, d.p1, d.p2, d.p3, d.p4, (d.t - 1) % {L} AS pos,
+         (steps * {R.ACCUM} - 1 - (d.t - 1) // {L} // {R.BATCH}) // ((chunks + {R.BATCH} - 1) // {R.BATCH}) + 1 AS uses
+  FROM (SELECT *, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3, lag(tok, 4) OVER w AS p4
+        FROM stream WINDOW w AS (PARTITION BY domain, split, rank ORDER BY t)) d
+  JOIN ranks USING (domain, split, rank)
+  JOIN (VALUES {", ".join(f"('{e}', '{d}', {o}, {n})" for e, d, o, n in R.DEEP_PLAN)}) p(expert, domain, capacity, steps)
+    ON p.domain = d.domain
+  WHERE d.split = 'train' AND t > 0 AND (t - 1) // {L} < chunks AND (d.t - 1) // {L} // {R.BATCH} < steps * {R.ACCUM}
+)"""
+DEEP_COUNTS = " UNION ALL ".join(
+    f"""SELECT expert, {k}::BIGINT AS "order", {"concat_ws(' ', " + ", ".join(f"p{i}" for i in range(1, k + 1)) + ")" if k else "''"} AS context,
+        tok, sum(uses)::BIGINT AS n FROM deep WHERE capacity >= {k} AND pos >= {k - 1} GROUP BY ALL"""
+    for k in range(5)
+)
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "corpus_scan": f"WITH {DOCS} SELECT doc_id, domain, split, length(text)::BIGINT AS n_chars FROM docs",
@@ -432,3 +450,10 @@ ORACLES: dict[str, str] = {
                       ELSE 0.05 + 0.45 * 0.5 * (1 + cos(pi() * (step - 200) / (1000 - 200))) END''', 8)} AS cosine
         FROM rolled""",
 }
+ORACLES |= {
+    "first_from_store": ORACLES["first_sequences"],
+    "pack_appended": ORACLES["label_shift"],
+    "vocab_summary": ORACLES["vocab"],
+    "suffix_counts": f"{CORPUS}, {DEEP} {DEEP_COUNTS}",
+    "snapshot_deltas": f'{CORPUS}, {_fitted(R.DELTA_PLAN)} SELECT expert, "order", ctx2, ctx1, tok, n FROM counts',
+}

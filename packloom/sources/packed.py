@@ -43,6 +43,37 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_zones(spark: SparkSession, path: str) -> None:
+    """Store the zone map of the packed files below ``path`` in its folder ``_zones``, which readers of the files pass over.
+
+    ``(domain, split, rank, file_path, first_seq, last_seq, first_chunk, last_chunk, n_rows)``: one row per file.
+    """
+    stored = spark.read.schema(STORED).parquet(path)
+    zones = stored.groupBy(*FOLDERS, F.col("_metadata.file_path").alias("file_path")).agg(
+        F.min("seq_id").alias("first_seq"), F.max("seq_id").alias("last_seq"),
+        F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"), F.count("*").alias("n_rows"),
+    )
+    zones.write.mode("overwrite").parquet(f"{path}/_zones")
+
+
+def read_sequences(spark: SparkSession, path: str, first: int, last: int, by: str = "seq_id") -> DataFrame:
+    """Rows ``first`` to ``last`` (inclusive) of every domain and split by ``seq_id``, or of every rank by ``chunk``.
+
+    The zone map names the files that may have such a row, and only those are read; their names, which grow with what is
+    asked for and not with the store, are what the driver sees. Files written after the zone map are not found.
+    """
+    zone = {"seq_id": "seq", "chunk": "chunk"}[by]
+    zones = spark.read.parquet(f"{path}/_zones")
+    hit = zones.where((F.col(f"last_{zone}") >= first) & (F.col(f"first_{zone}") <= last))
+    files = sorted(row["file_path"] for row in hit.select("file_path").collect())
+    if not files:
+        empty = spark.createDataFrame([], STORED)
+        return empty.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})
+    stored = spark.read.schema(STORED).option("basePath", path).parquet(*files)
+    asked = stored.where(F.col(by).between(first, last))
+    return asked.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})
+
+
 def write_manifest(spark: SparkSession, path: str, target: str) -> None:
     """The file list as text, one path per line."""
     manifest(spark, path).select("file_path").write.text(target)
