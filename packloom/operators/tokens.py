@@ -13,8 +13,8 @@ from packloom.functions.staging import stage
 
 DOMAIN = ("domain", "split")
 RANK = ("domain", "split", "rank")
-#: a larger vocabulary is refused, since every task holds it
-VOCAB_BYTES = 256 << 20
+#: a vocabulary up to this size is looked up in place by every task; a larger one is joined
+VOCAB_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -54,30 +54,17 @@ def numbered_words(counted: DataFrame, size: int, specials: Sequence[str]) -> Da
     return reserved.unionByName(ranked)
 
 
-def vocab_table(vocab: DataFrame, slots: int, most_bytes: int = VOCAB_BYTES) -> DataFrame:
-    """The vocabulary as one row holding a hash table: slot ``hash(token) % slots`` to its tokens' ids.
-
-    A vocabulary of more than ``most_bytes`` raises an error.
-    """
+def vocab_table(vocab: DataFrame, slots: int) -> DataFrame:
+    """The vocabulary as one row holding a hash table: slot ``hash(token) % slots`` to its tokens' ids."""
     slot = F.pmod(F.hash("token"), F.lit(slots)).alias("slot")
-    filled = vocab.groupBy(slot).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"),
-        F.sum(F.octet_length("token") + F.lit(32)).alias("bytes"),
-    )
+    filled = vocab.groupBy(slot).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))
     every = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     in_order = F.array_sort(F.collect_list(F.struct("slot", "ids")), lambda a, b: a["slot"] - b["slot"])
-    table = every.join(filled, "slot", "left").agg(in_order.alias("table"), F.sum("bytes").alias("bytes"))
-    refused = F.raise_error(F.lit("vocabulary too large to look up in place")).cast(table.schema["table"].dataType)
-    fits = F.when(F.col("bytes") > most_bytes, refused).otherwise(F.col("table"))
-    return table.select(fits.alias("table")).select(F.col("table.ids").alias("table"))
+    return every.join(filled, "slot", "left").agg(in_order.alias("table")).select(F.col("table.ids").alias("table"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, unk_id: int = 0, bos_id: int | None = None) -> DataFrame:
-    """Adds ``ids ARRAY<INT>`` for ``text``; unknown words become ``unk_id``; empty text gives no tokens at all.
-
-    The vocabulary, of bounded size, reaches the tasks as a scalar subquery, a hash table of ``vocab_size`` slots,
-    and words are looked up in place: no token becomes a row and neither text nor tokens are exchanged.
-    """
+def _ids_in_place(df: DataFrame, vocab: DataFrame, vocab_size: int, unk_id: int) -> DataFrame:
+    """``__ids``: words looked up in a hash table that reaches the tasks as a scalar subquery; nothing is exchanged."""
     table = vocab_table(vocab, vocab_size).scalar()
 
     def lookup(word: Column) -> Column:
@@ -85,11 +72,37 @@ def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, unk_id: int = 0, bo
         return F.coalesce(F.try_element_at(ids, word), F.lit(unk_id))
 
     found = F.transform(words(F.col("text")), lookup)
+    return df.withColumn("__vocab", table).withColumn("__ids", found).drop("__vocab")
+
+
+def _ids_by_join(df: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
+    """``__ids``: words become rows and meet the vocabulary in a join; rows are staged, so that their numbers hold."""
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "numbered-texts")
+    each = rows.select("__row", F.posexplode(words(F.col("text"))).alias("__pos", "__word"))
+    known = vocab.select(F.col("token").alias("__word"), F.col("id").alias("__id"))
+    entry = F.struct(F.col("__pos"), F.coalesce("__id", F.lit(unk_id)).alias("__id"))
+    found = each.join(known, "__word", "left").groupBy("__row").agg(F.sort_array(F.collect_list(entry))["__id"].alias("__ids"))
+    joined = rows.join(found, "__row", "left").drop("__row")
+    return joined.withColumn("__ids", F.coalesce("__ids", F.array().cast("array<int>")))
+
+
+def encode(
+    df: DataFrame, vocab: DataFrame, vocab_size: int, unk_id: int = 0, bos_id: int | None = None, in_place: int = VOCAB_BYTES
+) -> DataFrame:
+    """Adds ``ids ARRAY<INT>`` for ``text``; unknown words become ``unk_id``; empty text gives no tokens at all.
+
+    A vocabulary of up to ``in_place`` bytes is looked up where the texts lie: no token becomes a row and neither text nor
+    tokens are exchanged. Beyond that words are rows of a join. ``vocab_size`` is the number of the table's slots. The
+    vocabulary is staged first, so whatever gave it runs once.
+    """
+    known = stage(vocab.select("token", "id"), "vocabulary")
+    size = known.agg(F.sum(F.octet_length("token") + F.lit(32)).alias("bytes")).first()["bytes"] or 0
+    found = _ids_in_place(df, known, vocab_size, unk_id) if size <= in_place else _ids_by_join(df, known, unk_id)
+    ids = F.col("__ids")
     if bos_id is not None:
-        found = F.concat(F.array(F.lit(bos_id)), found)
+        ids = F.concat(F.array(F.lit(bos_id)), ids)
     none = F.array().cast("array<int>")
-    ids = F.when(F.col("text").isNull() | (F.col("text") == ""), none).otherwise(found)
-    return df.withColumn("__vocab", table).withColumn("ids", ids).drop("__vocab")
+    return found.withColumn("ids", F.when(F.col("text").isNull() | (F.col("text") == ""), none).otherwise(ids)).drop("__ids")
 
 
 def token_offsets(

@@ -67,8 +67,7 @@ def read_sequences(spark: SparkSession, path: str, first: int, last: int, by: st
     hit = zones.where((F.col(f"last_{zone}") >= first) & (F.col(f"first_{zone}") <= last))
     files = sorted(row["file_path"] for row in hit.select("file_path").collect())
     if not files:
-        empty = spark.createDataFrame([], STORED)
-        return empty.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})
+        return read_packed(spark, path).where(F.lit(False))
     stored = spark.read.schema(STORED).option("basePath", path).parquet(*files)
     asked = stored.where(F.col(by).between(first, last))
     return asked.withColumns({c: F.col(c).cast("array<bigint>") for c in ("input_ids", "label")})

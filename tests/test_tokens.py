@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from packloom.functions.index import key_bounds
 from packloom.functions.staging import stage
 from packloom.operators import tokens as T
 from packloom.plans.prepare import encode_corpus, pack_corpus
@@ -89,11 +90,30 @@ def test_encoding_exchanges_neither_text_nor_tokens(spark, plan_of):
     assert "Exchange" not in main and "Explode" not in main and "Generate" not in main
 
 
-def test_too_large_a_vocabulary_is_refused(spark):
-    vocab = spark.createDataFrame([(f"w{n}", n) for n in range(50)], "token string, id int")
-    assert T.vocab_table(vocab, 7, 50 * 40).count() == 1
-    with pytest.raises(Exception, match="too large"):
-        T.vocab_table(vocab, 7, 100).collect()
+def test_a_large_vocabulary_is_joined(spark, plan_of):
+    vocab = spark.createDataFrame([("<unk>", 0)] + [(f"w{n}", n + 1) for n in range(50)], "token string, id int")
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(70)}" for _ in range(rng.randrange(12))) for _ in range(40)] + [None, "", " \t", "w1"]
+    df = spark.createDataFrame([(n % 9, t) for n, t in enumerate(texts)], "k bigint, text string").repartition(3)
+    for bos in (None, 7):
+        small, large = T.encode(df, vocab, 51, bos_id=bos), T.encode(df, vocab, 51, bos_id=bos, in_place=100)
+        assert small.columns == large.columns and small.schema["ids"].dataType == large.schema["ids"].dataType
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+    main = plan_of(large)
+    assert "Join" in main and "Subquery" not in main
+
+
+def test_each_task_of_the_layout_holds_one_key_range(spark, plan_of):
+    stored = stage(encoded_frame(spark, [(k, "d", [1] * (k % 5)) for k in range(600)]), "encoded")
+    order = ["doc_id", "n_tokens", "digest"]
+    bounds = key_bounds(stored, order, 16)
+    starts = T.range_starts(stored.select(*order, "domain", "split"), order, bounds, 2, 4)
+    laid_out = T.lay_out(stored.select(*order, "domain", "split", "ids"), starts, order, bounds, 2)
+    tasks = laid_out.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("__range").alias("ranges"), F.count("*").alias("n"))
+    held = [(r.ranges, r.n) for r in tasks.collect()]
+    assert len(held) == 16 and all(ranges == 1 for ranges, _ in held) and max(n for _, n in held) < 2.5 * 600 / 16
+    main = plan_of(laid_out)
+    assert main.count("shufflepartitionidpassthrough") == 2  # the documents' own, and that of the starts
 
 
 def test_repeated_keys_and_null_groups_lose_nothing(spark):
