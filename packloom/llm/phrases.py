@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,8 @@ FIRST_SHARE = 8
 #: distinct words, and bytes of text, that a worker gathers before it hands counts on
 DISTINCT_KEPT = 300_000
 BYTES_KEPT = 32 << 20
-#: words from which on a worker forgets their digests, and the length up to which it remembers them
-WORDS_KEPT = 200_000
-WORD_BYTES_KEPT = 64
+#: words from which on a worker forgets their digests; it also does from BYTES_KEPT bytes of words on
+WORDS_KEPT = 300_000
 
 #: stands for any mark that ends a piece; no word has it
 BREAK = b"."
@@ -149,28 +149,41 @@ class Admitted:
     found: BitFilter | None = None
 
 
+class Numbers(dict):
+    """A number for every word, in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """Digests of one language's words, with FREQUENT and END in their low bits."""
 
     def __init__(self, lang: str, admitted: Admitted):
         self.lang, self.admitted = lang, admitted
-        self.known: dict[bytes, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.known, self.bytes = Numbers(), np.zeros(0, np.uint64), 0
 
     def values(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        plain = digests(self.lang, new)
-        key = digest_of([plain])
-        frequent = self.admitted.frequent.holds(key) & np.array([w != BREAK for w in new], bool)
-        end = frequent & self.admitted.ends.holds(key)
-        marked = (plain & PLAIN) | frequent * np.uint64(FREQUENT) | end * np.uint64(END)
-        self.known.update(zip(new, marked.tolist(), strict=True))
-        out = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        for word in new:
-            if len(word) > WORD_BYTES_KEPT:
-                del self.known[word]
-        return out
+        if len(self.numbers) > WORDS_KEPT or self.bytes > BYTES_KEPT:
+            self.forget()
+        seen = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > seen:
+            new = list(islice(self.numbers, seen, None))
+            self.bytes += sum(map(len, new))
+            plain = digests(self.lang, new)
+            key = digest_of([plain])
+            frequent = self.admitted.frequent.holds(key)
+            if BREAK in self.numbers and self.numbers[BREAK] >= seen:
+                frequent[self.numbers[BREAK] - seen] = False
+            end = frequent & self.admitted.ends.holds(key)
+            marked = (plain & PLAIN) | frequent * np.uint64(FREQUENT) | end * np.uint64(END)
+            self.known = np.concatenate([self.known, marked])
+        return self.known[at]
 
 
 @dataclass
@@ -209,13 +222,13 @@ class Stretch:
                 yield size, at
 
     def listed(self, parts: BitFilter) -> Iterator[tuple[int, np.ndarray]]:
-        """Size and places of phrases of two words or more, shorter than the longest, that ``parts`` holds."""
+        """Size and places of phrases shorter than the longest, with an end first or last, that ``parts`` holds."""
         run = self.together[: self.own].copy()
         run[0] = False
         for size in range(2, LONGEST):
             if size > 2:
                 run &= self.together[size - 2 : size - 2 + self.own]
-            at = np.flatnonzero(run)
+            at = np.flatnonzero(run & (self.end[: self.own] | self.end[size - 1 : size - 1 + self.own]))
             at = at[parts.holds(self.key(at, size))]
             if len(at):
                 yield size, at
@@ -364,8 +377,19 @@ def weakest_cuts(cuts: DataFrame, counts: DataFrame, totals: DataFrame) -> DataF
     )
 
 
-def _grown(docs: DataFrame, words: DataFrame, totals: DataFrame, limits: dict[str, int], least: int, top: int) -> DataFrame:
-    """The best ``top`` surviving phrases of each language of ``limits`` whose end words occur at most that often."""
+def _settling(alive: DataFrame, limits: dict[str, int], largest: dict[str, int], top: int) -> list[str]:
+    """Languages whose lists this round may settle: full ones, and those whose words have all joined."""
+    full = alive.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= top).collect()
+    return sorted({r["lang"] for r in full} | {lang for lang, limit in limits.items() if limit >= largest[lang]})
+
+
+def _grown(
+    docs: DataFrame, words: DataFrame, totals: DataFrame, limits: dict[str, int], largest: dict[str, int], least: int, top: int
+) -> DataFrame:
+    """The best ``top`` surviving phrases of each language of ``limits`` whose end words occur at most that often.
+
+    A language with words left and too few phrases to fill its list has none: it needs a further round anyway.
+    """
     spark = docs.sparkSession
     limit = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most bigint"))
     mine = words.join(limit, "lang")
@@ -376,13 +400,15 @@ def _grown(docs: DataFrame, words: DataFrame, totals: DataFrame, limits: dict[st
     admitted.found = filter_of(pairs)
     grown = stage(count_phrases(texts, admitted, least), "grown")
     same = ((F.col("l_lo") == F.col("l_hi")) & (F.col("l_lo") != 0)) | ((F.col("r_lo") == F.col("r_hi")) & (F.col("r_lo") != 0))
-    cuts = stage(_cuts(grown.where((F.col("size") == LONGEST) | ~same)), "cuts")
+    alive = grown.where((F.col("size") == LONGEST) | ~same)
+    enough = _settling(alive, limits, largest, top)
+    cuts = stage(_cuts(alive.where(F.col("lang").isin(enough))), "cuts")
     counts = words.select("lang", "phrase", "n").unionByName(grown.select("lang", "phrase", "n"))
     parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("phrase")).distinct()
     missing = stage(parts.join(counts, ["lang", "phrase"], "left_anti"), "missing-parts")
     if not missing.isEmpty():
         needed = stage(phrase_digests(missing), "part-digests")
-        further = count_phrases(texts, Admitted(admitted.frequent, admitted.ends, filter_of(needed)), least, parts=True)
+        further = count_phrases(texts.where(F.col("lang").isin(enough)), Admitted(admitted.frequent, admitted.ends, filter_of(needed)), least, parts=True)
         further = stage(further.join(missing, ["lang", "phrase"], "left_semi").select("lang", "phrase", "n"), "parts")
         counts = counts.unionByName(further)
     scored = weakest_cuts(cuts, counts, totals).join(limit, "lang")
@@ -424,7 +450,7 @@ def mine_phrases(
     limits = {r["lang"]: r["first"] for r in bounds}
     settled = []
     while limits:
-        best = stage(_grown(texts, words, totals, limits, least, top), "phrases")
+        best = stage(_grown(texts, words, totals, limits, largest, least, top), "phrases")
         last = {r["lang"]: r for r in best.groupBy("lang").agg(F.count("*").alias("places"), F.min("score").alias("score")).collect()}
         further = {}
         for lang, limit in limits.items():
