@@ -17,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.functions.staging import stage
 from packloom.operators.rows import added_uses, times_seen
 from packloom.operators.tokens import training_pairs
+from packloom.sources.bucketed import stored_log_probs
 
 COUNT_KEYS = ("expert", "order", "ctx2", "ctx1", "tok")
 POSITION = ("domain", "split", "seq_id", "pos")
@@ -147,6 +149,22 @@ def gram_log_probs(
     return triples.select("ctx2", "ctx1", "tok", "uses", log_probs.alias("log_probs"))
 
 
+def _group_codes(rows: DataFrame) -> DataFrame:
+    """``(group, domain, split)``: a digest of 64 bits for each domain and split of ``rows``."""
+    groups = rows.select("domain", "split").distinct().withColumn("group", F.xxhash64("domain", "split")).groupBy("group")
+    clash = F.raise_error(F.lit("two pairs of domain and split share a digest")).cast("string")
+    return groups.agg(F.when(F.count("*") > 1, clash).otherwise(F.first("domain")).alias("domain"), F.first("split").alias("split"))
+
+
+def _scored(located: DataFrame, groups: DataFrame, table: DataFrame) -> DataFrame:
+    return located.join(table, ["ctx2", "ctx1", "tok"]).join(groups, "group").select(*POSITION, "log_probs")
+
+
+def _located(pairs: DataFrame) -> DataFrame:
+    code = F.xxhash64("domain", "split").alias("group")
+    return pairs.select(code, "seq_id", "pos", F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
+
+
 def score_positions(
     pairs: DataFrame,
     counts: DataFrame,
@@ -162,17 +180,34 @@ def score_positions(
     by a lookup of their distinct pairs; two pairs with the same digest would raise an error. ``pairs`` and ``counts``
     are read twice; give stored ones.
     """
-    code = F.xxhash64("domain", "split").alias("group")
-    groups = pairs.select(code, "domain", "split").distinct().groupBy("group")
-    clash = F.raise_error(F.lit("two pairs of domain and split share a digest")).cast("string")
-    groups = groups.agg(
-        F.when(F.count("*") > 1, clash).otherwise(F.first("domain")).alias("domain"), F.first("split").alias("split")
-    )
-    located = pairs.select(code, "seq_id", "pos", F.coalesce("ctx2", F.lit(NO_TOKEN)).alias("ctx2"), "ctx1", "tok")
-    keys = ["ctx2", "ctx1", "tok"]
-    grams = located.groupBy(*keys).agg(F.count("*").alias("uses"))
+    located = _located(pairs)
+    grams = located.groupBy("ctx2", "ctx1", "tok").agg(F.count("*").alias("uses"))
     table = gram_log_probs(grams, counts, experts, vocab_size, alpha, beta).drop("uses")
-    return located.join(table, keys).join(groups, "group").select(*POSITION, "log_probs")
+    return _scored(located, _group_codes(pairs), table)
+
+
+def score_sequences(
+    packed: DataFrame,
+    counts: DataFrame,
+    experts: Sequence[str],
+    vocab_size: int,
+    alpha: float = 0.1,
+    beta: float = 1.0,
+) -> DataFrame:
+    """``score_positions`` of packed rows, whose positions are laid out once and staged; domains come from the rows."""
+    located = stage(_located(training_pairs(packed, "domain", "split", "seq_id")), "positions")
+    grams = located.groupBy("ctx2", "ctx1", "tok").agg(F.count("*").alias("uses"))
+    table = gram_log_probs(grams, counts, experts, vocab_size, alpha, beta).drop("uses")
+    return _scored(located, _group_codes(packed), table)
+
+
+def score_from_store(
+    packed: DataFrame, path: str, experts: Sequence[str], vocab_size: int, alpha: float = 0.1, beta: float = 1.0
+) -> DataFrame:
+    """``score_sequences`` with the experts of a bucketed store, which stay where they lie."""
+    located = stage(_located(training_pairs(packed, "domain", "split", "seq_id")), "positions")
+    grams = located.select("ctx2", "ctx1", "tok").distinct()
+    return _scored(located, _group_codes(packed), stored_log_probs(grams, path, experts, vocab_size, alpha, beta))
 
 
 def by_expert(positions: DataFrame, experts: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from packloom.functions.index import key_bounds, range_of
 from packloom.functions.staging import fresh_path, stage
 from packloom.operators import ensemble, experts, metrics, rows, suffixes, summaries, tokens
 from packloom.plans.prepare import document_layout, encode_corpus, pack_corpus
-from packloom.sources import corpus, growing, packed
+from packloom.sources import bucketed, corpus, growing, packed
 from packloom.sources import experts as expert_store
 
 SEQ_LEN = 64
@@ -118,7 +118,7 @@ def _scored(spark: SparkSession, sf_dir: str, plan: tuple = PLAN, split: str | N
     counts = stage(experts.fit_experts(_train(sequences), plan, ACCUM, BATCH), "experts")
     if split is not None:
         sequences = sequences.where(F.col("split") == split)
-    return experts.score_positions(_pairs(sequences), counts, [p[0] for p in plan], VOCAB_SIZE)
+    return experts.score_sequences(sequences, counts, [p[0] for p in plan], VOCAB_SIZE)
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,6 +475,17 @@ def expert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_sequence(_scores(spark, sf_dir))
 
 
+def bucketed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split scored in a job of its own against experts that are stored once."""
+    sequences, path = _stored(spark, sf_dir), fresh_path(spark, "bucketed")
+    bucketed.write_bucketed(stage(experts.fit_experts(_train(sequences), PLAN, ACCUM, BATCH), "experts"), path)
+    parts = [
+        experts.score_from_store(sequences.where(F.col("split") == split), path, EXPERTS, VOCAB_SIZE)
+        for split in ("train", "validation", "test")
+    ]
+    return _per_sequence(experts.by_expert(parts[0].unionByName(parts[1]).unionByName(parts[2]), EXPERTS))
+
+
 # ---- evaluation and ensembles ---------------------------------------------------------------------------------
 
 
@@ -590,7 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_index, null_domain_index, row_key_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, shuffle_packed, reshard_sizes, batches,
         eval_limit, first_sequences, train_schedule, times_seen, snapshot_counts,
         vocab, vocab_summary, encode_docs, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
-        seed_counts, suffix_counts, snapshot_deltas, continued_counts, expert_chains, domain_experts, expert_scores,
+        seed_counts, suffix_counts, snapshot_deltas, continued_counts, expert_chains, domain_experts, expert_scores, bucketed_scores,
         logit_log_prob, cross_entropy, perplexity, learning_curve, ens_simple_avg, expert_posterior, ens_uniform, seq_posterior,
         cached_prior, ens_cached, ens_report, ens_compare,
         metrics_rollup, lr_column,

@@ -454,6 +454,7 @@ ORACLES |= {
     "first_from_store": ORACLES["first_sequences"],
     "pack_appended": ORACLES["label_shift"],
     "vocab_summary": ORACLES["vocab"],
+    "bucketed_scores": ORACLES["expert_scores"],
     "suffix_counts": f"{CORPUS}, {DEEP} {DEEP_COUNTS}",
     "snapshot_deltas": f'{CORPUS}, {_fitted(R.DELTA_PLAN)} SELECT expert, "order", ctx2, ctx1, tok, n FROM counts',
 }

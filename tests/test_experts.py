@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from packloom.functions.staging import stage
 from packloom.operators import experts as X
 from packloom.operators.tokens import training_pairs
+from packloom.sources import bucketed
 
 V = 6
 
@@ -135,3 +137,68 @@ def test_probabilities_sum_to_one(spark, sequences):
     sums = scored.groupBy("ctx2", "ctx1").agg(*[F.sum(F.exp(F.get("log_probs", i))).alias(e) for i, e in enumerate(names)])
     for row in sums.collect():
         assert [row[e] for e in names] == pytest.approx([1.0] * 3)
+
+
+def scored(df):
+    return sorted((r.domain, r.seq_id, r.pos, [round(x, 12) for x in r.log_probs]) for r in df.collect())
+
+
+def test_sequences_are_laid_out_once(spark, sequences, plan_of):
+    """Scoring sequences gives what scoring their positions gives, and reads the positions from one staged table."""
+    names = [p[0] for p in PLAN]
+    counts, packed = stage(fitted(spark, sequences, PLAN), "experts"), packed_frame(spark, sequences)
+    by_sequence = X.score_sequences(packed, counts, names, V)
+    pairs = training_pairs(packed, "domain", "split", "seq_id")
+    assert scored(by_sequence) == scored(X.score_positions(pairs, counts, names, V))
+    assert "Generate" not in plan_of(by_sequence)
+    assert any("/positions-" in file for file in by_sequence.inputFiles())
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def above_scans(plan, mark):
+    """Operators between the root and each line of a plan tree that has ``mark``, nearest first."""
+    lines = [(len(line) - len(line.lstrip(" :+-")), line.strip(" :+-")) for line in plan.splitlines()]
+    for n, (depth, text) in enumerate(lines):
+        if mark in text:
+            path = []
+            for before, other in reversed(lines[:n]):
+                if before < depth:
+                    depth = before
+                    path.append(other)
+            yield path
+
+
+def test_stored_experts_stay_where_they_lie(spark, sequences, plan_of, tmp_path, without_broadcasts):
+    names, path = [p[0] for p in PLAN], str(tmp_path / "store")
+    counts, packed = stage(fitted(spark, sequences, PLAN), "experts"), packed_frame(spark, sequences)
+    bucketed.write_bucketed(counts, path, buckets=8)
+    want = scored(X.score_sequences(packed, counts, names, V))
+    for known in (True, False):  # by the session that wrote the store, and by one that has to open it
+        if not known:
+            bucketed.forget_bucketed(spark, path)
+        from_store = X.score_from_store(packed, path, names, V)
+        assert scored(from_store) == want
+        plan = plan_of(from_store)
+        found = 0
+        for table in bucketed.KEYS:
+            for operators in above_scans(plan, f"{bucketed.table_name(path, table)}["):
+                found += 1
+                join = next(n for n, text in enumerate(operators) if "Join" in text)
+                assert not [text for text in operators[:join] if "Exchange" in text]
+        assert found >= len(bucketed.KEYS)
+    bucketed.forget_bucketed(spark, path)
+
+
+def test_an_expert_that_the_store_lacks_counts_nothing(spark, sequences, tmp_path):
+    path, packed = str(tmp_path / "store"), packed_frame(spark, sequences)
+    bucketed.write_bucketed(stage(fitted(spark, sequences, PLAN[:1]), "experts"), path)
+    row = X.score_from_store(packed, path, ["a0", "none"], V).first()
+    assert row.log_probs[1] == pytest.approx(math.log(1 / V))
+    bucketed.forget_bucketed(spark, path)
