@@ -185,3 +185,25 @@ def added_uses(
     ]
     each = rows.withColumn("__entry", F.explode(F.array(*entries))).select("*", "__entry.*")
     return each.where(F.col("uses") > 0).drop("__entry", "__batches", "batch_id")
+
+
+def epoch_place(index: Column, rows: Column | int, seed: int, epoch: Column | int, rounds: int = 32) -> Column:
+    """Place of row ``index`` of ``rows`` in the order of an epoch: a keyed permutation of 0 to ``rows`` - 1, without a sort.
+
+    Swap-or-not (Hoang, Morris and Rogaway, 2012): each round pairs places by a key and swaps a pair or not by one bit of
+    a digest of its greater place, so every round is a bijection for any number of rows. Each row's place is worked out
+    from its index alone; about six rounds per doubling of ``rows`` make the order look random in every respect.
+    """
+    size, at = (F.lit(rows) if isinstance(rows, int) else rows).cast("bigint"), index.cast("bigint")
+    name = F.concat(F.lit(f"{seed}:"), (F.lit(epoch) if isinstance(epoch, int) else epoch).cast("string"), F.lit(":"))
+
+    def drawn(text: Column) -> Column:
+        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+    def swapped(place: Column, turn: Column) -> Column:
+        keyed = F.concat(name, turn.cast("string"))
+        other = F.pmod(drawn(keyed) % size - place, size)
+        draw = drawn(F.concat(keyed, F.lit(":"), F.greatest(place, other).cast("string")))
+        return F.when(draw % 2 == 1, other).otherwise(place)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at, swapped)

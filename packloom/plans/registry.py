@@ -14,7 +14,7 @@ from packloom.functions.index import key_bounds, range_of
 from packloom.functions.staging import fresh_path, stage
 from packloom.operators import ensemble, experts, metrics, rows, suffixes, summaries, tokens
 from packloom.plans.prepare import document_layout, encode_corpus, pack_corpus
-from packloom.sources import bucketed, corpus, growing, packed
+from packloom.sources import bucketed, corpus, generations, growing, packed, verified
 from packloom.sources import experts as expert_store
 
 SEQ_LEN = 64
@@ -33,6 +33,7 @@ SEED = 42
 DOMAINS = ("de", "en", "es", "fr")
 SNAPSHOTS = (300, 400, 500)
 PARTS_PER_SHARD = 2
+EPOCHS = 3
 #: domains that an expert of every capacity learns one after the other, with the steps of each
 CHAIN = (("en", 300), ("de", 400), ("fr", 500))
 ORDERS = (0, 1, 2)
@@ -197,6 +198,25 @@ def pack_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("domain", "split", *_big("rank", "seq_id"), _joined("input_ids"), _joined("label"))
 
 
+def verified_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packed file must hold, proven by reading it back."""
+    path = fresh_path(spark, "verified")
+    verified.write_verified(_stored(spark, sf_dir), path, SAMPLES_PER_FILE)
+    files = verified.verified_manifest(spark, path)
+    return files.select("domain", "split", *_big("rank"), "file", "n_rows", F.col("digest").cast("string").alias("digest"), "status")
+
+
+def shuffle_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published table replaced by its own rows in random order, twice."""
+    path = fresh_path(spark, "published")
+    generations.publish(corpus.read_corpus(spark, f"{sf_dir}/documents.parquet"), path)
+    for seed in (SEED + 1, SEED):
+        current = generations.read_published(spark, path).drop("shard")
+        generations.publish(rows.shuffle_rows(current, "doc_id", seed, RESHARDS), path, "shard")
+    generations.retire(spark, path)
+    return generations.read_published(spark, path).select("doc_id", *_big("shard"), F.md5("text").alias("text_md5"))
+
+
 def overwrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "overwrite")
     docs = _documents(spark, sf_dir).select("doc_id", "domain", "split")
@@ -289,6 +309,14 @@ def shuffle_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("domain", "split", *_big("seq_id", "shard"), _joined("label"))
 
 
+def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the order of each of several epochs."""
+    docs = rows.with_index(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
+    each = docs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
+    place = rows.epoch_place(F.col("index"), docs.count(), SEED, F.col("epoch"))
+    return each.select("doc_id", *_big("epoch"), place.alias("place"))
+
+
 def reshard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.with_index(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
     return (
@@ -596,9 +624,9 @@ def lr_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        corpus_scan, drop_empty, conversation_text, packed_roundtrip, file_manifest, first_from_store, pack_appended, overwrite_roundtrip,
+        corpus_scan, drop_empty, conversation_text, packed_roundtrip, file_manifest, first_from_store, pack_appended, verified_manifest, shuffle_in_place, overwrite_roundtrip,
         ignore_roundtrip, expert_catalog, expert_roundtrip,
-        doc_index, null_domain_index, row_key_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, shuffle_packed, reshard_sizes, batches,
+        doc_index, null_domain_index, row_key_index, turn_index, shard_sizes, split_sizes, shuffled_rank, shuffled_rows, shuffle_packed, epoch_order, reshard_sizes, batches,
         eval_limit, first_sequences, train_schedule, times_seen, snapshot_counts,
         vocab, vocab_summary, encode_docs, token_offsets, pack_sequences, label_shift, training_pairs, token_stats,
         seed_counts, suffix_counts, snapshot_deltas, continued_counts, expert_chains, domain_experts, expert_scores, bucketed_scores,

@@ -450,7 +450,32 @@ ORACLES: dict[str, str] = {
                       ELSE 0.05 + 0.45 * 0.5 * (1 + cos(pi() * (step - 200) / (1000 - 200))) END''', 8)} AS cosine
         FROM rolled""",
 }
+_DRAW = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_KEYED = f"'{R.SEED}:' || epoch || ':' || r"
 ORACLES |= {
+    "shuffle_in_place": ORACLES["shuffled_rows"],
+    "verified_manifest": f"""{CORPUS}, {PACKED_TEXT},
+        digested AS (
+          SELECT t.domain, t.split, t.rank, (t.seq_id - k.first_seq) // {R.SAMPLES_PER_FILE} AS file,
+                 {_DRAW.format("concat_ws('|', t.domain, t.split, t.rank, t.seq_id - k.first_seq, t.seq_id, input_ids, label)")} AS d
+          FROM texts t JOIN ranks k USING (domain, split, rank)
+        )
+        SELECT domain, split, rank, file, count(*) AS n_rows, sum(d::HUGEINT)::VARCHAR AS digest, 'ok' AS status
+        FROM digested GROUP BY ALL""",
+    "epoch_order": f"""
+        WITH RECURSIVE numbered AS (
+          SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents
+        ),
+        walk AS (
+          SELECT doc_id, epoch, n, 0 AS r, idx::BIGINT AS place
+          FROM numbered CROSS JOIN (SELECT unnest(range({R.EPOCHS})) AS epoch)
+          UNION ALL
+          SELECT doc_id, epoch, n, r,
+                 CASE WHEN {_DRAW.format(_KEYED + " || ':' || greatest(place, other)")} % 2 = 1 THEN other ELSE place END
+          FROM (SELECT doc_id, epoch, n, r, place, ((({_DRAW.format(_KEYED)} % n) - place) % n + n) % n AS other
+                FROM (SELECT doc_id, epoch, n, r + 1 AS r, place FROM walk WHERE r < 32))
+        )
+        SELECT doc_id, epoch, place FROM walk WHERE r = 32""",
     "first_from_store": ORACLES["first_sequences"],
     "pack_appended": ORACLES["label_shift"],
     "vocab_summary": ORACLES["vocab"],
