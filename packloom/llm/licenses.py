@@ -105,11 +105,12 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> list[tuple[str, float, int, int]]:
+def find(text: str, templates: Mapping[str, Sequence[str]], least: float, slack_share: float = SLACK) -> list[tuple[str, float, int, int]]:
     """``(license, coverage, first word, end word)`` of every stretch that covers ``least`` of a template or more.
 
     A text whose words cannot reach that share is left at once. A stretch that does must hold one of the template's
-    rarest words, taken until they fill one place more than may be missing, so only surroundings of those are aligned.
+    rarest words, taken until they fill one place more than may be missing, so only surroundings of those are aligned:
+    the template's length and ``slack_share`` of it on either side. A notice that more foreign words interrupt is not found.
     Of overlapping stretches the one with most aligned words counts.
     """
     words = words_of(text)
@@ -130,7 +131,7 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
             if filled < spare:
                 rare.append(w)
                 filled += n
-        slack, end = max(2, int(SLACK * len(template))), 0
+        slack, end = max(2, int(slack_share * len(template))), 0
         for n in sorted(n for w in rare for n in places.get(w, ())):
             if n < end:
                 continue
@@ -145,19 +146,27 @@ def find(text: str, templates: Mapping[str, Sequence[str]], least: float) -> lis
                 end = lo + best[-1][0] + 1
                 out.append((name, len(best) / len(template), lo + best[0][0], end, len(best)))
     kept: list[tuple[str, float, int, int, int]] = []
+    starts: list[int] = []
     for one in sorted(out, key=lambda x: (-x[4], -x[1], x[0], x[2])):
-        if all(one[3] <= k[2] or k[3] <= one[2] for k in kept):
-            kept.append(one)
-    return [k[:4] for k in sorted(kept, key=lambda x: x[2])]
+        at = bisect_left(starts, one[2])
+        if (at == 0 or kept[at - 1][3] <= one[2]) and (at == len(kept) or one[3] <= kept[at][2]):
+            starts.insert(at, one[2])
+            kept.insert(at, one)
+    return [k[:4] for k in kept]
 
 
 def with_licenses(
-    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.8, text_col: str = "text"
+    docs: DataFrame,
+    templates: Mapping[str, str] = TEMPLATES,
+    least: float = 0.8,
+    text_col: str = "text",
+    slack_share: float = SLACK,
 ) -> DataFrame:
     """Every row of ``docs`` with ``licenses``: ``(license, coverage, start, end)``, places in words, by start.
 
     Null and empty texts have none; a template without words is never found. Repeated notices are all reported. An
-    empty table stays empty; a column of ``docs`` named ``licenses`` is replaced. Nothing is exchanged.
+    empty table stays empty; a column of ``docs`` named ``licenses`` is replaced. Nothing is exchanged. Foreign words between
+    the words of a notice may make up ``slack_share`` of the template on either side of a rare word, and no more.
     """
     bound_batches(docs.sparkSession)
     listed = {name: tuple(words_of(t)) for name, t in templates.items() if words_of(t)}
@@ -165,6 +174,6 @@ def with_licenses(
     @F.pandas_udf(FOUND)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([find(t or "", listed, least) for t in batch], dtype=object)
+            yield pd.Series([find(t or "", listed, least, slack_share) for t in batch], dtype=object)
 
     return docs.drop("licenses").withColumn("licenses", scan(F.col(text_col)))

@@ -33,6 +33,8 @@ BANDS = 25
 ROWS = 5
 #: words whose digests a worker remembers
 WORDS_KEPT = 200_000
+#: bytes of a word up to which it is remembered
+WORD_BYTES_KEPT = 64
 #: size of a bucket up to which its open nodes are compared pair by pair; beyond it the pairs of a bucket outnumber
 #: the shingles of its nodes, and the prefix filter, as exact, is cheaper
 FEW = 40
@@ -56,7 +58,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES_KEPT:
+            self[word] = value
         return value
 
 

@@ -2,7 +2,8 @@
 
 A document is cut into full windows and a rest. A rest goes to the fill level that makes the sum, over all levels, of
 the squared number of partially filled windows least; the level array holds these numbers. Few windows then stay
-open. When a task ends, its open windows are cut into each other until one is left, which is cut at powers of two.
+open. When a task ends, its open windows are cut into each other until one is left, which is cut at powers of two. A task
+that has more than ``max_open`` windows open does the same with all but the last of them and goes on.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ FIELDS = pa.schema(
 )
 #: closed windows, with their ids, that wait to be written out
 DONE_KEPT = 1000
+#: open windows of one task; at 2,048 tokens each they hold 128 MB of ids at most
+MAX_OPEN = 16_384
 
 
 class Packer:
     """Windows of ``size`` tokens; ``done`` gathers closed windows, each a list of pieces."""
 
-    def __init__(self, size: int, max_open: int = 4096):
+    def __init__(self, size: int, max_open: int = MAX_OPEN):
         self.size, self.max_open = size, max_open
         self.levels = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
@@ -122,17 +125,20 @@ def pack_documents(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    max_open: int = MAX_OPEN,
 ) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    Every task packs its own rows as they come, so nothing is exchanged; it holds its open windows only. The pieces
+    Every task packs its own rows as they come, so nothing is exchanged; it holds its open windows only, ``max_open`` at
+    most: beyond that they are cut into full ones, which loses no token and no fill but leaves the rule for a moment. The
+    pieces
     are staged once, then the sequences of earlier tasks, one number each, are added. Null texts count as empty and
-    give the end id alone; ids may be null or repeated, a row's pieces always belong to one row. An empty table gives
+    give the end id alone; ids are whole numbers, may be null or repeated, and a row's pieces always belong to one row. An empty table gives
     no piece. Only the two named columns are read.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, packer, closed = word_ids(tokenizer_file), TaskContext.get().partitionId(), Packer(size), 0
+        words, part, packer, closed = word_ids(tokenizer_file), TaskContext.get().partitionId(), Packer(size, max_open), 0
 
         def emitted() -> pa.RecordBatch:
             nonlocal closed

@@ -2,11 +2,13 @@
 
 The tokenizer's pieces never span white space, so a text's ids are those of its words put together. Words of plain
 Latin letters with closing punctuation are cut further into those two pieces, which go to the file's own model; every
-other word goes through the whole tokenizer. Ids are kept as little-endian unsigned 32-bit bytes.
+other word goes through the whole tokenizer. This rests on the file's rules for normalising and splitting; a file with
+other rules is told by them, and encodes whole texts. Ids are kept as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,6 +23,8 @@ from tokenizers import Tokenizer
 #: words and pieces of words remembered by one worker; beyond, it starts afresh
 WORDS_KEPT = 250_000
 PIECES_KEPT = 600_000
+#: bytes of a word or piece up to which it is remembered
+WORD_BYTES_KEPT = 64
 #: bytes of text whose distinct words are looked up together
 SLICE_BYTES = 4 << 20
 #: letters whose lower case and composed form are single code points
@@ -29,6 +33,28 @@ LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 CLOSING = b"-.,;:!?#$%&*()\"+=/"
 
 
+#: The rules of a tokenizer file under which words may be encoded one by one.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter a byte-level model uses for each byte: printable ones stand for themselves, others follow 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +73,9 @@ class WordIds(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.by_word = all(rules.get(name) == rule for name, rule in WORD_RULES.items())
         self.model = Tokenizer(self.whole.model)
         self.pieces: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
@@ -59,9 +88,15 @@ class WordIds(dict):
             spelled = piece.decode("latin-1")
             if not piece.isascii():
                 spelled = spelled.translate(self.letters)
-            ids = self.pieces[piece] = _bytes(self.model.encode(spelled, add_special_tokens=False).ids)
+            ids = _bytes(self.model.encode(spelled, add_special_tokens=False).ids)
+            if len(piece) <= WORD_BYTES_KEPT:
+                self.pieces[piece] = ids
         return ids
 
+    def of_text(self, text: str) -> bytes:
+        """Ids of a whole text by the tokenizer itself."""
+        return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
@@ -73,7 +108,8 @@ class WordIds(dict):
                 ids += self._piece(low[len(stem) :])
         else:
             ids = _bytes(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        self[word] = ids
+        if len(word) <= WORD_BYTES_KEPT:
+            self[word] = ids
         return ids
 
 
@@ -85,6 +121,8 @@ def word_ids(tokenizer_file: str) -> WordIds:
 
 def encode(words: WordIds, text: str | None, end_id: int) -> bytes:
     """The ids of a text (null: of an empty one), closed by ``end_id``."""
+    if not words.by_word:
+        return words.of_text(text or "") + _bytes([end_id])
     return b"".join(map(words.__getitem__, (text or "").encode("utf-8", "replace").split())) + _bytes([end_id])
 
 
@@ -106,6 +144,9 @@ def encode_all(words: WordIds, texts: pa.Array, end_id: int) -> Iterator[bytes]:
 
     The distinct words of a slice are looked up once; the slice's ids are then gathered word by word.
     """
+    if not words.by_word:
+        yield from (encode(words, text, end_id) for text in texts.to_pylist())
+        return
     for part in _slices(pc.fill_null(texts, "")):
         split = pc.ascii_split_whitespace(part)
         coded = split.flatten().dictionary_encode()

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import combinations
 
 from packloom.llm.licenses import TEMPLATES, align, find, with_licenses, words_of
@@ -55,6 +56,18 @@ def test_notices_that_miss_just_what_may_be_missing():
                 assert find(" ".join(words), {"one": template}, least) == [("one", len(pairs) / length, 2, len(words) - 1)]
 
 
+def test_many_notices_and_interrupted_ones():
+    notice = TEMPLATES["mit-notice"]
+    started = time.monotonic()
+    assert len(find(f"{notice} x " * 16_000, LISTED, 0.8)) == 16_000
+    assert time.monotonic() - started < 15
+    template = {"t": tuple(f"t{n}" for n in range(40))}
+    for foreign, found in ((8, True), (200, False)):
+        words = [f"t{n}" for n in range(20)] + [f"x{n}" for n in range(foreign)] + [f"t{n}" for n in range(20, 40)]
+        assert bool(find(" ".join(words), template, 0.8)) == found
+    assert find(" ".join(words), template, 0.8, slack_share=6)
+
+
 def test_edges(spark, edge, nothing):
     rows = with_licenses(edge.selectExpr("*", "1 licenses"))
     assert rows.count() == edge.count() and all(r.licenses == [] for r in rows.collect())

@@ -37,6 +37,23 @@ def test_slices_equal_single_texts(texts, size):
     assert got == [token_ids.encode(words, t, 1) for t in texts]
 
 
+def test_a_file_with_other_rules_encodes_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    words, whole = token_ids.WordIds(other), Tokenizer.from_file(other)
+    assert token_ids.word_ids(FILE).by_word and not words.by_word
+    texts = ["Hello  World, it's\nme", "", None, " lead and trail ", "Straße 12"]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    got = list(token_ids.encode_all(words, pa.array(texts, pa.string()), 1))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+
+
+def test_long_words_are_not_remembered():
+    words = token_ids.WordIds(FILE)
+    text = "a" * 500 + " " + "é" * 400 + " b"
+    assert np.frombuffer(token_ids.encode(words, text, 1), "<u4").tolist() == ids_of(text)
+    assert set(words) == {b"b"} and max(map(len, words.pieces)) <= 64
+
+
 def test_cache_starts_afresh(monkeypatch):
     monkeypatch.setattr(token_ids, "WORDS_KEPT", 3)
     text = "the cat sat on the mat, the cat sat"
