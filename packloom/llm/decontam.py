@@ -5,13 +5,14 @@ becomes a space. Normalised text has the original's length, so a word's place in
 
 The automaton's letters are whole words: the benchmark's distinct words are numbered, a text becomes one character per
 word, and all words that the benchmark lacks are one character that no window has. A window of 13 words then takes 13
-nodes at most, however long its words are.
+nodes at most, however long its words are, and only runs of known words as long as the shortest window are scanned.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import pandas as pd
@@ -52,9 +53,6 @@ def windows(text: str | None, length: int = WINDOW) -> set[tuple[bytes, ...]]:
 class Letters(dict):
     """One character per word of the benchmark, FOREIGN for any other."""
 
-    def __missing__(self, word: bytes) -> str:
-        return FOREIGN
-
     def add(self, word: bytes) -> str:
         if word not in self:
             place = len(self) + 2
@@ -62,7 +60,7 @@ class Letters(dict):
         return self[word]
 
     def spell(self, words: Iterable[bytes]) -> str:
-        return "".join(map(self.__getitem__, words))
+        return "".join(map(self.get, words, repeat(FOREIGN)))
 
 
 class Machine:
@@ -81,6 +79,7 @@ class Machine:
         self.empty = not owners
         if owners:
             self.automaton.make_automaton()
+            self.runs = re.compile(f"[^{FOREIGN}]{{{min(map(len, owners))},}}")
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, str | None]]]:
         """Number of words, and ``(first word, end word, item)`` of every occurrence of a window, in a normalised text."""
@@ -88,7 +87,11 @@ class Machine:
         if self.empty or not words:
             return len(words), []
         line = self.letters.spell(words)
-        return len(words), [(end + 1 - n, end + 1, item) for end, (n, items) in self.automaton.iter(line) for item in items]
+        found = []
+        for run in self.runs.finditer(line):
+            for last, (n, items) in self.automaton.iter(line, run.start(), run.end()):
+                found += [(last + 1 - n, last + 1, item) for item in items]
+        return len(words), found
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 #: words and pieces of words remembered by one worker; beyond, it starts afresh
 WORDS_KEPT = 250_000
-PIECES_KEPT = 600_000
+PIECES_KEPT = 400_000
 #: bytes of a word or piece up to which it is remembered
 WORD_BYTES_KEPT = 64
 #: bytes of text whose distinct words are looked up together
