@@ -205,10 +205,19 @@ def ensemble_cached_prior(
 
 
 def ensemble_losses(
-    scores: DataFrame, experts: Sequence[str], k: int, decay: float = 0.3, by: Sequence[str] = DOMAIN
+    scores: DataFrame,
+    experts: Sequence[str],
+    k: int,
+    decay: float = 0.3,
+    by: Sequence[str] = DOMAIN,
+    prior_scores: DataFrame | None = None,
 ) -> DataFrame:
-    """``(*by, method, n_tokens, perplexity)`` for all three methods from one pass over the scores."""
-    prior = cached_prior(scores, experts, k, decay, by)
+    """``(*by, method, n_tokens, perplexity)`` for all three methods from one pass over the scores.
+
+    The prior takes its first ``k`` sequences from ``prior_scores`` where given: scores of those sequences alone spare a
+    second reading of all.
+    """
+    prior = cached_prior(scores if prior_scores is None else prior_scores, experts, k, decay, by)
     wide = _with_prior(_with_history(scores, experts, by), prior, experts, by)
     log_probs = _methods(_slots("lp", experts), _slots("ll", experts), _weights(experts))
     sums = wide.groupBy(*by).agg(F.count("*").alias("n_tokens"), *[F.sum(lp).alias(m) for m, lp in log_probs.items()])
@@ -236,10 +245,11 @@ def ensemble_report(
     k: int,
     decay: float = 0.3,
     by: Sequence[str] = DOMAIN,
+    prior_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Perplexity to one decimal, a row per method (and other keys of ``by``) and a column per domain."""
     rest = [c for c in by if c != "domain"]
-    losses = ensemble_losses(scores, experts, k, decay, by)
+    losses = ensemble_losses(scores, experts, k, decay, by, prior_scores)
     return (
         losses.groupBy("method", *rest)
         .pivot("domain", list(domains))

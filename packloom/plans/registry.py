@@ -585,8 +585,11 @@ def ens_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ens_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _stored_scores(spark, sf_dir)
-    return ensemble.ensemble_report(scores, EXPERTS, DOMAINS, PRIOR_SEQUENCES, DECAY)
+    sequences = _stored(spark, sf_dir)
+    counts = stage(experts.fit_experts(_train(sequences), PLAN, ACCUM, BATCH), "experts")
+    scores = experts.score_sequences(sequences, counts, EXPERTS, VOCAB_SIZE)
+    first = experts.score_sequences(rows.first_sequences(sequences, PRIOR_SEQUENCES), counts, EXPERTS, VOCAB_SIZE)
+    return ensemble.ensemble_report(scores, EXPERTS, DOMAINS, PRIOR_SEQUENCES, DECAY, prior_scores=first)
 
 
 def ens_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
