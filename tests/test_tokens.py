@@ -113,7 +113,8 @@ def test_each_task_of_the_layout_holds_one_key_range(spark, plan_of):
     held = [(r.ranges, r.n) for r in tasks.collect()]
     assert len(held) == 16 and all(ranges == 1 for ranges, _ in held) and max(n for _, n in held) < 2.5 * 600 / 16
     main = plan_of(laid_out)
-    assert main.count("shufflepartitionidpassthrough") == 2  # the documents' own, and that of the starts
+    assert main.count("shufflepartitionidpassthrough") == 3  # the documents' own, and that of the starts' two branches
+    assert not [line for line in main.splitlines() if "hashpartitioning(__range" in line and "ids" in line]
 
 
 def test_repeated_keys_and_null_groups_lose_nothing(spark):
