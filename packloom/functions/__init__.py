@@ -1 +1 @@
-"""Column helpers, index building, size-checked joins and staging shared by the operators."""
+"""Column helpers, index building, null-safe joins and staging shared by the operators."""
