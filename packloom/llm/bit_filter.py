@@ -27,9 +27,11 @@ class KeyFilter:
 
     def split(self, rows: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
         """``rows`` whose key is surely not in the filter, and those whose key may be. Nothing is exchanged."""
-        tests, looked = [], rows
+        tests, looked, mark = [], rows, "__"
+        while any(c.startswith(mark) and c.endswith(("bit_0", "bit_1", "bucket_0", "bucket_1", "map_0", "map_1")) for c in rows.columns):
+            mark += "_"
         for k, position in enumerate(self.positions(key)):
-            at, bucket, bitmap = f"__bit_{k}", f"__bucket_{k}", f"__bitmap_{k}"
+            at, bucket, bitmap = f"{mark}bit_{k}", f"{mark}bucket_{k}", f"{mark}map_{k}"
             side = self.bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
             looked = looked.withColumn(at, position)
             looked = looked.join(F.broadcast(side), F.expr(f"bitmap_bucket_number({at} + 1)") == F.col(bucket), "left")

@@ -414,7 +414,7 @@ def _grown(
     scored = weakest_cuts(cuts, counts, totals).join(limit, "lang")
     scored = scored.where(F.greatest("first", "last") <= F.col("most"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return scored.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def mine_phrases(
@@ -463,7 +463,7 @@ def mine_phrases(
         settled.append(best.where(F.col("lang").isin([lang for lang in limits if lang not in further])))
         limits = further
     if not settled:
-        schema = "lang string, rank int, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
+        schema = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
         return docs.sparkSession.createDataFrame([], schema)
     out = settled[0]
     for part in settled[1:]:

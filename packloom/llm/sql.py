@@ -217,7 +217,7 @@ kept AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM kept
 )
-SELECT lang, place::INT AS rank, phrase, a, l, r, n, score FROM placed WHERE place <= 2000"""
+SELECT lang, place AS rank, phrase, a, l, r, n, score FROM placed WHERE place <= 2000"""
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets(),
