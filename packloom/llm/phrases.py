@@ -414,7 +414,8 @@ def _grown(
     scored = weakest_cuts(cuts, counts, totals).join(limit, "lang")
     scored = scored.where(F.greatest("first", "last") <= F.col("most"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return scored.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = scored.withColumn("rank", place).where(F.col("rank") <= top)
+    return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def mine_phrases(
