@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packloom.functions.staging import stage
+from packloom.operators import ensemble
 from packloom.operators import experts as X
 from packloom.operators.tokens import training_pairs
 from packloom.sources import bucketed
@@ -154,6 +155,27 @@ def test_sequences_are_laid_out_once(spark, sequences, plan_of):
     assert any("/positions-" in file for file in by_sequence.inputFiles())
 
 
+def test_counts_are_looked_up_where_the_positions_lie(spark, sequences, plan_of, monkeypatch, tmp_path):
+    """Neither scoring nor grouping by sequence afterwards exchanges positions; larger counts give the same by exchanges."""
+    names, path = [*(p[0] for p in PLAN), "none"], str(tmp_path / "store")
+    packed = packed_frame(spark, [*sequences, (None, "train", 0, 0, [0, 1, 2, 3, 4, 5, 0, 1, 2])])
+    counts = stage(fitted(spark, sequences, PLAN), "experts")
+    bucketed.write_bucketed(counts, path)
+    both = lambda: [X.score_sequences(packed, counts, names, V), X.score_from_store(packed, path, names, V)]
+    rows = lambda df: {(r.domain, r.seq_id, r.pos): tuple(r.log_probs) for r in df.collect()}
+    want = []
+    for scores in both():
+        plan = plan_of(ensemble.expert_posterior(scores, names))
+        assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange" in x and "seq_id" in x]
+        want.append(rows(scores))
+    assert want[0] == want[1] and len(want[0]) == 17 * 8
+    monkeypatch.setattr(X, "IN_PLACE_BYTES", 0)
+    for scores in both():
+        got = rows(scores)
+        assert got.keys() == want[0].keys() and all(got[k] == pytest.approx(want[0][k], abs=1e-12) for k in got)
+    bucketed.forget_bucketed(spark, path)
+
+
 @pytest.fixture
 def without_broadcasts(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
