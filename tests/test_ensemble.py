@@ -181,6 +181,17 @@ def test_posterior_exchanges_rows_once(spark, plan_of):
     assert plan_of(N.expert_posterior(long, EXPERTS)).count("Exchange") == 1
 
 
+def test_priors_travel_to_the_positions(spark, plan_of):
+    """Nothing but the exchange by sequence moves positions, also where the size of the priors is not known beforehand."""
+    scores, limit = stage(wide_frame(spark, make_scores(9)), "scores"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (N.ensemble_losses(scores, EXPERTS, 3), N.compare_ensembles(scores, EXPERTS, {"all": EXPERTS}, 3)):
+            assert "SortMergeJoin" not in plan_of(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_log_softmax_at_the_label_and_reductions(spark):
     rng = np.random.default_rng(8)
     logits = rng.normal(size=(6, 5)) * 300
