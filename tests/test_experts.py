@@ -79,6 +79,33 @@ def test_fitting_counts_all_orders_up_to_the_capacity(spark, sequences, order):
     assert as_counter(X.fit_expert(pairs, order)) == named(brute_counts(sequences, order), "e")
 
 
+def test_positions_are_counted_by_their_longest_n_gram(spark, sequences, plan_of):
+    """Shorter n-grams come from distinct longer ones, so what is counted first is a row per position, also of mixed capacities."""
+    pairs = stage(training_pairs(packed_frame(spark, sequences)), "pairs").withColumn("capacity", F.col("pos") % 3)
+    counted = X.fit_expert(pairs.withColumn("expert", F.lit("e")), F.col("capacity"), F.lit(2))
+    lines = plan_of(counted).splitlines()
+    below = max(n for n, line in enumerate(lines) if "Exchange" in line)
+    assert not [line for line in lines[below:] if "Generate" in line]
+    expected = Counter()
+    for _, _, _, _, t in sequences:
+        for i in range(1, len(t)):
+            capacity = (i - 1) % 3
+            for key in [(0, None, None, t[i]), (1, None, t[i - 1], t[i]), (2, t[i - 2], t[i - 1], t[i])][: capacity + 1]:
+                expected[key] += 2
+    assert as_counter(counted) == named(expected, "e")
+
+
+def test_a_seed_of_every_capacity_from_one_count(spark, sequences):
+    from packloom.plans import registry
+
+    packed = packed_frame(spark, sequences)
+    expected = {}
+    for order in registry.ORDERS:
+        expected |= named(brute_counts(sequences, order), f"seed_o{order}")
+    got = registry._bases(packed)
+    assert as_counter(got) == expected and {r.step for r in got.collect()} == {0}
+
+
 def test_plan_gives_each_expert_its_domain_size_and_budget(spark, sequences):
     expected = {}
     for expert, counts in plan_counts(sequences).items():
