@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.functions.index import join_null_safe
-from packloom.sources.packed import FOLDERS, STORED, write_packed
+from packloom.sources.packed import FOLDERS, STORED, bound_listing, write_packed
 
 PLACE = (*FOLDERS, "file")
 LISTED = "domain string, split string, rank int, file bigint, n_rows bigint, digest decimal(38,0)"
@@ -45,6 +45,7 @@ def verified_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     ``status`` is ok, missing, changed, or unlisted; rows and digest are those of the manifest, of an unlisted file its own.
     """
+    bound_listing(spark)
     listed = spark.read.schema(LISTED).parquet(f"{path}/_digests")
     files = spark.read.schema(f"{STORED}, file bigint").parquet(path)
     sides = listed.select("*", F.lit(True).alias("is_listed")).unionByName(file_digests(files).select("*", F.lit(False).alias("is_listed")))
