@@ -1,6 +1,8 @@
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,21 @@ def test_whole_way_from_text(spark):
         stream = [ids[w] for t in texts[rank::2] for w in t.split()]
         got = [(r.input_ids, r.label) for r in sorted(packed, key=lambda r: r.chunk) if r["rank"] == rank]
         assert got == windows(stream, 6)
+
+
+def test_words_of_an_arrow_batch():
+    ascii_marks = [f"a{chr(c)}b" for c in range(128)]
+    for texts in ([" x  y\t", None, "", "\n \r", "z"], ["x\vy z\f", " \v "], ascii_marks, ["é ß  x", None], [None], []):
+        starts, found = T.split_words(pa.array(texts, pa.string()))
+        got = [found.to_pylist()[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        assert got == [[w for w in re.split("[ \t\n\r]+", t or "") if w] for t in texts]
+
+
+def test_no_word_becomes_a_row_to_be_counted(spark, plan_of):
+    """Words are counted and looked up by whole Arrow batches."""
+    df = spark.createDataFrame([("a b a " * 50,)] * 20, "text string").repartition(2)
+    counted = T.count_words(df)
+    assert "Generate" not in plan_of(counted) and counted.count() == 4
+    vocab = T.build_vocab(df, 5)
+    plan = plan_of(T.encode(df, vocab, 6))
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
