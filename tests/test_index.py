@@ -72,3 +72,18 @@ def test_bounds_come_from_one_job(spark):
     bounds = key_bounds(df, ["k"], 10)
     spark.sparkContext.setJobGroup("", "")
     assert len(bounds) == 9 and len(tracker.getJobIdsForGroup(group)) <= 2
+
+
+def test_literals_do_not_grow_with_the_bounds(spark, monkeypatch):
+    """Whole-numbered bounds reach the JVM in one call; results are those of Python's order, at the types' ends too."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    bounds = sorted({(k, n) for k in (low, -5, 0, 7, high) for n in range(-30, 30, 3)})
+    keys = [(k, n) for k in (low, low + 1, -5, -4, 0, 7, 8, high) for n in (-31, -30, 0, 1, 29)]
+    df = spark.createDataFrame(keys, "a bigint, id int")
+    calls, lit = [], F.lit
+    monkeypatch.setattr(F, "lit", lambda v: calls.append(v) or lit(v))
+    ranged = df.select("a", "id", range_of(df, ["a", "id"], bounds).alias("r"))
+    assert len(calls) < 20
+    assert {(r.a, r.id): r.r for r in ranged.collect()} == {key: sum(b < key for b in bounds) for key in keys}
+    single = df.select("a", range_of(df, ["a"], [(low,), (0,), (high,)]).alias("r")).distinct()
+    assert {r.a: r.r for r in single.collect()} == {a: sum(b < a for b in (low, 0, high)) for a, _ in keys}
