@@ -109,3 +109,16 @@ def test_learning_rates(spark):
     )
     for r in steps.collect():
         assert r.w == pytest.approx(min(1.0, (r.s + 1) / 4)) and r.c == pytest.approx(rate(r.s))
+
+
+def test_listing_starts_no_task_for_each_folder(spark, tmp_path):
+    """Each packed file has a folder; a bounded number of tasks lists them all."""
+    path = str(tmp_path / "p")
+    df = spark.range(90).select(F.lit("a").alias("domain"), F.lit("train").alias("split"), F.lit(0).alias("rank"), F.col("id").alias("chunk"), F.col("id").alias("seq_id"))
+    ids = F.array(F.lit(1).cast("bigint"))
+    packed.write_packed(df.withColumns({"input_ids": ids, "label": ids}), path, 2)
+    before = spark.conf.get(packed.LISTING)
+    for read in (lambda: packed.read_packed(spark, path).count(), lambda: packed.manifest(spark, path).agg(F.sum("n_rows")).first()[0]):
+        spark.conf.set(packed.LISTING, 10_000)
+        assert read() == 90 and int(spark.conf.get(packed.LISTING)) <= 32
+    spark.conf.set(packed.LISTING, before)
