@@ -187,3 +187,11 @@ def test_no_word_becomes_a_row_to_be_counted(spark, plan_of):
     vocab = T.build_vocab(df, 5)
     plan = plan_of(T.encode(df, vocab, 6))
     assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+
+
+def test_bytes_that_are_no_text(spark):
+    """Words with bytes that are no UTF-8 are words with U+FFFD in their place, as in any split by Spark."""
+    df = spark.createDataFrame([("61FF20622061FF",), ("62FF0B6120",)], "h string").select(F.unhex("h").cast("string").alias("text"))
+    vocab = T.build_vocab(df, 5)
+    assert {(r.token, r.n) for r in vocab.collect()} == {("<unk>", 0), ("a�", 2), ("b", 1), ("b�\va", 1)}
+    assert sorted(r.ids for r in T.encode(df, vocab, 6).select("ids").collect()) == [[1, 2, 1], [3]]
